@@ -1,9 +1,10 @@
 """The subpackage's queries and their SQL twins."""
 
-from factloom.llm import fingerprints, line_dedup, packing, pieces
+from factloom.llm import fingerprints, jaccard_join, line_dedup, packing, pieces
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.query,
+    "op3_ngram_jaccard_join": jaccard_join.query,
     "op4_best_fit_packing": packing.query,
     "op5_line_dedup": line_dedup.query,
     "op9_piece_encoding": pieces.query,
