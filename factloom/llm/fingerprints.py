@@ -101,12 +101,14 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("_h", F.xxhash64("text"))
     order = successors(base.groupBy("_id", "_h").agg(F.first(F.floor(F.char_length("text") / 3).cast("int")).alias("_take")))
-    rows = with_sketch(base.select("doc_id", "_id", "_h", "text"), F.col("text"), "sketch", fraction)
+    # Both joins below read all four columns, so they share one exchange; the id comes back from _id.
+    rows = with_sketch(base.select("_id", "_h", "text"), F.col("text"), "sketch", fraction)
     asked = order.select(F.col("_id").alias("_for_id"), F.col("_h").alias("_for_h"), F.col("_next_id").alias("_id"), F.col("_next_h").alias("_h"), "_take")
     given = rows.join(asked, ["_id", "_h"])
     given = given.select(F.col("_for_id").alias("_id"), F.col("_for_h").alias("_h"), "_take", F.substring(F.col("text"), F.lit(1), F.col("_take")).alias("_new"), F.col("sketch").alias("next_sketch"))
     given = given.dropDuplicates(["_id", "_h"])
     out = rows.join(given, ["_id", "_h"]).withColumn("n_chars", F.char_length("text"))
+    out = out.withColumn("doc_id", F.when(F.col("_id") != -(2**63), F.col("_id")))
     return out.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - F.col("_take")), F.col("_new"))).drop("_id", "_h", "_take", "_new")
 
 
