@@ -1,12 +1,14 @@
 """The subpackage's queries and their SQL twins."""
 
-from factloom.llm import fingerprints, jaccard_join, line_dedup, packing, pieces
+from factloom.llm import fingerprints, jaccard_join, line_dedup, packing, pieces, quality, toxicity
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.query,
     "op3_ngram_jaccard_join": jaccard_join.query,
     "op4_best_fit_packing": packing.query,
     "op5_line_dedup": line_dedup.query,
+    "op6_quality_rules": quality.query,
+    "op7_toxicity": toxicity.query,
     "op9_piece_encoding": pieces.query,
 }
 
