@@ -41,6 +41,8 @@ SECOND, BEAR = 3, 2
 SPARE = 1.2
 #: Sets that share a signature before it counts as hot.
 HOT = 64
+#: Counts in the outline of a set.
+CELLS = 64
 #: Packed signatures that a worker gathers before it hands them on.
 FLUSH = 2_000_000
 
@@ -93,28 +95,42 @@ def signatures(hashes: np.ndarray) -> list[tuple[np.ndarray, int]]:
     for number, parts, bear, k in roles(len(hashes)):
         pieces = SECOND if parts > 1 else 1
         spread = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * number) >> np.uint64(32)
-        cell = (spread * np.uint64(parts * pieces) >> np.uint64(32)).astype(np.int64)
-        content = np.zeros(parts * pieces, np.uint64)
-        order = np.argsort(cell, kind="stable")
-        cells, starts = np.unique(cell[order], return_index=True)
-        content[cells] = np.add.reduceat(mixed(hashes[order] + np.uint64(number)), starts)
-        content, filled = content.reshape(parts, pieces), np.zeros(parts * pieces, bool)
-        filled[cells] = True
-        filled = filled.reshape(parts, pieces)
-        bear = bear if pieces > 1 else 0
-        found = []
-        for j, subset in enumerate(itertools.combinations(range(pieces), pieces - bear if pieces > 1 else 1)):
-            sums = np.zeros(parts, np.uint64)
-            for x in subset:
-                sums = mixed(sums + content[:, x]) if len(subset) > 1 else content[:, x]
-            there = filled[:, subset].any(axis=1)
-            where = np.arange(parts, dtype=np.uint64)[there] * np.uint64(64) + np.uint64(j)
-            found.append(mixed(sums[there] + mixed(where * np.uint64(4096) + np.uint64(number))))
-        room = int(np.minimum(filled.sum(axis=1), bear + 1).sum()) - k
-        out.append((np.concatenate(found), room))
+        cell = spread * np.uint64(parts * pieces) >> np.uint64(32)
+        order = np.argsort(cell)
+        cell = cell[order]
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        cells, content = cell[starts], np.add.reduceat(mixed(hashes[order] + np.uint64(number)), starts)
+        take = pieces - bear if pieces > 1 else 1
+        if take == 1:
+            # Subsets of one piece: each filled piece is a signature.
+            found, room = mixed(content + mixed(cells * np.uint64(4096) + np.uint64(number))), len(cells) - k
+        else:
+            found, room = _subsets(cells.astype(np.int64), content, parts, pieces, take, number), 0
+            room = int(np.minimum(np.bincount(cells.astype(np.int64) // pieces, minlength=parts), bear + 1).sum()) - k
+        out.append((found, room))
     return out
 
 
+def _subsets(cells: np.ndarray, content: np.ndarray, parts: int, pieces: int, take: int, number: int) -> np.ndarray:
+    """Signatures of every subset of `take` pieces of every part that isn't empty."""
+    whole, filled = np.zeros(parts * pieces, np.uint64), np.zeros(parts * pieces, bool)
+    whole[cells], filled[cells] = content, True
+    whole, filled, found = whole.reshape(parts, pieces), filled.reshape(parts, pieces), []
+    for j, subset in enumerate(itertools.combinations(range(pieces), take)):
+        sums = np.zeros(parts, np.uint64)
+        for x in subset:
+            sums = mixed(sums + whole[:, x])
+        there = filled[:, subset].any(axis=1)
+        where = np.arange(parts, dtype=np.uint64)[there] * np.uint64(64) + np.uint64(j)
+        found.append(mixed(sums[there] + mixed(where * np.uint64(4096) + np.uint64(number))))
+    return np.concatenate(found)
+
+
+def outline(hashes: np.ndarray) -> np.ndarray:
+    """How many elements each of CELLS parts of the domain holds, up to 255: outlines differ by no more than the sets do."""
+    return np.minimum(np.bincount((hashes >> np.uint64(32)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8)
+
+
 def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(words_of(text)), width))
 
@@ -125,72 +141,78 @@ def digest(hashes: np.ndarray) -> int:
     return int(mixed(np.array([total + np.uint64(len(hashes))], np.uint64)).astype(np.int64)[0])
 
 
-INFO = "doc_id long, n_shingles long, key long, room int"
-
-
-def _info(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in steps(batches):
-            rows = []
-            for doc_id, text in zip(ids, texts, strict=True):
-                s = shingle_set(text, width)
-                rows.append((doc_id, len(s), digest(s) if len(s) else None, min(room for _, room in signatures(s)) if len(s) else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "n_shingles", "key", "room"])
-
-    return run
+DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("key", "<i8"), ("size", "<i4")])
+KEY = np.dtype([("key", "<i8"), ("doc_id", "<i8"), ("known", "u1"), ("size", "<i4"), ("room", "<i4"), ("outline", "u1", CELLS)])
 
 
 class Blocks:
-    """Signatures gathered by a worker and packed by bucket: keys once, then for each signature 5 bytes and its key's place."""
+    """What a worker gathers, packed by bucket: documents, distinct sets, keys once, then for each signature 5 bytes and its key's place."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.keys, self.parts, self.n = buckets, [], [], 0
+        self.buckets = buckets
+        self._clear()
+
+    def _clear(self) -> None:
+        self.docs, self.sets, self.places, self.parts, self.n = [], [], {}, [], 0
 
-    def add(self, key: int, found: list[tuple[np.ndarray, int]]) -> None:
+    def add(self, doc_id: int | None, hashes: np.ndarray) -> None:
+        key = digest(hashes) if len(hashes) else 0
+        known = doc_id is not None
+        self.docs.append((doc_id if known else 0, known, key, len(hashes)))
+        if not len(hashes):
+            return
+        if (at := self.places.get(key)) is not None:
+            # A copy only counts with its id.
+            if known and not (self.sets[at][2] and self.sets[at][1] <= doc_id):
+                self.sets[at] = (key, doc_id, True, *self.sets[at][3:])
+            return
+        found = signatures(hashes)
         for role, (sigs, _) in enumerate(found):
-            self.parts.append((sigs, np.full(len(sigs), len(self.keys) * 2 + role, np.uint32)))
+            self.parts.append((sigs, np.full(len(sigs), len(self.sets) * 2 + role, np.uint32)))
             self.n += len(sigs)
-        self.keys.append(key)
+        self.places[key] = len(self.sets)
+        self.sets.append((key, doc_id if known else 0, known, len(hashes), min(room for _, room in found), outline(hashes)))
 
     def flush(self) -> Iterator[tuple[int, bytes]]:
-        if not self.n:
+        if not self.docs:
             return
-        sigs, places = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        keys = np.array(self.keys, np.int64)
-        # A copy adds nothing; of a signature that is hot already, one more than makes it hot are enough, and the others are counted.
+        docs, sets = np.array(self.docs, DOC), np.array(self.sets, KEY)
+        keys = sets["key"]
+        sigs, places = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        # Of a signature that is hot already, one more than makes it hot are enough, and the others are counted.
         order = np.lexsort((keys[places >> 1], sigs))
         sigs, places = sigs[order], places[order]
-        fresh = np.append(True, (sigs[1:] != sigs[:-1]) | (keys[places[1:] >> 1] != keys[places[:-1] >> 1]))
-        sigs, places = sigs[fresh], places[fresh]
-        starts = np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1]))
+        starts = np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1]))[: len(sigs)]
         rank = np.arange(len(sigs)) - np.repeat(starts, np.diff(np.append(starts, len(sigs))))
-        over = rank > HOT
-        lost = places[over]
-        sigs, places = sigs[~over], places[~over]
-        to = bucket_of(sigs, self.buckets)
-        lost_to = bucket_of(mixed(keys[lost >> 1].view(np.uint64)), self.buckets)
-        order, lost_order = np.argsort(to, kind="stable"), np.argsort(lost_to, kind="stable")
-        ends, lost_ends = np.searchsorted(to[order], np.arange(self.buckets + 1)), np.searchsorted(lost_to[lost_order], np.arange(self.buckets + 1))
+        lost, sigs, places = places[rank > HOT], sigs[rank <= HOT], places[rank <= HOT]
+        by_key = bucket_of(mixed(keys.view(np.uint64)), self.buckets)
+        cut = lambda to: (o := np.argsort(to, kind="stable"), np.searchsorted(to[o], np.arange(self.buckets + 1)))
+        (own, own_at), (gone, gone_at), (of_key, key_at) = cut(bucket_of(sigs, self.buckets)), cut(by_key[lost >> 1]), cut(by_key)
+        doc, doc_at = cut(bucket_of(mixed(docs["doc_id"].astype("<i8").view(np.uint64) ^ np.uint64(77)), self.buckets))
         for b in range(self.buckets):
-            own, gone = order[ends[b] : ends[b + 1]], lost[lost_order[lost_ends[b] : lost_ends[b + 1]]]
-            if len(own) or len(gone):
-                here, back = np.unique(np.concatenate([places[own], gone]) >> 1, return_inverse=True)
-                back = (back * 2 + (np.concatenate([places[own], gone]) & 1)).astype("<u4")
-                low = np.ascontiguousarray((sigs[own] & np.uint64(0xFFFFFFFFFF)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
-                wide = "<u2" if len(here) < 32768 else "<u4"
-                yield b, struct.pack("<III", len(here), len(own), len(gone)) + keys[here].astype("<i8").tobytes() + low.tobytes() + back.astype(wide).tobytes()
-        self.keys, self.parts, self.n = [], [], 0
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, their keys, keys and roles of what was only counted as (key, role) rows)."""
-    n_keys, n, n_lost = struct.unpack_from("<III", blob)
-    keys = np.frombuffer(blob, "<i8", n_keys, 12)
-    at = 12 + 8 * n_keys
+            mine, away = own[own_at[b] : own_at[b + 1]], lost[gone[gone_at[b] : gone_at[b + 1]]]
+            d, k = docs[doc[doc_at[b] : doc_at[b + 1]]], sets[of_key[key_at[b] : key_at[b + 1]]]
+            if not (len(mine) or len(away) or len(d) or len(k)):
+                continue
+            here, back = np.unique(np.concatenate([places[mine], away]) >> 1, return_inverse=True)
+            back = (back * 2 + (np.concatenate([places[mine], away]) & 1)).astype("<u2" if len(here) < 32768 else "<u4")
+            low = np.ascontiguousarray((sigs[mine] & np.uint64(0xFFFFFFFFFF)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
+            yield b, struct.pack("<IIIII", len(here), len(mine), len(away), len(d), len(k)) + keys[here].astype("<i8").tobytes() + low.tobytes() + back.tobytes() + d.tobytes() + k.tobytes()
+        self._clear()
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Signatures, their keys and roles, then the keys and roles of what was only counted, documents and sets."""
+    n_keys, n, n_lost, n_docs, n_sets = struct.unpack_from("<IIIII", blob)
+    keys, at = np.frombuffer(blob, "<i8", n_keys, 20), 20 + 8 * n_keys
     wide = np.zeros((n, 8), np.uint8)
     wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at).reshape(n, 5)
-    back = np.frombuffer(blob, "<u2" if n_keys < 32768 else "<u4", n + n_lost, at + 5 * n).astype(np.int64)
-    return wide.view("<u8").ravel(), keys[back >> 1], back & 1
+    kind = np.dtype("<u2" if n_keys < 32768 else "<u4")
+    back = np.frombuffer(blob, kind, n + n_lost, at + 5 * n).astype(np.int64)
+    at += 5 * n + kind.itemsize * (n + n_lost)
+    key, role = keys[back >> 1], (back & 1).astype(np.int8)
+    docs, sets = np.frombuffer(blob, DOC, n_docs, at), np.frombuffer(blob, KEY, n_sets, at + DOC.itemsize * n_docs)
+    return wide.view("<u8").ravel(), key[:n], role[:n], key[n:], role[n:], docs, sets
 
 
 BLOCKS = "bucket int, block binary"
@@ -203,10 +225,9 @@ def _blocks(width: int, buckets: int):
                 yield pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int32()), pa.array([x[1]], pa.binary())], ["bucket", "block"])
 
         blocks = Blocks(buckets)
-        for _, texts in steps(batches):
-            for text in texts:
-                if len(s := shingle_set(text, width)):
-                    blocks.add(digest(s), signatures(s))
+        for ids, texts in steps(batches):
+            for doc_id, text in zip(ids, texts, strict=True):
+                blocks.add(doc_id, shingle_set(text, width))
             if blocks.n >= FLUSH:
                 yield from out(blocks)
         yield from out(blocks)
@@ -215,17 +236,13 @@ def _blocks(width: int, buckets: int):
 
 
 #: kind 0: sets a and b share n signatures, a being the least of those that do. kind 1: set b is in the group a. kind 2: n hot signatures of set a in role b.
-MET = "kind int, a long, b long, n long"
+#: kind 3: document b has the set a of n shingles. kind 4: set a of n shingles, first found in document b, with room and outline.
+MET = "kind int, a long, b long, n long, room int, outline binary"
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """What the sets of a bucket have in common."""
-    found = [_unpack(x.as_py()) for x in table.column("block")]
-    sigs = np.concatenate([x[0] for x in found])
-    keys = np.concatenate([x[1][: len(x[0])] for x in found])
-    role = np.concatenate([x[2][: len(x[0])] for x in found])
-    lost = np.concatenate([x[1][len(x[0]) :] for x in found]), np.concatenate([x[2][len(x[0]) :] for x in found])
-    del found
+    """What the sets of a bucket have in common; documents and sets are passed on."""
+    sigs, keys, role, lost, lost_role, docs, sets = (np.concatenate(x) for x in zip(*[_unpack(x.as_py()) for x in table.column("block")], strict=True))
     order = np.lexsort((keys, sigs))
     sigs, keys, role = sigs[order], keys[order], role[order]
     fresh = np.append(True, (sigs[1:] != sigs[:-1]) | (keys[1:] != keys[:-1]))[: len(sigs)]
@@ -234,12 +251,12 @@ def _meet(table: pa.Table) -> pa.Table:
     many = np.diff(np.append(starts, len(sigs)))
     each = np.repeat(many, many)
     hot = each > HOT
-    rows = []
-    hot_keys, hot_roles = np.concatenate([keys[hot], lost[0]]), np.concatenate([role[hot], lost[1]])
+    rows: list[tuple] = []
+    hot_keys, hot_roles = np.concatenate([keys[hot], lost]), np.concatenate([role[hot], lost_role])
     if len(hot_keys):
-        pairs, n = np.unique(np.stack([hot_keys, hot_roles]), axis=1, return_counts=True)
+        pairs, n = np.unique(np.stack([hot_keys, hot_roles.astype(np.int64)]), axis=1, return_counts=True)
         rows.append((2, pairs[0], pairs[1], n))
-    first = np.repeat(keys[starts] if len(starts) else keys, many)
+    first = np.repeat(keys[starts], many) if len(keys) else keys
     star = ~hot & (each > 1) & (keys != first)
     if star.any():
         pairs, n = np.unique(np.stack([first[star], keys[star]]), axis=1, return_counts=True)
@@ -247,13 +264,22 @@ def _meet(table: pa.Table) -> pa.Table:
     group = ~hot & (each > 2)
     if group.any():
         # Groups with the same members are one.
-        mark = mixed(keys.view(np.uint64))
-        name = np.repeat(mixed(np.add.reduceat(mark, starts)), many).view(np.int64)
+        name = np.repeat(mixed(np.add.reduceat(mixed(keys.view(np.uint64)), starts)), many).view(np.int64)
         pairs = np.unique(np.stack([name[group], keys[group]]), axis=1)
         rows.append((1, pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int64)))
-    columns = [np.concatenate([np.full(len(r[1]), r[0], np.int32) for r in rows] or [np.zeros(0, np.int32)])]
-    columns += [np.concatenate([np.asarray(r[k], np.int64) for r in rows] or [np.zeros(0, np.int64)]) for k in (1, 2, 3)]
-    return pa.table([pa.array(c) for c in columns], names=["kind", "a", "b", "n"])
+    rows.append((3, docs["key"], docs["doc_id"], docs["size"]))
+    sets = sets[np.lexsort((sets["doc_id"], 1 - sets["known"].astype(np.int8), sets["key"]))]
+    sets = sets[np.append(True, sets["key"][1:] != sets["key"][:-1])[: len(sets)]]
+    rows.append((4, sets["key"], sets["doc_id"], sets["size"]))
+    total = sum(len(r[1]) for r in rows) - len(sets)
+    columns = [pa.array(np.concatenate([np.full(len(r[1]), r[0], np.int32) for r in rows]))]
+    unknown = np.concatenate([np.zeros(sum(len(r[1]) for r in rows[:-2]), bool), docs["known"] == 0, sets["known"] == 0])
+    columns += [pa.array(np.concatenate([np.asarray(r[1], np.int64) for r in rows]))]
+    columns += [pa.array(np.concatenate([np.asarray(r[2], np.int64) for r in rows]), mask=unknown)]
+    columns += [pa.array(np.concatenate([np.asarray(r[3], np.int64) for r in rows]))]
+    columns += [pa.array(np.concatenate([np.zeros(total, np.int32), sets["room"]]), mask=np.arange(total + len(sets)) < total)]
+    columns += [pa.array([None] * total + [x.tobytes() for x in sets["outline"]], pa.binary())]
+    return pa.table(columns, names=["kind", "a", "b", "n", "room", "outline"])
 
 
 SETS = "key long, size long, hashes binary"
@@ -291,13 +317,27 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sizes and outlines don't rule out that they are alike by 3/4."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("ou", "ov"))
+        a, b = (batch.column(c).to_numpy() for c in ("nu", "nv"))
+        keep = (np.abs(x - y).sum(axis=1) * 7 <= a + b) & (4 * a >= 3 * b) & (4 * b >= 3 * a)
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("u", "v", "n")], ["u", "v", "n"]).filter(pa.array(keep))
+
+
+def _near(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of pairs (u, v, n) of keys, those worth fetching their sets for."""
+    of = lambda x: keys.select(F.col("key").alias(x), F.col("outline").alias(f"o{x}"), F.col("size").alias(f"n{x}"))
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "n", "ou", "ov", "nu", "nv").mapInArrow(_close, "u long, v long, n long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (u, v) of keys, those that link."""
-    of = lambda u, h, n: sets.select(F.col("key").alias(u), F.col("hashes").alias(h), F.col("size").alias(n))
-    sizes = lambda u, n: sets.select(F.col("key").alias(u), F.col("size").alias(n))
-    # Sizes go first: what can't be alike never meets its set.
-    pairs = pairs.join(sizes("u", "nu"), "u").join(sizes("v", "nv"), "v").filter((4 * F.col("nu") >= 3 * F.col("nv")) & (4 * F.col("nv") >= 3 * F.col("nu"))).select("u", "v")
-    both = pairs.join(of("u", "ha", "na"), "u").join(of("v", "hb", "nb"), "v").select("u", "v", "ha", "hb")
+    of = lambda x: sets.select(F.col("key").alias(x), F.col("hashes").alias(f"h{x}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", F.col("hu").alias("ha"), F.col("hv").alias("hb"))
     return both.mapInArrow(_shared, "u long, v long")
 
 
@@ -314,24 +354,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     """(doc_id, n_shingles, key, component_id): documents whose shingle sets are alike by 3/4 are linked; `key` names equal sets."""
     spark = docs.sparkSession
     docs = id_and_text(docs, id_col, text_col)
-    info = written(docs.mapInArrow(_info(width), INFO))
-    blocks = docs.select("doc_id", "text").mapInArrow(_blocks(width, shuffle_buckets(spark)), BLOCKS)
-    met = written(blocks.groupBy("bucket").applyInArrow(_meet, MET))
-    stars, groups = met.filter("kind = 0"), met.filter("kind = 1").select(F.col("a").alias("name"), F.col("b").alias("key"))
+    blocks = docs.mapInArrow(_blocks(width, shuffle_buckets(spark)), BLOCKS)
+    met = written(blocks.groupBy("bucket").applyInArrow(_meet, MET), "kind")
+    groups = met.filter("kind = 1").select(F.col("a").alias("name"), F.col("b").alias("key"))
+    keys = met.filter("kind = 4").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("n").alias("size"), "room", "outline")
 
-    copies = info.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("room").alias("room"))
     hot = met.filter("kind = 2").groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy(F.col("a").alias("key")).agg(F.max("n").alias("n"))
     per = 1 if SECOND - BEAR == 1 else BEAR + 1
-    flagged = copies.join(hot, "key", "left").filter(F.col("room") - per * F.coalesce("n", F.lit(0)) <= 0).select("key")
-    met_keys = stars.select(F.col("a").alias("key")).union(stars.select(F.col("b").alias("key"))).union(groups.select("key"))
-    needed = met_keys.select("key", F.lit(False).alias("weak")).union(flagged.select("key", F.lit(True).alias("weak"))).groupBy("key").agg(F.max("weak").alias("weak"))
-    needed = written(needed.join(copies.select("key", "doc_id"), "key"))
-    texts = docs.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(_sets(width), SETS).dropDuplicates(["key"]).join(needed.select("key", "weak"), "key"))
+    weak = written(keys.join(hot, "key", "left").filter(F.col("room") - per * F.coalesce("n", F.lit(0)) <= 0).select("key"))
+    stars = met.filter("kind = 0").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("n").alias("n"))
+    near = written(_near(stars, keys))
+    sets = _fetched(docs, keys, near.select(F.explode(F.array("u", "v")).alias("key")).union(weak).distinct(), width)
 
     # Sets that signatures alone can't vouch for meet by their prefixes, rarest shingles first.
-    shingles = sets.filter("weak").select("key", "hashes").mapInArrow(_prefixes, "shingle long, key long, band int, size int")
-    shingles = written(shingles)
+    shingles = written(sets.join(weak, "key", "left_semi").select("key", "hashes").mapInArrow(_prefixes, "shingle long, key long, band int, size int"))
     rare = shingles.groupBy("shingle", "band").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     order = F.row_number().over(Window.partitionBy("key", "band").orderBy(F.coalesce("df", F.lit(1)), "shingle"))
     short = shingles.join(rare, ["shingle", "band"], "left").withColumn("place", order)
@@ -339,25 +375,33 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     short = written(short)
     least = short.groupBy("name").agg(F.min("key").alias("u"), F.max("key").alias("hi")).filter("u <> hi").select("name", "u")
     more = short.join(least, "name").filter("u <> key").groupBy("u", F.col("key").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    near = written(near.union(_near(more, keys)).groupBy("u", "v").agg(F.sum("n").alias("n")))
 
-    candidates = stars.select(F.col("a").alias("u"), F.col("b").alias("v"), "n").union(more).groupBy("u", "v").agg(F.sum("n").alias("n"))
-    candidates = written(candidates)
-    best = candidates.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v")
+    # First each set with the least member it shares most with; then what these links leave apart.
+    best = near.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v")
     links = written(_verified(best, sets))
     labels = components(links)
-    # What the first links don't connect: other least members, then all pairs across components in a group.
     lu, lv = labels.select(F.col("node").alias("u"), F.col("root").alias("ru")), labels.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-    rest = candidates.join(best, ["u", "v"], "left_anti").join(lu, "u", "left").join(lv, "v", "left").filter(F.coalesce("ru", "u") != F.coalesce("rv", "v"))
-    rest = rest.select("u", "v").union(_apart(groups.union(short), labels)).distinct()
-    again = _verified(rest.join(best, ["u", "v"], "left_anti"), sets)
-    labels = components(links.union(again))
-
-    named = copies.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least_id = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least_id, "root").select("key", "component_id")
-    out = info.join(named, "key", "left")
+    rest = near.join(best, ["u", "v"], "left_anti").join(lu, "u", "left").join(lv, "v", "left").filter(F.coalesce("ru", "u") != F.coalesce("rv", "v"))
+    apart = _near(_apart(groups.union(short), labels).withColumn("n", F.lit(1).cast("long")), keys)
+    rest = written(rest.select("u", "v", "n").union(apart).select("u", "v").distinct().join(best, ["u", "v"], "left_anti"))
+    lacking = rest.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(sets.select("key"), "key", "left_anti")
+    sets = sets.unionByName(_fetched(docs, keys, lacking, width))
+    labels = components(links.union(_verified(rest, sets)))
+
+    named = keys.select("key", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("key", "component_id")
+    rows = met.filter("kind = 3").select(F.col("b").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("a")).alias("key"))
+    out = rows.join(named, "key", "left")
     return out.select("doc_id", "n_shingles", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _fetched(docs: DataFrame, keys: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The sets (key, size, hashes) of the wanted keys, from one document each. The ids are written first, so that few of them travel to the texts and not the texts to them."""
+    ids = written(keys.join(wanted, "key", "left_semi").select("doc_id"))
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    return written(texts.mapInArrow(_sets(width), SETS).dropDuplicates(["key"]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
