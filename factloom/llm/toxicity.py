@@ -4,7 +4,7 @@ A character trigram model is counted over all documents. Stretches that look dis
 characters set apart, characters repeated) become lattices of what each character may stand for; Viterbi decoding
 under the model picks the reading, and the restored text is scored.
 
-The score is a logistic model of the strongest word or word-beginning found and of how many were found. It is fitted on a
+The score is a logistic model of the strongest word or word-beginning found and of their strength together. It is fitted on a
 bounded sample, the SAMPLE labelled rows that come first by a hash of their id, all outside the held-out fifth (crc32 of the
 id mod 5 = 0). Words count where they occur in toxic rows far more often than chance allows for so many words; rows that share a
 text's smallest shingle hashes count once, so that copies of one toxic text don't make its other words suspicious.
@@ -141,22 +141,22 @@ class Restorer:
 
 class Model(NamedTuple):
     terms: dict[str, float]
-    weights: tuple[float, float, float]
+    weights: tuple[float, ...]
 
-    def evidence(self, restored: str) -> tuple[float, float]:
-        """The strongest term and the logarithm of how many distinct words carry one."""
-        get, most, n = self.terms.get, 0.0, 0
-        for w in set(_WORD.findall(restored)):
+    def evidence(self, restored: str) -> tuple[float, float, float]:
+        """The strongest term, all terms' strength together, and that strength by the number of distinct words."""
+        get, most, total = self.terms.get, 0.0, 0.0
+        words = set(_WORD.findall(restored))
+        for w in words:
             x = max(get(w, 0.0), get("^" + w[:4], 0.0), get("^" + w[:5], 0.0), get("^" + w[:6], 0.0))
             if x:
-                n += 1
+                total += x
                 most = max(most, x)
-        return most, math.log1p(n)
+        return most, math.log1p(total), math.log1p(100 * total / (len(words) + 10))
 
     def score(self, restored: str) -> float:
-        a, b, c = self.weights
-        most, n = self.evidence(restored)
-        return 1 / (1 + math.exp(-(a + b * most + c * n)))
+        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.evidence(restored), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def _terms_of(restored: str) -> set[str]:
@@ -197,14 +197,14 @@ def _fit_terms(texts: list[str], y: list[int]) -> dict[str, float]:
         # By how much the term's rows are toxic beyond their share, against what the luckiest of as many terms would show.
         surprise = t * math.log(t / (t + c) / share) + (c * math.log(c / (t + c) / (1 - share)) if c else 0)
         if surprise > math.log(at_least[t + c]) + 3:
-            out[term] = math.log((t + 0.5) / (n_bad + 1)) - math.log((c + 0.5) / (n_good + 1)) + 2
+            out[term] = math.log((t + 0.5) / (c + 0.5))
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:TERMS])
 
 
-def _fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+def _fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Logistic regression by Newton's method, lightly held towards 0."""
     x = np.column_stack([np.ones(len(x)), x])
-    w, ridge = np.zeros(3), np.diag([1e-3, 1e-2, 1e-2])
+    w, ridge = np.zeros(x.shape[1]), np.diag([1e-3] + [1e-2] * (x.shape[1] - 1))
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w = w + np.linalg.solve(x.T * (p * (1 - p)) @ x + ridge, x.T @ (y - p) - ridge @ w)
@@ -226,9 +226,9 @@ def fit(docs: DataFrame, labels: DataFrame, chars: np.ndarray, sample: int = SAM
     got = docs.join(F.broadcast(rows), "doc_id").select("doc_id", "y", "text").mapInArrow(restore, "doc_id long, y int, text string").toPandas()
     got = got.sort_values(["doc_id", "text"]).reset_index(drop=True)
     if got["y"].nunique() < 2:
-        return Model({}, (-30.0, 0.0, 0.0))
+        return Model({}, (-30.0, 0.0, 0.0, 0.0))
     terms = _fit_terms(got["text"].tolist(), got["y"].tolist())
-    found = Model(terms, (0.0, 0.0, 0.0))
+    found = Model(terms, (0.0,) * 4)
     return Model(terms, _fit_weights(np.array([found.evidence(t) for t in got["text"]]), got["y"].to_numpy(float)))
 
 
