@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import SPACE, documents
+from factloom.session import written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -42,6 +43,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Nulls don't count in count_distinct and max; they get a number below all others.
     keyed = keyed.withColumn("_id", F.coalesce(F.col("_id").cast("long"), F.lit(-(2**63))))
     often = keyed.groupBy("_a", "_b").agg(F.count_distinct("_id").alias("_n"), F.max("_id").alias("_last")).filter(F.col("_n") >= min_docs).drop("_n")
+    # Written, so that the join below reads nothing but its two sides and Spark can split a key that very many documents share.
+    often = written(often)
     lost = keyed.join(often, ["_a", "_b"]).filter(F.col("_id") != F.col("_last")).groupBy("_id").agg(F.collect_set(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))).alias("_lost"))
     rows = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).join(lost, "_id", "left")
     rows = rows.withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
