@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL twins."""
 
-from factloom.llm import fingerprints, jaccard_join, line_dedup, packing, pieces, quality, toxicity
+from factloom.llm import fingerprints, jaccard_join, katz, line_dedup, packing, pieces, quality, toxicity
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_quality_rules": quality.query,
     "op7_toxicity": toxicity.query,
     "op9_piece_encoding": pieces.query,
+    "op10_katz_backoff": katz.query,
 }
 
 ORACLE_SQL = {"op5_line_dedup": line_dedup.ORACLE_SQL}
