@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import bucket_of, documents, id_and_text, mixed, shingle_hashes, shuffle_buckets, steps, word_hashes, words_of
@@ -40,7 +40,9 @@ SECOND, BEAR = 3, 2
 #: Parts beyond the least number, for pieces that happen to be empty.
 SPARE = 1.2
 #: Sets that share a signature before it counts as hot.
-HOT = 64
+HOT = 16
+#: Common shingles that are known by name where sets meet by prefixes.
+COMMON = 1 << 16
 #: Counts in the outline of a set.
 CELLS = 64
 #: Packed signatures that a worker gathers before it hands them on.
@@ -294,13 +296,29 @@ def _sets(width: int):
     return run
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, key, band) for every shingle and role of a set."""
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every shingle of every set."""
     for batch in batches:
-        for key, blob in zip(batch.column("key").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
-            s = np.frombuffer(blob, "<u8").view(np.int64)
-            for number, *_ in roles(len(s)):
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), key, np.int64)), pa.array(np.full(len(s), number, np.int32)), pa.array(np.full(len(s), len(s), np.int32))], ["shingle", "key", "band", "size"])
+        for blob in batch.column("hashes"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(blob.as_buffer(), "<i8"))], ["shingle"])
+
+
+def _prefixes(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(name, key) of the shingles, rarest first, of which two sets alike by 3/4 must share one, for each role of a set."""
+        common, df = shared.value
+        for batch in batches:
+            for key, blob in zip(batch.column("key").to_pylist(), batch.column("hashes"), strict=True):
+                s = np.frombuffer(blob.as_buffer(), "<u8")
+                often = np.zeros(len(s), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    often = np.where(common[at] == s, df[at], 0)
+                first = s[np.lexsort((s, often))[: len(s) // 4 + 1]]
+                for number, *_ in roles(len(s)):
+                    yield pa.RecordBatch.from_arrays([pa.array(mixed(first + np.uint64(number)).view(np.int64)), pa.array(np.full(len(first), key, np.int64))], ["name", "key"])
+
+    return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,6 +346,38 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("u", "v", "n")], ["u", "v", "n"]).filter(pa.array(keep))
 
 
+def fine_outline(hashes: np.ndarray) -> np.ndarray:
+    """Counts like an outline's, of about half as many cells as elements; a finer one folds to a coarser one."""
+    bits = max(6, int(len(hashes) // 2).bit_length())
+    return np.minimum(np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fine = [fine_outline(np.frombuffer(x.as_buffer(), "<u8")).tobytes() for x in batch.column("hashes")]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("size"), pa.array(fine, pa.binary())], ["key", "size", "fine"])
+
+
+def _closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that fine outlines don't rule out."""
+    for batch in batches:
+        keep = []
+        for a, b, n, m in zip(batch.column("fu"), batch.column("fv"), batch.column("nu").to_pylist(), batch.column("nv").to_pylist(), strict=True):
+            x, y = np.frombuffer(a.as_buffer(), np.uint8).astype(np.int32), np.frombuffer(b.as_buffer(), np.uint8).astype(np.int32)
+            cells = min(len(x), len(y))
+            # A count of 255 may stand for more; such cells are left out.
+            known = (x < 255).reshape(cells, -1).all(axis=1) & (y < 255).reshape(cells, -1).all(axis=1)
+            apart = np.abs(x.reshape(cells, -1).sum(axis=1) - y.reshape(cells, -1).sum(axis=1))[known].sum()
+            keep.append(int(apart) * 7 <= n + m)
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("u", "v", "n")], ["u", "v", "n"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _nearer(pairs: DataFrame, fine: DataFrame) -> DataFrame:
+    """Of near pairs (u, v, n), those worth comparing set by set."""
+    of = lambda x: fine.select(F.col("key").alias(x), F.col("fine").alias(f"f{x}"), F.col("size").alias(f"n{x}"))
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "n", "fu", "fv", "nu", "nv").mapInArrow(_closer, "u long, v long, n long")
+
+
 def _near(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     """Of pairs (u, v, n) of keys, those worth fetching their sets for."""
     of = lambda x: keys.select(F.col("key").alias(x), F.col("outline").alias(f"o{x}"), F.col("size").alias(f"n{x}"))
@@ -336,6 +386,7 @@ def _near(pairs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (u, v) of keys, those that link."""
+    sets = sets.join(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "key", "left_semi")
     of = lambda x: sets.select(F.col("key").alias(x), F.col("hashes").alias(f"h{x}"))
     both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", F.col("hu").alias("ha"), F.col("hv").alias("hb"))
     return both.mapInArrow(_shared, "u long, v long")
@@ -366,27 +417,30 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     near = written(_near(stars, keys))
     sets = _fetched(docs, keys, near.select(F.explode(F.array("u", "v")).alias("key")).union(weak).distinct(), width)
 
-    # Sets that signatures alone can't vouch for meet by their prefixes, rarest shingles first.
-    shingles = written(sets.join(weak, "key", "left_semi").select("key", "hashes").mapInArrow(_prefixes, "shingle long, key long, band int, size int"))
-    rare = shingles.groupBy("shingle", "band").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    order = F.row_number().over(Window.partitionBy("key", "band").orderBy(F.coalesce("df", F.lit(1)), "shingle"))
-    short = shingles.join(rare, ["shingle", "band"], "left").withColumn("place", order)
-    short = short.filter((F.col("place") <= F.floor(F.col("size") / 4) + 1) & F.col("df").isNotNull()).select(F.xxhash64("shingle", "band").alias("name"), "key")
-    short = written(short)
+    # Sets that signatures alone can't vouch for meet by their prefixes, rarest shingles first. Any order finds all pairs; this one,
+    # by the most common shingles of these sets, a table of bounded size, keeps what many share out of the prefixes.
+    suspects = sets.join(weak, "key", "left_semi").select("key", "hashes")
+    often = suspects.mapInArrow(_elements, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 2").orderBy(F.desc("df"), "shingle").limit(COMMON).toPandas()
+    common, df = often["shingle"].to_numpy(np.int64).view(np.uint64), often["df"].to_numpy(np.int64)
+    order = np.argsort(common)
+    short = written(suspects.mapInArrow(_prefixes(spark.sparkContext.broadcast((common[order], df[order]))), "name long, key long"))
     least = short.groupBy("name").agg(F.min("key").alias("u"), F.max("key").alias("hi")).filter("u <> hi").select("name", "u")
     more = short.join(least, "name").filter("u <> key").groupBy("u", F.col("key").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    near = written(near.union(_near(more, keys)).groupBy("u", "v").agg(F.sum("n").alias("n")))
+    fine = written(sets.mapInArrow(_fine, "key long, size long, fine binary"))
+    near = written(_nearer(near.union(_near(more, keys)), fine).groupBy("u", "v").agg(F.sum("n").alias("n")))
 
     # First each set with the least member it shares most with; then what these links leave apart.
-    best = near.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v")
+    best = written(near.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v"))
     links = written(_verified(best, sets))
     labels = components(links)
     lu, lv = labels.select(F.col("node").alias("u"), F.col("root").alias("ru")), labels.select(F.col("node").alias("v"), F.col("root").alias("rv"))
     rest = near.join(best, ["u", "v"], "left_anti").join(lu, "u", "left").join(lv, "v", "left").filter(F.coalesce("ru", "u") != F.coalesce("rv", "v"))
-    apart = _near(_apart(groups.union(short), labels).withColumn("n", F.lit(1).cast("long")), keys)
-    rest = written(rest.select("u", "v", "n").union(apart).select("u", "v").distinct().join(best, ["u", "v"], "left_anti"))
-    lacking = rest.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(sets.select("key"), "key", "left_anti")
-    sets = sets.unionByName(_fetched(docs, keys, lacking, width))
+    apart = written(_near(_apart(groups.union(short), labels).withColumn("n", F.lit(1).cast("long")), keys))
+    lacking = apart.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(sets.select("key"), "key", "left_anti")
+    extra = _fetched(docs, keys, lacking, width)
+    fine = fine.union(extra.mapInArrow(_fine, "key long, size long, fine binary"))
+    rest = written(rest.select("u", "v").union(_nearer(apart, fine).select("u", "v")).distinct().join(best, ["u", "v"], "left_anti"))
+    sets = sets.unionByName(extra)
     labels = components(links.union(_verified(rest, sets)))
 
     named = keys.select("key", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -400,7 +454,7 @@ def _fetched(docs: DataFrame, keys: DataFrame, wanted: DataFrame, width: int) ->
     """The sets (key, size, hashes) of the wanted keys, from one document each. The ids are written first, so that few of them travel to the texts and not the texts to them."""
     ids = written(keys.join(wanted, "key", "left_semi").select("doc_id"))
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    return written(texts.mapInArrow(_sets(width), SETS).dropDuplicates(["key"]))
+    return written(texts.mapInArrow(_sets(width), SETS))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
