@@ -46,7 +46,7 @@ COMMON = 1 << 16
 #: Counts in the outline of a set.
 CELLS = 64
 #: Packed signatures that a worker gathers before it hands them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 @functools.cache
@@ -405,7 +405,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     """(doc_id, n_shingles, key, component_id): documents whose shingle sets are alike by 3/4 are linked; `key` names equal sets."""
     spark = docs.sparkSession
     docs = id_and_text(docs, id_col, text_col)
-    blocks = docs.mapInArrow(_blocks(width, shuffle_buckets(spark)), BLOCKS)
+    blocks = docs.mapInArrow(_blocks(width, 2 * shuffle_buckets(spark)), BLOCKS)
     met = written(blocks.groupBy("bucket").applyInArrow(_meet, MET), "kind")
     groups = met.filter("kind = 1").select(F.col("a").alias("name"), F.col("b").alias("key"))
     keys = met.filter("kind = 4").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("n").alias("size"), "room", "outline")
@@ -420,8 +420,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     # Sets that signatures alone can't vouch for meet by their prefixes, rarest shingles first. Any order finds all pairs; this one,
     # by the most common shingles of these sets, a table of bounded size, keeps what many share out of the prefixes.
     suspects = sets.join(weak, "key", "left_semi").select("key", "hashes")
-    often = suspects.mapInArrow(_elements, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 2").orderBy(F.desc("df"), "shingle").limit(COMMON).toPandas()
-    common, df = often["shingle"].to_numpy(np.int64).view(np.uint64), often["df"].to_numpy(np.int64)
+    often = suspects.mapInArrow(_elements, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 2").orderBy(F.desc("df"), "shingle").limit(COMMON).toArrow()
+    common, df = often["shingle"].to_numpy().view(np.uint64), often["df"].to_numpy()
     order = np.argsort(common)
     short = written(suspects.mapInArrow(_prefixes(spark.sparkContext.broadcast((common[order], df[order]))), "name long, key long"))
     least = short.groupBy("name").agg(F.min("key").alias("u"), F.max("key").alias("hi")).filter("u <> hi").select("name", "u")

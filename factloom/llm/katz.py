@@ -249,9 +249,10 @@ def _count_pairs(buckets: int, shared):
     return run
 
 
-#: kind 0: the pair counts of a block. 1: context a's types by count 1 to 6, as `few`; b: the sum of its counts beyond 5; p: the P(g) of all it was seen with. 2: pair a has count b.
-PAIRS = "bucket int, kind int, a long, b long, p double, few array<int>, block binary"
-_PAIRS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("p", pa.float64()), ("few", pa.list_(pa.int32())), ("block", pa.binary())])
+#: kind 0: the pair counts of a block. 1: context a's types by count 1 to 6, in n1 to n6; b: the sum of its counts beyond 5; p: the P(g) of all it was seen with. 2: pair a has count b.
+FEW = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
+PAIRS = f"bucket int, kind int, a long, b long, p double, {', '.join(f'{x} int' for x in FEW)}, block binary"
+_PAIRS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("p", pa.float64()), *[(x, pa.int32()) for x in FEW], ("block", pa.binary())])
 
 
 def _sum_pairs(pairs_each: int, shared):
@@ -268,12 +269,11 @@ def _sum_pairs(pairs_each: int, shared):
         beyond, mass = np.add.reduceat(np.where(n > DISCOUNTED, n, 0), starts), np.add.reduceat(p1[g], starts)
         top = np.lexsort((codes, -n))[:pairs_each]
         m, t = len(starts), len(top)
-        none = pa.nulls(1, pa.list_(pa.int32()))
-        offsets = pa.array(np.arange(0, few.size + 1, DISCOUNTED + 1, dtype=np.int32))
+        few = np.concatenate([np.zeros((1, DISCOUNTED + 1)), few, np.zeros((t, DISCOUNTED + 1))]).astype(np.int32)
         return pa.Table.from_arrays([
             pa.array(np.full(1 + m + t, bucket, np.int32)), pa.array(np.repeat(np.array([0, 1, 2], np.int32), [1, m, t])),
             pa.array(np.concatenate([[0], h[starts], codes[top].astype(np.int64)])), pa.array(np.concatenate([[0], beyond, n[top]])), pa.array(np.concatenate([[0.0], mass, np.zeros(t)])),
-            pa.concat_arrays([none, pa.ListArray.from_arrays(offsets, pa.array(few.ravel().astype(np.int32))), pa.nulls(t, pa.list_(pa.int32()))]),
+            *[pa.array(np.ascontiguousarray(few[:, i])) for i in range(DISCOUNTED + 1)],
             pa.array([pack(codes, n)] + [None] * (m + t), pa.binary()),
         ], schema=_PAIRS)
 
@@ -290,8 +290,8 @@ def fit(docs: DataFrame, heads: int = HEADS) -> Model:
     # Seven rows, then at most `heads`.
     sums = {r["a"]: (r["b"], r["c"]) for r in words.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("b"), F.sum("c").alias("c")).collect()}
     n_docs = words.filter("kind = 3").agg(F.coalesce(F.sum("a"), F.lit(0))).first()[0]
-    top = words.filter("kind = 2").select("a", "b").toPandas()
-    hashes, counts = top["a"].to_numpy(np.int64).view(np.uint64), top["b"].to_numpy(np.int64)
+    top = words.filter("kind = 2").select("a", "b").toArrow()
+    hashes, counts = top["a"].to_numpy().view(np.uint64), top["b"].to_numpy()
     order = np.argsort(hashes)
     hashes, counts = hashes[order], counts[order]
 
@@ -318,21 +318,21 @@ def fit(docs: DataFrame, heads: int = HEADS) -> Model:
     pair_rows = docs.mapInArrow(_count_pairs(buckets, share((hashes, spread))), BLOCK)
     pairs = written(pair_rows.groupBy("bucket").applyInArrow(_sum_pairs(each, share((len(hashes), p1))), PAIRS), "kind")
     # A row for each context and block of its own: bounded by heads and blocks.
-    seen = pairs.filter("kind = 1").select("a", "b", "p", "few").toPandas()
+    seen = pairs.filter("kind = 1").select("a", "b", "p", *FEW).toArrow()
     few, beyond, mass = np.zeros((len(contexts), DISCOUNTED + 1)), np.zeros(len(contexts)), np.zeros(len(contexts))
-    at = seen["a"].to_numpy(np.int64)
-    if len(seen):
-        np.add.at(few, at, np.stack(seen["few"].to_numpy()))
-        np.add.at(beyond, at, seen["b"].to_numpy(float))
-        np.add.at(mass, at, seen["p"].to_numpy(float))
+    at = seen["a"].to_numpy()
+    for i, x in enumerate(FEW):
+        np.add.at(few[:, i], at, seen[x].to_numpy())
+    np.add.at(beyond, at, seen["b"].to_numpy())
+    np.add.at(mass, at, seen["p"].to_numpy())
     d2 = good_turing({r: few[:, r - 1].sum() for r in range(1, DISCOUNTED + 2)})
     r = np.arange(1, DISCOUNTED + 1)
     kept2 = beyond + few[:, :DISCOUNTED] @ (d2[r] * r)
     # A context seen with large counts only keeps nothing for the unseen; it gives half a count of each pair.
     flat = (beyond > 0) & (few[:, :DISCOUNTED].sum(1) == 0)
     kept2 = np.where(flat, beyond, kept2)
-    top = pairs.filter("kind = 2").select("a", "b").toPandas()
-    codes, pair_counts = top["a"].to_numpy(np.int64).astype(np.uint64), top["b"].to_numpy(np.int64)
+    top = pairs.filter("kind = 2").select("a", "b").toArrow()
+    codes, pair_counts = top["a"].to_numpy().astype(np.uint64), top["b"].to_numpy()
     order = np.argsort(codes)
     codes, pair_counts = codes[order], pair_counts[order]
     if flat.any():
