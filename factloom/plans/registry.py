@@ -1,4 +1,6 @@
 """All registered queries of the library proper."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from factloom.plans import facts_queries, graph_queries, matching_queries, report_queries, text_queries  # noqa: F401
+from factloom.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
