@@ -309,6 +309,8 @@ def fit(docs: DataFrame, heads: int = HEADS) -> Model:
     p0 = 1 - kept / total if total else 1.0
     head_p = d1[np.minimum(counts, DISCOUNTED + 1)] * counts / max(1, total)
     end_p = end_factor * n_docs / max(1, total)
+    if not total:
+        end_p = 1.0
     p1 = np.concatenate([head_p, [max(1 - head_p.sum() - end_p, p0)], [end_p], [0.0]])
     rare = total - n_docs - int(counts.sum())
     contexts = np.concatenate([counts, [rare], [0], [n_docs]])
