@@ -98,9 +98,9 @@ def neighbourhood_support(left: DataFrame, right: DataFrame, seeds: DataFrame) -
     rows = None
     for a, b in (("src", "dst"), ("dst", "src")):
         l = left.select(F.col(a).alias("left"), F.col(b).alias("_ln"))
-        r = right.select(F.col(a).alias("right"), F.col(b).alias("_rn"))
+        r = right.select(F.col(a).alias("right"), F.col(b).alias("_rn"), F.lit(a).alias("way"))
         known = l.join(seeds.select(F.col("left").alias("_ln"), F.col("right").alias("_rn")), "_ln").withColumn("way", F.lit(a))
-        rows = (known, r.withColumn("way", F.lit(a))) if rows is None else (rows[0].unionByName(known), rows[1].unionByName(r))
+        rows = (known, r) if rows is None else (rows[0].unionByName(known), rows[1].unionByName(r))
     known, mirror = rows
     total = known.groupBy("left").agg(F.count(F.lit(1)).alias("known"))
     matched = known.join(mirror, ["way", "_rn"]).groupBy("left", "right").agg(F.count(F.lit(1)).alias("matched"))
