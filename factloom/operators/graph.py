@@ -321,3 +321,31 @@ def synthesized_edges(facts: DataFrame, modules: DataFrame, edges: DataFrame) ->
     owners = reads.join(defs, "binding").filter("src <> dst").join(files.select(F.col("module_id").alias("dst"), F.col("file_id").alias("_df")), "dst").filter("not _many or _sf = _df")
     single = owners.groupBy("src", "binding").agg(F.count_distinct("dst").alias("_n"), F.min("dst").alias("dst")).filter("_n = 1")
     return single.select("src", "dst", "binding").join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+
+
+def type_join(shapes: DataFrame) -> DataFrame:
+    """(module_id, binding, type): what all observations of a binding agree on; unknown where they differ."""
+    return shapes.groupBy("module_id", "binding").agg(F.when(F.count_distinct("type") == 1, F.min("type")).otherwise("unknown").alias("type"))
+
+
+def data_dependences(facts: DataFrame) -> DataFrame:
+    """(module_id, binding, source): where each read of a module comes from, its own definition before an import."""
+    of = lambda kind, name: facts.filter(F.col("kind") == kind).select("module_id", "binding", F.lit(name).alias(f"_{name}")).distinct()
+    rows = facts.filter("kind = 'read'").select("module_id", "binding").distinct().join(of("definition", "definition"), ["module_id", "binding"], "left").join(of("import", "import"), ["module_id", "binding"], "left")
+    return rows.select("module_id", "binding", F.coalesce("_definition", "_import").alias("source")).filter("source is not null")
+
+
+def topology_reinforcement(left: DataFrame, right: DataFrame, known: DataFrame, least: int = 3, rounds: int = 6) -> DataFrame:
+    """known and pairs with at least `least` confirmed shared references, strictly more than for any other; (node, ref) on both sides."""
+    known = written(known.select("left", "right"))
+    for _ in range(rounds):
+        l = left.select(F.col("node").alias("left"), F.col("ref").alias("_l")).join(known.select(F.col("left").alias("_l"), F.col("right").alias("_r")), "_l")
+        shared = l.join(right.select(F.col("node").alias("right"), F.col("ref").alias("_r")), "_r").groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"))
+        shared = shared.join(known, "left", "left_anti").join(known, "right", "left_anti")
+        w = Window.partitionBy("left").orderBy(F.col("n").desc(), "right")
+        best = shared.withColumn("_k", F.row_number().over(w)).withColumn("_next", F.coalesce(F.lead("n").over(w), F.lit(0))).filter((F.col("_k") == 1) & (F.col("n") >= least) & (F.col("n") > F.col("_next")))
+        new = written(best.withColumn("_c", F.row_number().over(Window.partitionBy("right").orderBy(F.col("n").desc(), "left"))).filter("_c = 1").select("left", "right"))
+        if new.isEmpty():
+            break
+        known = written(known.union(new))
+    return known

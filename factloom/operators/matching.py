@@ -152,3 +152,32 @@ def surface_resolution(imports: DataFrame, surfaces: DataFrame) -> DataFrame:
 
 def accepted(score: Column, least: Column | float) -> Column:
     return score >= least
+
+
+def pinned(queries: DataFrame, index: DataFrame, pins: DataFrame) -> DataFrame:
+    """Exact matches inside paired buckets only: queries (fn, ref, hash), index (identity, fn_id, subject, hash), pins (ref, subject)."""
+    return unique_winner(queries.join(pins, "ref").join(index, ["subject", "hash"]))
+
+
+def bag_scores(left: DataFrame, right: DataFrame, weights: dict[str, float], cap: int = 25) -> DataFrame:
+    """(left, right, score, coverage) of bags (doc, axis, feature, n): common counts up to `cap`, weighted by axis, and their share of the left bag."""
+    weight = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))])
+    common = F.least(F.col("ln"), F.col("rn"), F.lit(cap)) * F.coalesce(weight[F.col("axis")], F.lit(1.0))
+    met = left.select(F.col("doc").alias("left"), "axis", "feature", F.col("n").alias("ln")).join(right.select(F.col("doc").alias("right"), "axis", "feature", F.col("n").alias("rn")), ["axis", "feature"])
+    whole = left.groupBy(F.col("doc").alias("left")).agg(F.sum(F.least("n", F.lit(cap)) * F.coalesce(weight[F.col("axis")], F.lit(1.0))).alias("_all"))
+    out = met.groupBy("left", "right").agg(F.sum(common).alias("score")).join(whole, "left")
+    return out.select("left", "right", "score", (F.col("score") / F.col("_all")).alias("coverage"))
+
+
+def version_diagnostics(ranked: DataFrame, top: int = 3) -> DataFrame:
+    """(module, package, version, score, rank, advice) of scored versions: use a clear first one, check a close one."""
+    w = Window.partitionBy("module").orderBy(F.col("score").desc(), "package", "version")
+    rows = ranked.withColumn("rank", F.row_number().over(w)).withColumn("_next", F.lead("score").over(w))
+    advice = F.when(F.col("rank") > 1, "alternative").when(F.col("_next").isNull() | (F.col("score") >= 1.5 * F.col("_next")), "use").otherwise("check")
+    return rows.withColumn("advice", advice).filter(F.col("rank") <= top).select("module", "package", "version", "score", "rank", "advice")
+
+
+def cached_sources(cache: DataFrame, names: DataFrame, policy: int = 1) -> DataFrame:
+    """Usable cache rows of the named packages (package_name), with specifiers only where accepted under the policy."""
+    usable = cache.filter(F.btrim("source") != "").join(names.select("package_name").distinct(), "package_name", "left_semi")
+    return usable.withColumn("export_specifier", F.when(F.coalesce("policy_version", F.lit(-1)) == policy, F.col("export_specifier")))
