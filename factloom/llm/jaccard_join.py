@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bucket_of, documents, id_and_text, mixed, shingle_hashes, shuffle_buckets, steps, word_hashes, words_of
+from factloom.llm.common import bucket_of, by_bucket, documents, id_and_text, mixed, shingle_hashes, shuffle_buckets, steps, word_hashes, words_of
 from factloom.llm.components import components
 from factloom.session import written
 
@@ -40,9 +40,11 @@ SECOND, BEAR = 3, 2
 #: Parts beyond the least number, for pieces that happen to be empty.
 SPARE = 1.2
 #: Sets that share a signature before it counts as hot.
-HOT = 16
+HOT = 32
 #: Common shingles that are known by name where sets meet by prefixes.
 COMMON = 1 << 16
+#: Sets of a group that are compared with each other at once.
+BLOCK = 1024
 #: Counts in the outline of a set.
 CELLS = 64
 #: Packed signatures that a worker gathers before it hands them on.
@@ -296,11 +298,62 @@ def _sets(width: int):
     return run
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every shingle of every set."""
-    for batch in batches:
-        for blob in batch.column("hashes"):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(blob.as_buffer(), "<i8"))], ["shingle"])
+def _elements(buckets: int):
+    """All shingles of all sets with their keys, packed by shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            s, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+            for b, at in by_bucket(bucket_of(mixed(s), buckets), buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([s[at].tobytes() + keys[at].tobytes()], pa.binary())], ["bucket", "block"])
+
+        n = 0
+        for batch in batches:
+            for key, blob in zip(batch.column("key").to_pylist(), batch.column("hashes"), strict=True):
+                s = np.frombuffer(blob.as_buffer(), "<u8")
+                held.append((s, np.full(len(s), key, np.int64)))
+                n += len(s)
+            if n >= FLUSH:
+                yield from out()
+                held, n = [], 0
+        if held:
+            yield from out()
+
+    return run
+
+
+#: kind 0: a block of keys and how many shingles each has for itself, by key; kind 1: shingle a is in b sets.
+HELD = "kind int, bucket int, a long, b long, block binary"
+
+
+def _held(buckets: int, each: int):
+    def run(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_buffer(), np.uint64).reshape(2, -1) for x in table.column("block").combine_chunks()]
+        s, keys = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).view(np.int64)
+        order = np.lexsort((keys, s))
+        s, keys = s[order], keys[order]
+        fresh = np.append(True, (s[1:] != s[:-1]) | (keys[1:] != keys[:-1]))
+        s, keys = s[fresh], keys[fresh]
+        starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        df = np.diff(np.append(starts, len(s)))
+        own, n = np.unique(keys[starts[df == 1]], return_counts=True)
+        blocks = [(b, own[at].tobytes() + n[at].astype(np.int64).tobytes()) for b, at in by_bucket(bucket_of(mixed(own.view(np.uint64)), buckets), buckets)]
+        top = np.lexsort((s[starts], -df))[:each]
+        top = top[df[top] > 2]
+        k = len(blocks)
+        kinds = np.repeat(np.array([0, 1], np.int32), [k, len(top)])
+        columns = [kinds, np.concatenate([np.array([b for b, _ in blocks], np.int32), np.zeros(len(top), np.int32)]), np.concatenate([np.zeros(k, np.int64), s[starts[top]].view(np.int64)]), np.concatenate([np.zeros(k, np.int64), df[top]])]
+        return pa.table([*map(pa.array, columns), pa.array([x for _, x in blocks] + [None] * len(top), pa.binary())], names=["kind", "bucket", "a", "b", "block"])
+
+    return run
+
+
+def _own(table: pa.Table) -> pa.Table:
+    parts = [np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1) for x in table.column("block").combine_chunks()]
+    keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return pa.table([pa.array(keys), pa.array(np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64))], names=["key", "own"])
 
 
 def _prefixes(shared):
@@ -386,19 +439,57 @@ def _near(pairs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (u, v) of keys, those that link."""
-    sets = sets.join(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "key", "left_semi")
+    sets = sets.join(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct(), "key", "left_semi")
     of = lambda x: sets.select(F.col("key").alias(x), F.col("hashes").alias(f"h{x}"))
     both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", F.col("hu").alias("ha"), F.col("hv").alias("hb"))
     return both.mapInArrow(_shared, "u long, v long")
 
 
-def _apart(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (u, v) within a group (name, key) that the labels (node, root) leave in different components."""
-    rooted = groups.join(labels, groups["key"] == labels["node"], "left").select("name", "key", F.coalesce("root", "key").alias("root"))
-    mixed_ones = rooted.groupBy("name").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("name")
-    rooted = rooted.join(mixed_ones, "name")
-    other = rooted.select("name", F.col("key").alias("v"), F.col("root").alias("rv"))
-    return rooted.join(other, "name").filter(F.col("root") < F.col("rv")).select(F.least("key", "v").alias("u"), F.greatest("key", "v").alias("v")).distinct()
+MEMBERS = "slot int, name long, i int, j int, mine int, key long, root long, size int, own int, outline binary"
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Of the groups of a slot, pairs of different components that neither sizes, own shingles nor outlines rule out."""
+    get = lambda c: table.column(c).to_numpy()
+    name, i, j, mine, key, root = (get(c) for c in ("name", "i", "j", "mine", "key", "root"))
+    size, own = get("size").astype(np.int64), get("own").astype(np.int64)
+    shape = np.frombuffer(b"".join(table.column("outline").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+    order = np.lexsort((mine, j, i, name))
+    name, i, j, mine, key, root, size, own, shape = (x[order] for x in (name, i, j, mine, key, root, size, own, shape))
+    starts = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    us, vs = [], []
+    for a, b in zip(starts, np.append(starts[1:], len(name))):
+        # Between two blocks, the first block's rows against the second's; within one, each against the rest.
+        middle = a + int((mine[a:b] == i[a]).sum()) if i[a] != j[a] else b
+        for k in range(a, middle):
+            rest = slice(k + 1 if middle == b else middle, b)
+            common = np.minimum(size[k] - own[k], size[rest] - own[rest])
+            fit = (root[rest] != root[k]) & (common >= 3 * (own[k] + own[rest])) & (4 * size[rest] >= 3 * size[k]) & (4 * size[k] >= 3 * size[rest])
+            at = np.flatnonzero(fit)
+            if len(at):
+                at = at[np.abs(shape[rest][at] - shape[k]).sum(axis=1) * 7 <= size[k] + size[rest][at]]
+                others = key[rest][at]
+                us.append(np.minimum(others, key[k]))
+                vs.append(np.maximum(others, key[k]))
+    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+    pairs = np.unique(np.stack([u, v]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
+    return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+
+
+def _apart(groups: DataFrame, labels: DataFrame, keys: DataFrame, slots: int) -> DataFrame:
+    """Near pairs (u, v) within a group (name, key, own) that the labels (node, root) leave in different components.
+
+    What a set has for itself bounds how alike it can be to another: of both, at most the smaller rest is common, and both
+    sets' own shingles come on top. Groups are compared in blocks of bounded size, so that no task holds a whole large one, and
+    only pairs that pass are put out.
+    """
+    rooted = groups.join(labels, groups["key"] == labels["node"], "left").select("name", "key", "own", F.coalesce("root", "key").alias("root"))
+    of = rooted.groupBy("name").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi")
+    rows = rooted.join(of.select("name", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "name").join(keys.select("key", "size", "outline"), "key")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("name", F.least("mine", "_o").alias("i"), F.greatest("mine", "_o").alias("j"), "mine", "key", "root", F.col("size").cast("int"), F.col("own").cast("int"), "outline")
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("name", "i", "j"), F.lit(slots)).cast("int")).select(*[c.split()[0] for c in MEMBERS.split(", ")])
+    return rows.groupBy("slot").applyInArrow(_compare, "u long, v long").distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -415,28 +506,41 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     weak = written(keys.join(hot, "key", "left").filter(F.col("room") - per * F.coalesce("n", F.lit(0)) <= 0).select("key"))
     stars = met.filter("kind = 0").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("n").alias("n"))
     near = written(_near(stars, keys))
-    sets = _fetched(docs, keys, near.select(F.explode(F.array("u", "v")).alias("key")).union(weak).distinct(), width)
+    sets = _fetched(docs, keys, near.select(F.col("u").alias("key")).union(near.select("v")).union(weak).distinct(), width)
 
     # Sets that signatures alone can't vouch for meet by their prefixes, rarest shingles first. Any order finds all pairs; this one,
     # by the most common shingles of these sets, a table of bounded size, keeps what many share out of the prefixes.
-    suspects = sets.join(weak, "key", "left_semi").select("key", "hashes")
-    often = suspects.mapInArrow(_elements, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 2").orderBy(F.desc("df"), "shingle").limit(COMMON).toArrow()
+    suspects = sets.join(weak, "key", "left_semi").select("key", "size", "hashes")
+    buckets = shuffle_buckets(spark)
+    held = suspects.select("key", "hashes").mapInArrow(_elements(buckets), BLOCKS)
+    held = written(held.groupBy("bucket").applyInArrow(_held(buckets, max(1, COMMON // buckets)), HELD))
+    # A set that has over a quarter of its shingles for itself is like no other.
+    alone = held.filter("kind = 0").select("bucket", "block").groupBy("bucket").applyInArrow(_own, "key long, own long")
+    suspects = suspects.join(written(alone), "key", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(4 * F.col("own") <= F.col("size"))
+    shares = written(suspects.select("key", "size", "own"))
+    suspects = suspects.select("key", "hashes")
+    often = held.filter("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("df")).toArrow()
     common, df = often["shingle"].to_numpy().view(np.uint64), often["df"].to_numpy()
     order = np.argsort(common)
     short = written(suspects.mapInArrow(_prefixes(spark.sparkContext.broadcast((common[order], df[order]))), "name long, key long"))
-    least = short.groupBy("name").agg(F.min("key").alias("u"), F.max("key").alias("hi")).filter("u <> hi").select("name", "u")
-    more = short.join(least, "name").filter("u <> key").groupBy("u", F.col("key").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    # The set with the least of its own is likely what the others were made from: it is held against all.
+    short = short.join(shares, "key")
+    least = short.groupBy("name").agg(F.min_by("key", F.struct(F.col("own") / F.col("size"), F.col("key"))).alias("u"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("name", "u")
+    more = short.join(least, "name").filter("u <> key").select(F.least("u", "key").alias("u"), F.greatest("u", "key").alias("v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
     fine = written(sets.mapInArrow(_fine, "key long, size long, fine binary"))
     near = written(_nearer(near.union(_near(more, keys)), fine).groupBy("u", "v").agg(F.sum("n").alias("n")))
 
     # First each set with the least member it shares most with; then what these links leave apart.
-    best = written(near.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v"))
+    ends = near.union(near.select("v", "u", "n"))
+    best = ends.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    best = written(best.distinct())
     links = written(_verified(best, sets))
     labels = components(links)
     lu, lv = labels.select(F.col("node").alias("u"), F.col("root").alias("ru")), labels.select(F.col("node").alias("v"), F.col("root").alias("rv"))
     rest = near.join(best, ["u", "v"], "left_anti").join(lu, "u", "left").join(lv, "v", "left").filter(F.coalesce("ru", "u") != F.coalesce("rv", "v"))
-    apart = written(_near(_apart(groups.union(short), labels).withColumn("n", F.lit(1).cast("long")), keys))
-    lacking = apart.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(sets.select("key"), "key", "left_anti")
+    met_again = groups.withColumn("own", F.lit(0)).union(short.select("name", "key", "own"))
+    apart = written(_apart(met_again, labels, keys, 8 * shuffle_buckets(spark)).withColumn("n", F.lit(1).cast("long")))
+    lacking = apart.select(F.col("u").alias("key")).union(apart.select("v")).distinct().join(sets.select("key"), "key", "left_anti")
     extra = _fetched(docs, keys, lacking, width)
     fine = fine.union(extra.mapInArrow(_fine, "key long, size long, fine binary"))
     rest = written(rest.select("u", "v").union(_nearer(apart, fine).select("u", "v")).distinct().join(best, ["u", "v"], "left_anti"))

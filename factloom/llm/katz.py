@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bucket_of, documents, held_out_remainder, id_and_text, mixed, shuffle_buckets, steps, word_hashes, words_of
+from factloom.llm.common import bucket_of, by_bucket, documents, held_out_remainder, id_and_text, mixed, shuffle_buckets, steps, word_hashes, words_of
 from factloom.session import written
 
 #: Words with contexts of their own, and pairs that are scored without a shuffle: bounds for what is broadcast.
@@ -83,15 +83,6 @@ def counted(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nd
     return values[starts], np.add.reduceat(counts[order], starts) if len(starts) else counts
 
 
-def by_bucket(to: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, places) of what each bucket gets, places in order."""
-    order = np.argsort(to, kind="stable")
-    ends = np.searchsorted(to[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if ends[b] < ends[b + 1]:
-            yield b, order[ends[b] : ends[b + 1]]
-
-
 def tokens(text: str) -> np.ndarray:
     return word_hashes(words_of(text))
 
