@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +21,16 @@ SPACE = " \t\n\x0b\f\r"
 STEP_BYTES = 4_000_000
 
 
+@functools.cache
+def frugal() -> None:
+    """Once in a worker: what numpy and Arrow have freed goes back to the system, as workers stay on after their largest task."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 17)  # M_MMAP_THRESHOLD: blocks from this size are mapped, and unmapped when freed
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -29,6 +42,7 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of bounded size; null texts come as empty ones."""
+    frugal()
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
         at, size = 0, 0

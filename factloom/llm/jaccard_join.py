@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bucket_of, by_bucket, documents, id_and_text, mixed, shingle_hashes, shuffle_buckets, steps, word_hashes, words_of
+from factloom.llm.common import bucket_of, by_bucket, documents, frugal, id_and_text, mixed, shingle_hashes, shuffle_buckets, steps, word_hashes, words_of
 from factloom.llm.components import components
 from factloom.session import written
 
@@ -244,8 +244,17 @@ def _blocks(width: int, buckets: int):
 MET = "kind int, a long, b long, n long, room int, outline binary"
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each occurs, without copying the pairs into records."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    starts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
+    return a[starts], b[starts], np.diff(np.append(starts, len(a)))
+
+
 def _meet(table: pa.Table) -> pa.Table:
     """What the sets of a bucket have in common; documents and sets are passed on."""
+    frugal()
     sigs, keys, role, lost, lost_role, docs, sets = (np.concatenate(x) for x in zip(*[_unpack(x.as_py()) for x in table.column("block")], strict=True))
     order = np.lexsort((keys, sigs))
     sigs, keys, role = sigs[order], keys[order], role[order]
@@ -258,19 +267,16 @@ def _meet(table: pa.Table) -> pa.Table:
     rows: list[tuple] = []
     hot_keys, hot_roles = np.concatenate([keys[hot], lost]), np.concatenate([role[hot], lost_role])
     if len(hot_keys):
-        pairs, n = np.unique(np.stack([hot_keys, hot_roles.astype(np.int64)]), axis=1, return_counts=True)
-        rows.append((2, pairs[0], pairs[1], n))
+        rows.append((2, *_distinct(hot_keys, hot_roles.astype(np.int64))))
     first = np.repeat(keys[starts], many) if len(keys) else keys
     star = ~hot & (each > 1) & (keys != first)
     if star.any():
-        pairs, n = np.unique(np.stack([first[star], keys[star]]), axis=1, return_counts=True)
-        rows.append((0, pairs[0], pairs[1], n))
+        rows.append((0, *_distinct(first[star], keys[star])))
     group = ~hot & (each > 2)
     if group.any():
         # Groups with the same members are one.
         name = np.repeat(mixed(np.add.reduceat(mixed(keys.view(np.uint64)), starts)), many).view(np.int64)
-        pairs = np.unique(np.stack([name[group], keys[group]]), axis=1)
-        rows.append((1, pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int64)))
+        rows.append((1, *_distinct(name[group], keys[group])))
     rows.append((3, docs["key"], docs["doc_id"], docs["size"]))
     sets = sets[np.lexsort((sets["doc_id"], 1 - sets["known"].astype(np.int8), sets["key"]))]
     sets = sets[np.append(True, sets["key"][1:] != sets["key"][:-1])[: len(sets)]]
@@ -330,6 +336,7 @@ HELD = "kind int, bucket int, a long, b long, block binary"
 
 def _held(buckets: int, each: int):
     def run(table: pa.Table) -> pa.Table:
+        frugal()
         parts = [np.frombuffer(x.as_buffer(), np.uint64).reshape(2, -1) for x in table.column("block").combine_chunks()]
         s, keys = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).view(np.int64)
         order = np.lexsort((keys, s))
@@ -376,6 +383,7 @@ def _prefixes(shared):
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs alike by 3/4, of joined rows with both sets."""
+    frugal()
     for batch in batches:
         keep = []
         for a, b in zip(batch.column("ha"), batch.column("hb"), strict=True):
@@ -390,6 +398,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sizes and outlines don't rule out that they are alike by 3/4."""
+    frugal()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -406,6 +415,7 @@ def fine_outline(hashes: np.ndarray) -> np.ndarray:
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    frugal()
     for batch in batches:
         fine = [fine_outline(np.frombuffer(x.as_buffer(), "<u8")).tobytes() for x in batch.column("hashes")]
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("size"), pa.array(fine, pa.binary())], ["key", "size", "fine"])
@@ -413,6 +423,7 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that fine outlines don't rule out."""
+    frugal()
     for batch in batches:
         keep = []
         for a, b, n, m in zip(batch.column("fu"), batch.column("fv"), batch.column("nu").to_pylist(), batch.column("nv").to_pylist(), strict=True):
@@ -450,6 +461,7 @@ MEMBERS = "slot int, name long, i int, j int, mine int, key long, root long, siz
 
 def _compare(table: pa.Table) -> pa.Table:
     """Of the groups of a slot, pairs of different components that neither sizes, own shingles nor outlines rule out."""
+    frugal()
     get = lambda c: table.column(c).to_numpy()
     name, i, j, mine, key, root = (get(c) for c in ("name", "i", "j", "mine", "key", "root"))
     size, own = get("size").astype(np.int64), get("own").astype(np.int64)
@@ -457,7 +469,7 @@ def _compare(table: pa.Table) -> pa.Table:
     order = np.lexsort((mine, j, i, name))
     name, i, j, mine, key, root, size, own, shape = (x[order] for x in (name, i, j, mine, key, root, size, own, shape))
     starts = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-    us, vs = [], []
+    us, vs, held = [], [], 0
     for a, b in zip(starts, np.append(starts[1:], len(name))):
         # Between two blocks, the first block's rows against the second's; within one, each against the rest.
         middle = a + int((mine[a:b] == i[a]).sum()) if i[a] != j[a] else b
@@ -471,9 +483,13 @@ def _compare(table: pa.Table) -> pa.Table:
                 others = key[rest][at]
                 us.append(np.minimum(others, key[k]))
                 vs.append(np.maximum(others, key[k]))
-    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-    pairs = np.unique(np.stack([u, v]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
-    return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+                held += len(others)
+        if held > FLUSH:
+            # The same pairs meet in many groups.
+            u, v, _ = _distinct(np.concatenate(us), np.concatenate(vs))
+            us, vs, held = [u], [v], 0
+    u, v, _ = _distinct(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs)))
+    return pa.table([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
 def _apart(groups: DataFrame, labels: DataFrame, keys: DataFrame, slots: int) -> DataFrame:
