@@ -176,11 +176,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             features = [statistics(t or "")[1] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(features, pa.list_(pa.float64()))], ["y", "x"])
 
-    got = texts.select("y", "text").mapInArrow(run, "y int, x array<double>").toPandas()
-    if got["y"].nunique() < 2:
+    got = texts.select("y", "text").mapInArrow(run, "y int, x array<double>").toArrow()
+    y = got["y"].to_numpy().astype(float)
+    if len(set(y.tolist())) < 2:
         return None
-    got = got.sort_values("x", key=lambda c: c.map(tuple)).reset_index(drop=True)
-    return grow(np.stack(got["x"].to_numpy()), got["y"].to_numpy(float), list(FEATURES.values()))
+    x = got["x"].combine_chunks().flatten().to_numpy().reshape(len(y), len(FEATURES))
+    # Rows come in any order; sums of floats shouldn't depend on it.
+    order = np.lexsort((y, *x.T))
+    return grow(x[order], y[order], list(FEATURES.values()))
 
 
 SCORED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"

@@ -69,8 +69,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def character_model(docs: DataFrame) -> np.ndarray:
     """log P(symbol | two before) as a 64 x 64 x 64 array, from all texts; its size doesn't depend on theirs."""
     n = np.zeros((SIZE * SIZE, SIZE))
-    for r in docs.select("doc_id", "text").mapInArrow(_count, "pair int, next int, n long").groupBy("pair", "next").agg(F.sum("n").alias("n")).toPandas().itertuples():
-        n[r.pair, r.next] = r.n
+    found = docs.select("doc_id", "text").mapInArrow(_count, "pair int, next int, n long").groupBy("pair", "next").agg(F.sum("n").alias("n")).toArrow()
+    n[found["pair"].to_numpy(), found["next"].to_numpy()] = found["n"].to_numpy()
     tri = n.reshape(SIZE, SIZE, SIZE)
     bi, uni = tri.sum(0), tri.sum((0, 1))
     p1 = (uni + 0.5) / (uni.sum() + 0.5 * SIZE)
@@ -165,24 +165,24 @@ def _terms_of(restored: str) -> set[str]:
 
 
 def _fit_terms(texts: list[str], y: list[int]) -> dict[str, float]:
+    """Terms and the logarithms of their odds; only what several toxic texts hold is counted at all."""
     seen: set[int] = set()
-    bad, good, n_bad, n_good = Counter(), Counter(), 0, 0
-    families: dict[str, set[str]] = {}
+    kept: dict[bool, list[str]] = {True: [], False: []}
     for text, label in zip(texts, y, strict=True):
         least = np.sort(shingle_hashes(word_hashes(words_of(text)), 5))[:3].tolist()
-        if any(x in seen for x in least):
-            continue
-        seen.update(least)
-        (bad if label else good).update(_terms_of(text))
-        n_bad, n_good = n_bad + bool(label), n_good + (not label)
-        for w in set(_WORD.findall(text)) if label else ():
-            for k in (4, 5, 6):
-                words = families.setdefault(w[:k], set())
-                if len(words) < FAMILY:
-                    words.add(w)
+        if not any(x in seen for x in least):
+            seen.update(least)
+            kept[bool(label)].append(text)
+    n_bad, n_good = len(kept[True]), len(kept[False])
     if not n_bad or not n_good:
         return {}
-    many = Counter((bad + good).values())
+    bad: Counter = Counter()
+    for text in kept[True]:
+        bad.update(_terms_of(text))
+    good: Counter = Counter()
+    for text in kept[False]:
+        good.update(t for t in _terms_of(text) if t in bad)
+    many = Counter(t + good[term] for term, t in bad.items())
     at_least, total = {}, 0
     for df in sorted(many, reverse=True):
         at_least[df] = total = total + many[df]
@@ -191,13 +191,18 @@ def _fit_terms(texts: list[str], y: list[int]) -> dict[str, float]:
         c = good[term]
         if t < 3 or t / (t + c) < max(0.8, share):
             continue
-        # A beginning that few words share says no more than those words.
-        if term[0] == "^" and len(families.get(term[1:], ())) < FAMILY:
-            continue
         # By how much the term's rows are toxic beyond their share, against what the luckiest of as many terms would show.
         surprise = t * math.log(t / (t + c) / share) + (c * math.log(c / (t + c) / (1 - share)) if c else 0)
-        if surprise > math.log(at_least[t + c]) + 3:
+        if surprise > math.log(at_least[t + c]) + 4:
             out[term] = math.log((t + 0.5) / (c + 0.5))
+    # A beginning that few words share says no more than those words.
+    families: dict[str, set[str]] = {term[1:]: set() for term in out if term[0] == "^"}
+    for text in kept[True] if families else ():
+        for w in set(_WORD.findall(text)):
+            for k in (4, 5, 6):
+                if (words := families.get(w[:k])) is not None and len(words) < FAMILY:
+                    words.add(w)
+    out = {term: x for term, x in out.items() if term[0] != "^" or len(families[term[1:]]) >= FAMILY}
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:TERMS])
 
 
@@ -223,13 +228,13 @@ def fit(docs: DataFrame, labels: DataFrame, chars: np.ndarray, sample: int = SAM
             texts = [" ".join(dict.fromkeys(restorer(t or "").split())) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(texts, pa.string())], ["doc_id", "y", "text"])
 
-    got = docs.join(F.broadcast(rows), "doc_id").select("doc_id", "y", "text").mapInArrow(restore, "doc_id long, y int, text string").toPandas()
-    got = got.sort_values(["doc_id", "text"]).reset_index(drop=True)
-    if got["y"].nunique() < 2:
+    got = docs.join(F.broadcast(rows), "doc_id").select("doc_id", "y", "text").mapInArrow(restore, "doc_id long, y int, text string").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    texts, y = got["text"].to_pylist(), got["y"].to_numpy()
+    if len(set(y.tolist())) < 2:
         return Model({}, (-30.0, 0.0, 0.0, 0.0))
-    terms = _fit_terms(got["text"].tolist(), got["y"].tolist())
+    terms = _fit_terms(texts, y.tolist())
     found = Model(terms, (0.0,) * 4)
-    return Model(terms, _fit_weights(np.array([found.evidence(t) for t in got["text"]]), got["y"].to_numpy(float)))
+    return Model(terms, _fit_weights(np.array([found.evidence(t) for t in texts]), y.astype(float)))
 
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int, restored string"
