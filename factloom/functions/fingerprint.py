@@ -157,3 +157,43 @@ def axis_rows(prints: DataFrame) -> DataFrame:
 def frame(source: str) -> pd.DataFrame:
     """The fingerprints of one text, for a look at them."""
     return pd.DataFrame([{"params": n, "statements": s, **axes} for n, s, axes in (fingerprint(p, b) for _, _, p, b in functions(source))])
+
+
+def bracket_tree(source: str | None) -> list[tuple[str, list[int]]]:
+    """(label, children) of every node of a text's bracket tree, the root first; names count as one label."""
+    nodes: list[tuple[str, list[int]]] = [("root", [])]
+    stack = [0]
+    for t in tokens(source):
+        if t in ")]}":
+            if len(stack) > 1:
+                stack.pop()
+            continue
+        label = "str" if t[0] in "\"'`" else "num" if t[0].isdigit() else "name" if _NAME.match(t) and t not in _WORDS else t
+        nodes[stack[-1]][1].append(len(nodes))
+        nodes.append((label, []))
+        if t in "([{":
+            stack.append(len(nodes) - 1)
+    return nodes
+
+
+def pq_grams(source: str | None, p: int = 2, q: int = 3) -> list[str]:
+    """Each node with p - 1 ancestors and every q children in a row, * where there is none; a bag, sorted."""
+    nodes, out = bracket_tree(source), []
+    stack = [(0, ("*",) * (p - 1))]
+    while stack:
+        at, above = stack.pop()
+        label, children = nodes[at]
+        stem = (*above, label)
+        row = ["*"] * (q - 1) + [nodes[c][0] for c in children] + ["*"] * (q - 1) if children else ["*"] * q
+        out += [" ".join((*stem, *row[k : k + q])) for k in range(len(row) - q + 1)]
+        stack += [(c, stem[1:]) for c in children]
+    return sorted(out)
+
+
+def wl_hashes(source: str | None, rounds: int = 3) -> list[int]:
+    """Weisfeiler-Lehman labels of all nodes after some rounds, as sorted hashes: what a node's surroundings look like."""
+    nodes = bracket_tree(source)
+    labels = [label for label, _ in nodes]
+    for _ in range(rounds):
+        labels = [f"{fnv1a('|'.join([labels[k], *sorted(labels[c] for c in children)]).encode()):x}" for k, (_, children) in enumerate(nodes)]
+    return sorted(int(x, 16) if rounds else fnv1a(x.encode()) for x in labels)

@@ -55,3 +55,11 @@ def test_function_coverage(spark):
     owned = spark.createDataFrame([(1, s, "p", v) for s, v in [(1, "1"), (2, "1"), (1, "2")]], "module long, span long, package string, version string")
     got = passes.function_coverage(owned, spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "module long, span long")).first()
     assert tuple(got) == (1, "p", "1", 2, 3)
+
+
+def test_tree_grams():
+    assert fp.pq_grams("") == ["* root * * *"]
+    assert fp.pq_grams("a b", 1, 2) == ["name * *", "name * *", "root * name", "root name *", "root name name"]
+    one, renamed, edited = (fp.pq_grams(s) for s in ("f(a, [b])", "g(x, [y])", "f(a, {b})"))
+    assert one == renamed != edited
+    assert fp.wl_hashes("f(a, [b])") == fp.wl_hashes("g(x, [y])") != fp.wl_hashes("f(a, {b})")
