@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         known = tempfile.mkdtemp(prefix="factloom-")
+        atexit.register(shutil.rmtree, known, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
@@ -50,6 +53,13 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Delete the tables that written() left in the shared folder, once no result needs them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/factloom")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers on this machine import this package from where the driver found it."""
     import os
