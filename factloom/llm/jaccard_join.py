@@ -459,8 +459,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 MEMBERS = "slot int, name long, i int, j int, mine int, key long, root long, size int, own int, outline binary"
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """Of the groups of a slot, pairs of different components that neither sizes, own shingles nor outlines rule out."""
+def _compare(table: pa.Table, buckets: int) -> pa.Table:
+    """Of the groups of a slot, pairs of different components that neither sizes, own shingles nor outlines rule out, packed by bucket: the same pair may meet in many groups."""
     frugal()
     get = lambda c: table.column(c).to_numpy()
     name, i, j, mine, key, root = (get(c) for c in ("name", "i", "j", "mine", "key", "root"))
@@ -489,6 +489,15 @@ def _compare(table: pa.Table) -> pa.Table:
             u, v, _ = _distinct(np.concatenate(us), np.concatenate(vs))
             us, vs, held = [u], [v], 0
     u, v, _ = _distinct(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs)))
+    blocks = [(b, u[at].tobytes() + v[at].tobytes()) for b, at in by_bucket(bucket_of(mixed(u.view(np.uint64)), buckets), buckets)]
+    return pa.table([pa.array([b for b, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], names=["bucket", "block"])
+
+
+def _pairs(table: pa.Table) -> pa.Table:
+    """The distinct pairs of a bucket."""
+    frugal()
+    parts = [np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1) for x in table.column("block").combine_chunks()]
+    u, v, _ = _distinct(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
     return pa.table([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
@@ -505,7 +514,9 @@ def _apart(groups: DataFrame, labels: DataFrame, keys: DataFrame, slots: int) ->
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("name", F.least("mine", "_o").alias("i"), F.greatest("mine", "_o").alias("j"), "mine", "key", "root", F.col("size").cast("int"), F.col("own").cast("int"), "outline")
     rows = rows.withColumn("slot", F.pmod(F.xxhash64("name", "i", "j"), F.lit(slots)).cast("int")).select(*[c.split()[0] for c in MEMBERS.split(", ")])
-    return rows.groupBy("slot").applyInArrow(_compare, "u long, v long").distinct()
+    buckets = 4 + slots // 64
+    packed = rows.groupBy("slot").applyInArrow(lambda table: _compare(table, buckets), BLOCKS)
+    return packed.groupBy("bucket").applyInArrow(_pairs, "u long, v long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
