@@ -53,7 +53,7 @@ def version_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT l_suppkey AS doc, l_returnflag AS feature, count(*) AS n FROM lineitem GROUP BY ALL), r AS (SELECT p_brand AS doc, l_returnflag AS feature, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), w AS (SELECT doc, sum(least(n, 25)) AS a FROM b GROUP BY 1)
-  SELECT b.doc AS "left", r.doc AS "right", round(2.0 * sum(least(b.n, r.n, 25)), 6) AS score, round(sum(least(b.n, r.n, 25)) / max(a), 6) AS coverage FROM b JOIN r USING (feature) JOIN w ON w.doc = b.doc GROUP BY ALL""")
+  SELECT b.doc AS "left", r.doc AS "right", CAST(2.0 * sum(least(b.n, r.n, 25)) AS DOUBLE) AS score, round(sum(least(b.n, r.n, 25)) / max(a), 6) AS coverage FROM b JOIN r USING (feature) JOIN w ON w.doc = b.doc GROUP BY ALL""")
 def structural_bag(spark: SparkSession, sf: str) -> DataFrame:
     """Bags compared by capped common counts."""
     l = table(spark, sf, "lineitem")

@@ -157,7 +157,7 @@ def accepted_name_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return dml.accepted_names(table(spark, sf, "events").withColumn("status", status), ["user_id"], "event_id").select("user_id", "event_id")
 
 
-@query("""SELECT conv_id, run, role, run_length FROM (SELECT conv_id, role, run, count(*) AS run_length FROM (SELECT *, sum(f) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT DISTINCT FROM role AND turn <> min(turn) OVER (PARTITION BY conv_id) THEN 0 ELSE 1 END AS f FROM conversations)) GROUP BY ALL)""")
+@query("""SELECT conv_id, CAST(run AS BIGINT) AS run, role, run_length FROM (SELECT conv_id, role, run, count(*) AS run_length FROM (SELECT *, sum(f) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT DISTINCT FROM role AND turn <> min(turn) OVER (PARTITION BY conv_id) THEN 0 ELSE 1 END AS f FROM conversations)) GROUP BY ALL)""")
 def gaps_and_islands_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Maximal stretches of one role in a conversation."""
     out = graph.runs(table(spark, sf, "conversations"), ["conv_id"], [F.col("turn")], "role")

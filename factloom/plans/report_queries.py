@@ -122,7 +122,7 @@ def highest_complete_tier(spark: SparkSession, sf: str) -> DataFrame:
     return reports.highest_complete(long, ["priced", "sized"], ["p_brand"])
 
 
-@query("""SELECT count(*) AS entries, count(*) FILTER (WHERE trim(coalesce(props, '')) = '') AS blank_sources, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-02') AS expired, count(*) FILTER (WHERE event_type = 'error') AS stale, count(*) FILTER (WHERE user_id <> 1) AS other_policy, 0 AS without_specifier, count(*) FILTER (WHERE event_id > 65536) AS oversize FROM events""")
+@query("""SELECT count(*) AS entries, count(*) FILTER (WHERE trim(coalesce(props, '')) = '') AS blank_sources, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-02') AS expired, count(*) FILTER (WHERE event_type = 'error') AS stale, count(*) FILTER (WHERE user_id <> 1) AS other_policy, CAST(0 AS BIGINT) AS without_specifier, count(*) FILTER (WHERE event_id > 65536) AS oversize FROM events""")
 def cache_health(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(F.col("props").alias("source"), F.col("ts").alias("expires_at"), (F.col("event_type") == "error").alias("stale"), F.col("user_id").alias("policy_version"), F.col("event_type").alias("export_specifier"), F.col("event_id").alias("source_size"))
     return reports.cache_audit(e, F.lit("2024-01-02").cast("timestamp"))
