@@ -40,7 +40,7 @@ SECOND, BEAR = 3, 2
 #: Parts beyond the least number, for pieces that happen to be empty.
 SPARE = 1.2
 #: Sets that share a signature before it counts as hot.
-HOT = 32
+HOT = 16
 #: Common shingles that are known by name where sets meet by prefixes.
 COMMON = 1 << 16
 #: Sets of a group that are compared with each other at once.
