@@ -1,19 +1,20 @@
 """A Katz backoff model of word pairs, counted over the corpus and evaluated on every text.
 
-Words are lower-cased runs between ASCII white space, and each text ends with one end token. HEADS words, the most frequent ones,
-are contexts and continuations of their own; the rest share one context and split its probability by their single counts. So
-P(w | h) = P(class of w | h) * P(w | class of w), and the chain backs off per token:
+Words are lower-cased runs between ASCII white space, and each text ends with one end token. Every word of the training rows is a
+context and a continuation of its own, and the chain backs off per token:
 
     P(g | h) = d(c(h, g)) c(h, g) / c(h)     where the pair was seen
              = alpha(h) P(g)                  otherwise, alpha(h) being what the discounts leave, over the P of unseen g
     P(w)     = d(c(w)) c(w) / N               and what is left is the probability of any unknown word
 
 Discounts d are Good-Turing's for counts up to 5 (Katz's renormalised form). For every context the probabilities of all
-classes, the unknown included, add up to 1.
+words, the unknown included, add up to 1.
 
 Counts travel as sorted, packed blocks, by word or by pair; contexts that hold much of the corpus are spread over several
 blocks. Single and pair counts are written as tables partitioned by block. Every text meets the tables again by block; pairs that are
-frequent enough to be among HEADS pairs are scored where the text is.
+frequent enough to be among HEADS pairs are scored where the text is. Pairs of two of the HEADS most frequent words go by places among
+these. A pair with another word (a wide pair) goes by hashes: the block of its continuation adds the single count, then the block of its
+context holds the pair, and what the context leaves is worked out there. HEADS bounds only what is broadcast.
 
 Defined results: a null or empty text is one end token; without training rows every token is unknown and has
 probability 1; null ids count as the empty text for the split; repeated rows are texts of their own; an empty table gives
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import bucket_of, by_bucket, documents, held_out_remainder, id_and_text, mixed, shuffle_buckets, steps, word_hashes, words_of
 from factloom.session import written
 
-#: Words with contexts of their own, and pairs that are scored without a shuffle: bounds for what is broadcast.
+#: Words that every worker knows, and pairs that are scored without a shuffle: bounds for what is broadcast.
 HEADS = 1 << 18
 #: Counts up to this are discounted.
 DISCOUNTED = 5
@@ -44,6 +45,8 @@ FLUSH = 2_000_000
 #: Sums of logarithms travel as whole numbers of this size.
 UNIT = 2.0**-30
 LOW48 = np.uint64((1 << 48) - 1)
+#: Marks the key of a word that is not among the heads: the low bits of its hash.
+RARE = np.uint64(1 << 48)
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -93,10 +96,10 @@ class Model(NamedTuple):
     buckets: int
     train_tokens: int
     types: int
-    heads: np.ndarray  # sorted hashes
-    counts: np.ndarray  # of heads, then of the rare class, of the end and of the start as contexts
-    single: np.ndarray  # log10 P of heads, of the rare class and of the end
-    alpha: np.ndarray  # log10 by context
+    frequent: np.ndarray  # sorted hashes of the heads
+    counts: np.ndarray  # of heads, then of all others, of the end and of the start as contexts
+    single: np.ndarray  # log10 P of heads, of all others and of the end
+    alpha: np.ndarray  # log10 by head
     discount1: np.ndarray
     discount2: np.ndarray
     flat: np.ndarray  # contexts whose pairs all have large counts lose half a count from each
@@ -106,19 +109,24 @@ class Model(NamedTuple):
     pair_logs: np.ndarray
     unigrams: DataFrame
     bigrams: DataFrame
+    wide: DataFrame
+
+    @property
+    def heads(self) -> np.ndarray:
+        """Hashes of all words with contexts of their own, which are those of the training rows; for small tables, as they come to the driver."""
+        return np.concatenate([np.zeros(0, np.uint64), *[unpack(r["block"], 2)[0] for r in self.unigrams.select("block").collect()]])
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.train_tokens + 0.1 * (self.types + 1)))
 
     def rare_log(self, c: np.ndarray) -> np.ndarray:
-        """log10 P(w | rare class) by training counts; 0 is any unknown word."""
+        """log10 P(w) by training counts; 0 is any unknown word."""
         d = self.discount1[np.minimum(c, DISCOUNTED + 1)]
-        p = np.where(c > 0, np.log10(np.maximum(d * c, 1e-300) / max(1, self.train_tokens)), self.unknown)
-        return p - self.single[len(self.heads)]
+        return np.where(c > 0, np.log10(np.maximum(d * c, 1e-300) / max(1, self.train_tokens)), self.unknown)
 
     def pair_log(self, code: np.ndarray, c: np.ndarray) -> np.ndarray:
         """log10 P(g | h) by pair counts."""
-        k = np.uint64(len(self.heads) + 3)
+        k = np.uint64(len(self.frequent) + 3)
         h, g = (code // k).astype(np.int64), (code % k).astype(np.int64)
         kept = self.discount2[np.minimum(c, DISCOUNTED + 1)] * c
         kept = np.where(self.flat[h], c - 0.5, kept)
@@ -133,12 +141,42 @@ def _classes(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
 
 
 def _pair_codes(text: str, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the pairs of a text, start and end included, and its word hashes."""
+    """Codes of the pairs of a text, start and end included, and the hashes of their second words, 0 for the end."""
     hashes = tokens(text)
     n = len(heads)
     g = np.append(_classes(hashes, heads), n + 1)
     h = np.append(n + 2, g[:-1])
-    return (h * (n + 3) + g).astype(np.uint64), hashes
+    return (h * (n + 3) + g).astype(np.uint64), np.append(hashes, np.uint64(0))
+
+
+def _wide_pairs(codes: np.ndarray, hashes: np.ndarray, n_heads: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs with a word that is no head, in one or more texts, and the keys of their two words."""
+    n, k = np.uint64(n_heads), np.uint64(n_heads + 3)
+    h, g = codes // k, codes % k
+    at = np.flatnonzero((h == n) | (g == n))
+    h, g = h[at], g[at]
+    # The word before is that of the place before; a text's first pair has the start there.
+    return at, np.where(h == n, RARE | (hashes[at - 1] & LOW48), h), np.where(g == n, RARE | (hashes[at] & LOW48), g)
+
+
+def _wide_block(h: np.ndarray, g: np.ndarray, n_heads: int, spread: np.ndarray, buckets: int) -> np.ndarray:
+    """The block of the context of a wide pair; only heads are dealt to several."""
+    rare = h >= RARE
+    part = mixed(g) % spread[np.where(rare, np.uint64(n_heads), h).astype(np.int64)].astype(np.uint64)
+    return bucket_of(mixed(np.where(rare, h, h * np.uint64(1 << 20) + part)), buckets)
+
+
+def _wide_key(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """One hash for a wide pair."""
+    return mixed(mixed(h) ^ (g * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _counted_wide(h: np.ndarray, g: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted, the sums of their counts, and a place of each."""
+    order = np.lexsort((g, h))
+    h, g = h[order], g[order]
+    starts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))[: len(h)])
+    return h[starts], g[starts], np.add.reduceat(counts[order], starts) if len(starts) else counts, order[starts]
 
 
 def _block_of(codes: np.ndarray, n_heads: int, spread: np.ndarray, buckets: int) -> np.ndarray:
@@ -218,19 +256,30 @@ def _sum_words(heads_each: int):
 def _count_pairs(buckets: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, spread = shared.value
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            codes, n = counted(np.concatenate(held))
+            """kind 0: pairs of heads. 1: wide pairs to the block of a second word that is no head. 2: other wide pairs to the block of the first."""
+            codes, hashes = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            wide, h, g = _wide_pairs(codes, hashes, len(heads))
+            h, g, n, at = _counted_wide(h, g, np.ones(len(wide), np.int64))
+            rare = g >= RARE
+            to = np.where(rare, bucket_of(hashes[wide[at]], buckets), _wide_block(h, g, len(heads), spread, buckets))
+            for kind, which in ((1, np.flatnonzero(rare)), (2, np.flatnonzero(~rare))):
+                for b, at in by_bucket(to[which], buckets):
+                    yield _row(b, kind, pack(h[which[at]], g[which[at]], n[which[at]]))
+            plain = np.ones(len(codes), bool)
+            plain[wide] = False
+            codes, n = counted(codes[plain])
             for b, at in by_bucket(_block_of(codes, len(heads), spread, buckets), buckets):
                 yield _row(b, 0, pack(codes[at], n[at]))
 
         for ids, texts in steps(batches):
             for doc_id, text in zip(ids, texts, strict=True):
                 if _trained(doc_id):
-                    held.append(_pair_codes(text, heads)[0])
-                    size += len(held[-1])
+                    held.append(_pair_codes(text, heads))
+                    size += len(held[-1][0])
             if size >= FLUSH:
                 yield from out()
                 held, size = [], 0
@@ -241,32 +290,98 @@ def _count_pairs(buckets: int, shared):
 
 
 #: kind 0: the pair counts of a block. 1: context a's types by count 1 to 6, in n1 to n6; b: the sum of its counts beyond 5; p: the P(g) of all it was seen with. 2: pair a has count b.
+#: 3: wide pairs for a block, with the single counts of second words that are no heads. 4: the wide pairs of a block. 5: types of its contexts that are no heads, by count 1 to 6.
 FEW = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
 PAIRS = f"bucket int, kind int, a long, b long, p double, {', '.join(f'{x} int' for x in FEW)}, block binary"
 _PAIRS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("p", pa.float64()), *[(x, pa.int32()) for x in FEW], ("block", pa.binary())])
 
 
-def _sum_pairs(pairs_each: int, shared):
-    def run(table: pa.Table) -> pa.Table:
-        n_heads, p1 = shared.value
+def _pair_rows(bucket: int, kind: int, a, b=None, p=None, few=None, block: bytes | None = None) -> pa.Table:
+    n = len(a)
+    few = np.zeros((n, DISCOUNTED + 1)) if few is None else few
+    return pa.Table.from_arrays([
+        pa.array(np.full(n, bucket, np.int32)), pa.array(np.full(n, kind, np.int32)),
+        *[pa.array(np.zeros(n, t) if x is None else np.asarray(x, t)) for x, t in ((a, np.int64), (b, np.int64), (p, np.float64))],
+        *[pa.array(np.ascontiguousarray(few[:, i]).astype(np.int32)) for i in range(DISCOUNTED + 1)], pa.array([block] * n, pa.binary()),
+    ], schema=_PAIRS)
+
+
+def _by_context(h: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of pairs sorted by context: the contexts, their types by count 1 to 6, the sums of their counts beyond 5, and of p."""
+    if not len(h):
+        return h, np.zeros((0, DISCOUNTED + 1)), np.zeros(0), np.zeros(0)
+    starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    few = np.stack([np.add.reduceat((n == r).astype(np.int32), starts) for r in range(1, DISCOUNTED + 2)], axis=1)
+    return h[starts], few, np.add.reduceat(np.where(n > DISCOUNTED, n, 0), starts), np.add.reduceat(p, starts)
+
+
+def _sum_pairs(pairs_each: int, buckets: int, shared):
+    def run(table: pa.Table, singles: pa.Table) -> pa.Table:
+        n_heads, p1, spread = shared.value
+        if not table.num_rows:
+            return pa.Table.from_batches([], _PAIRS)
         bucket = table.column("bucket")[0].as_py()
-        parts = [unpack(x.as_py(), 2) for x in table.column("block")]
-        codes, n = counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        del parts
-        k = np.uint64(n_heads + 3)
-        h, g = (codes // k).astype(np.int64), (codes % k).astype(np.int64)
-        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        few = np.stack([np.add.reduceat((n == r).astype(np.int32), starts) for r in range(1, DISCOUNTED + 2)], axis=1)
-        beyond, mass = np.add.reduceat(np.where(n > DISCOUNTED, n, 0), starts), np.add.reduceat(p1[g], starts)
+        rows = list(zip(table.column("kind").to_pylist(), table.column("block"), strict=True))
+
+        def of(kind: int, columns: int) -> list[np.ndarray]:
+            parts = [unpack(x.as_py(), columns) for k, x in rows if k == kind]
+            return [np.concatenate([np.zeros(0, np.uint64 if i == 0 else np.int64), *[p[i] for p in parts]]) for i in range(columns)]
+
+        codes, n = counted(*of(0, 2))
+        h, g = np.divmod(codes, np.uint64(n_heads + 3))
+        contexts, few, beyond, mass = _by_context(h, n, p1[g.astype(np.int64)])
         top = np.lexsort((codes, -n))[:pairs_each]
-        m, t = len(starts), len(top)
-        few = np.concatenate([np.zeros((1, DISCOUNTED + 1)), few, np.zeros((t, DISCOUNTED + 1))]).astype(np.int32)
-        return pa.Table.from_arrays([
-            pa.array(np.full(1 + m + t, bucket, np.int32)), pa.array(np.repeat(np.array([0, 1, 2], np.int32), [1, m, t])),
-            pa.array(np.concatenate([[0], h[starts], codes[top].astype(np.int64)])), pa.array(np.concatenate([[0], beyond, n[top]])), pa.array(np.concatenate([[0.0], mass, np.zeros(t)])),
-            *[pa.array(np.ascontiguousarray(few[:, i])) for i in range(DISCOUNTED + 1)],
-            pa.array([pack(codes, n)] + [None] * (m + t), pa.binary()),
-        ], schema=_PAIRS)
+        out = [_pair_rows(bucket, 0, [0], block=pack(codes, n)), _pair_rows(bucket, 1, contexts, beyond, mass, few), _pair_rows(bucket, 2, codes[top].astype(np.int64), n[top])]
+
+        h, g, n = of(1, 3)
+        if len(h):
+            h, g, n, _ = _counted_wide(h, g.view(np.uint64), n)
+            c = _counts_of(g & LOW48, *_by_low_bits([unpack(x.as_py(), 2) for x in singles.column("block")]))
+            for b, at in by_bucket(_wide_block(h, g, n_heads, spread, buckets), buckets):
+                out.append(_pair_rows(b, 3, [0], block=pack(h[at], g[at], n[at], c[at])))
+        h, g, n = of(2, 3)
+        if len(h):
+            h, g, n, _ = _counted_wide(h, g.view(np.uint64), n)
+            out.append(_pair_rows(bucket, 3, [0], block=pack(h, g, n, np.zeros(len(h)))))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _by_low_bits(blocks: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a block by the low bits of their hashes, and their counts."""
+    words = np.concatenate([np.zeros(0, np.uint64), *[b[0] for b in blocks]]) & LOW48
+    counts = np.concatenate([np.zeros(0, np.int64), *[b[1] for b in blocks]])
+    order = np.argsort(words, kind="stable")
+    return words[order], counts[order]
+
+
+def _counts_of(values: np.ndarray, have: np.ndarray, n: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(have, values), max(0, len(have) - 1))
+    return np.where(have[at] == values, n[at], 0) if len(have) else np.zeros(len(values), np.int64)
+
+
+def _single_p(g: np.ndarray, c: np.ndarray, p1: np.ndarray, discount1: np.ndarray, total: int) -> np.ndarray:
+    """P of second words of wide pairs; c are the single counts of those that are no heads."""
+    rare = g >= RARE
+    return np.where(rare, discount1[np.minimum(c, DISCOUNTED + 1)] * c / max(1, total), p1[np.where(rare, np.uint64(0), g).astype(np.int64)])
+
+
+def _sum_wide(shared):
+    """The wide pairs of a block, each of which comes once, and what they add to the sums of contexts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        p1, discount1, total = shared.value
+        bucket = table.column("bucket")[0].as_py()
+        h, g, n, c = (np.concatenate(x) for x in zip(*[unpack(x.as_py(), 4) for x in table.column("block")], strict=True))
+        order = np.lexsort((g, h))
+        h, g, n, c = h[order], g[order].view(np.uint64), n[order], c[order]
+        contexts, few, beyond, mass = _by_context(h, n, _single_p(g, c, p1, discount1, total))
+        head = contexts < RARE
+        return pa.concat_tables([
+            _pair_rows(bucket, 4, [0], block=pack(h, g, n, c)), _pair_rows(bucket, 1, contexts[head], beyond[head], mass[head], few[head]),
+            _pair_rows(bucket, 5, [0], few=few[~head].sum(0, keepdims=True)),
+        ])
 
     return run
 
@@ -309,16 +424,19 @@ def fit(docs: DataFrame, heads: int = HEADS) -> Model:
     spread = np.minimum(1 + contexts * 4 * buckets // max(1, total), 4 * buckets).astype(np.int64)
 
     pair_rows = docs.mapInArrow(_count_pairs(buckets, share((hashes, spread))), BLOCK)
-    pairs = written(pair_rows.groupBy("bucket").applyInArrow(_sum_pairs(each, share((len(hashes), p1))), PAIRS), "kind")
-    # A row for each context and block of its own: bounded by heads and blocks.
-    seen = pairs.filter("kind = 1").select("a", "b", "p", *FEW).toArrow()
+    singles = words.filter("kind = 0").select("bucket", "block")
+    pairs = written(pair_rows.groupBy("bucket").cogroup(singles.groupBy("bucket")).applyInArrow(_sum_pairs(each, buckets, share((len(hashes), p1, spread))), PAIRS), "kind")
+    wide = written(pairs.filter("kind = 3").groupBy("bucket").applyInArrow(_sum_wide(share((p1, d1, int(total)))), PAIRS), "kind")
+    # A row for each head and block of its own: bounded by heads and blocks.
+    seen = pairs.filter("kind = 1").unionByName(wide.filter("kind = 1")).select("a", "b", "p", *FEW).toArrow()
     few, beyond, mass = np.zeros((len(contexts), DISCOUNTED + 1)), np.zeros(len(contexts)), np.zeros(len(contexts))
     at = seen["a"].to_numpy()
     for i, x in enumerate(FEW):
         np.add.at(few[:, i], at, seen[x].to_numpy())
     np.add.at(beyond, at, seen["b"].to_numpy())
     np.add.at(mass, at, seen["p"].to_numpy())
-    d2 = good_turing({r: few[:, r - 1].sum() for r in range(1, DISCOUNTED + 2)})
+    others = wide.filter("kind = 5").agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in FEW]).first()
+    d2 = good_turing({r: few[:, r - 1].sum() + others[r - 1] for r in range(1, DISCOUNTED + 2)})
     r = np.arange(1, DISCOUNTED + 1)
     kept2 = beyond + few[:, :DISCOUNTED] @ (d2[r] * r)
     # A context seen with large counts only keeps nothing for the unseen; it gives half a count of each pair.
@@ -329,14 +447,14 @@ def fit(docs: DataFrame, heads: int = HEADS) -> Model:
     order = np.argsort(codes)
     codes, pair_counts = codes[order], pair_counts[order]
     if flat.any():
-        kinds = pairs.filter("kind = 0")
+        kinds = pairs.filter("kind = 0").unionByName(wide.filter("kind = 4"))
         kept2 = kept2 - 0.5 * _types_of(kinds, share((len(hashes), flat)), len(contexts))
     left, free = 1 - kept2 / np.maximum(contexts, 1), 1 - mass
     with np.errstate(divide="ignore", invalid="ignore"):
         alpha = np.where(contexts > 0, np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(free, 1e-12)), 0.0)
         single = np.log10(np.maximum(p1, 1e-300))
     alpha[len(hashes) + 1] = 0.0
-    model = Model(buckets, int(total), int(types), hashes, contexts, single, alpha, d1, d2, flat, float(np.log10(p0)), spread, codes, np.zeros(len(codes)), words.filter("kind = 0").select("bucket", "block"), pairs.filter("kind = 0").select("bucket", "block"))
+    model = Model(buckets, int(total), int(types), hashes, contexts, single, alpha, d1, d2, flat, float(np.log10(p0)), spread, codes, np.zeros(len(codes)), singles, pairs.filter("kind = 0").select("bucket", "block"), wide.filter("kind = 4").select("bucket", "block"))
     return model._replace(pair_logs=model.pair_log(codes, pair_counts))
 
 
@@ -346,23 +464,24 @@ def _types_of(tables: DataFrame, shared, n: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_heads, flat = shared.value
         for batch in batches:
-            for blob in batch.column("block"):
-                h = (unpack(blob.as_py(), 2)[0] // np.uint64(n_heads + 3)).astype(np.int64)
+            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("block"), strict=True):
+                h = unpack(blob.as_py(), 4)[0] if kind == 4 else unpack(blob.as_py(), 2)[0] // np.uint64(n_heads + 3)
+                h = h[h < RARE].astype(np.int64)
                 h, each = np.unique(h[flat[h]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(each)], ["a", "n"])
 
     out = np.zeros(n)
-    for r in tables.select("block").mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).collect():
+    for r in tables.select("kind", "block").mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).collect():
         out[r["a"]] = r["n"]
     return out
 
 
 def _look_up(shared):
-    """Sends what needs a table to its block: kind 0 pairs and kind 1 rare words with their texts' places, kind 2 the texts themselves with what is known of them."""
+    """Sends what needs a table to its block: kind 0 pairs, kind 1 words that are no heads and kind 4 wide pairs with their texts' places, kind 2 the texts themselves with what is known of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        n = len(m.heads)
+        n = len(m.frequent)
         base_of = m.base(m.counts[:n])
         end_base = m.base(m.counts[n + 2])
         part = TaskContext.get().partitionId() << 32
@@ -389,22 +508,26 @@ def _look_up(shared):
             for b, at in by_bucket(_text_block(uid, m.buckets), m.buckets):
                 ids = np.array([held[i][2] or 0 for i in at], np.int64)
                 yield _row(b, 2, pack(uid[at].astype(np.uint64), ids, np.array([held[i][2] is not None for i in at]), lengths[at], n_known[at], np.rint(base[at] / UNIT), np.rint(score[at] / UNIT)))
+            wide, h, g2 = _wide_pairs(code, words, n)
+            direct[wide] = True
             rest = np.flatnonzero(~direct)
             rest = rest[np.argsort(code[rest], kind="stable")]
             for b, at in by_bucket(_block_of(code[rest], n, m.spread, m.buckets), m.buckets):
                 yield _row(b, 0, pack(code[rest[at]], place[rest[at]]) + int(part + start).to_bytes(8, "little"))
-            # Rare words by hash; their places run along the words alone.
-            word_place = place[is_word]
-            rare = np.flatnonzero(g[is_word] == n)
+            order = np.lexsort((g2, h))
+            wide, h, g2 = place[wide[order]], h[order], g2[order]
+            for b, at in by_bucket(_wide_block(h, g2, n, m.spread, m.buckets), m.buckets):
+                yield _row(b, 4, pack(h[at], g2[at], wide[at]) + int(part + start).to_bytes(8, "little"))
+            rare = np.flatnonzero(g == n)
             to = bucket_of(words[rare], m.buckets)
             rare = rare[np.lexsort((words[rare] & LOW48, to))]
             for b, at in by_bucket(bucket_of(words[rare], m.buckets), m.buckets):
-                yield _row(b, 1, pack(words[rare[at]] & LOW48, word_place[rare[at]]) + int(part + start).to_bytes(8, "little"))
+                yield _row(b, 1, pack(words[rare[at]] & LOW48, place[rare[at]]) + int(part + start).to_bytes(8, "little"))
             assert ends[-1] == len(code)
 
         for ids, texts in steps(batches):
             for doc_id, text in zip(ids, texts, strict=True):
-                held.append((*_pair_codes(text, m.heads), doc_id))
+                held.append((*_pair_codes(text, m.frequent), doc_id))
                 size, seen = size + len(held[-1][0]), seen + 1
             if size >= FLUSH:
                 yield from out()
@@ -420,8 +543,44 @@ def _text_block(uid: np.ndarray, buckets: int) -> np.ndarray:
     return bucket_of(mixed((uid >> 9).astype(np.uint64)), buckets)
 
 
+class Wide:
+    """The wide pairs of a block, and what its contexts that are no heads leave."""
+
+    def __init__(self, m: Model, h: np.ndarray, g: np.ndarray, n: np.ndarray, c: np.ndarray) -> None:
+        self.model, g = m, g.view(np.uint64)
+        keys = _wide_key(h, g)
+        order = np.argsort(keys)
+        self.keys, self.n, self.c = keys[order], n[order], c[order]
+        p1 = 10.0**m.single
+        rare = h >= RARE
+        h, g, n, c = h[rare], g[rare], n[rare], c[rare]
+        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+        self.contexts = h[starts]
+        if len(starts):
+            self.counts, self.flat = np.add.reduceat(n, starts), np.minimum.reduceat(n, starts) > DISCOUNTED
+            kept = np.where(np.repeat(self.flat, np.diff(np.append(starts, len(n)))), n - 0.5, m.discount2[np.minimum(n, DISCOUNTED + 1)] * n)
+            left, free = 1 - np.add.reduceat(kept, starts) / self.counts, 1 - np.add.reduceat(_single_p(g, c, p1, m.discount1, m.train_tokens), starts)
+            self.alpha = np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(free, 1e-12))
+
+    def logs(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """log10 P(g | h), less log10 P(g) where g is no head: its own block adds that."""
+        m = self.model
+        keys, rare, other = _wide_key(h, g), h >= RARE, g >= RARE
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        n, c = (np.where(self.keys[at] == keys, x[at], 0) if len(self.keys) else np.zeros(len(keys), np.int64) for x in (self.n, self.c))
+        place = np.where(rare, np.uint64(len(m.frequent)), h).astype(np.int64)
+        counts, flat, alpha = m.counts[place], m.flat[place], np.where(rare, 0.0, m.alpha[place])
+        if len(self.contexts):
+            k = np.minimum(np.searchsorted(self.contexts, h), len(self.contexts) - 1)
+            known = rare & (self.contexts[k] == h)
+            counts, flat, alpha = np.where(known, self.counts[k], counts), np.where(known, self.flat[k], flat), np.where(known, self.alpha[k], alpha)
+        kept = np.where(flat, n - 0.5, m.discount2[np.minimum(n, DISCOUNTED + 1)] * n)
+        seen = np.log10(np.maximum(kept, 1e-300) / np.maximum(counts, 1)) - np.where(other, m.rare_log(c), 0.0)
+        return np.where(n > 0, seen, alpha + np.where(other, 0.0, m.single[np.where(other, np.uint64(0), g).astype(np.int64)]))
+
+
 def _answer(shared):
-    """Per block: what its pairs and rare words add to each text."""
+    """Per block: what its pairs and its words that are no heads add to each text."""
 
     def run(asked: pa.Table, table: pa.Table) -> pa.Table:
         m: Model = shared.value
@@ -430,21 +589,17 @@ def _answer(shared):
         uids, known, base, score = [], [], [], []
         rows = list(zip(asked.column("kind").to_pylist(), asked.column("block"), strict=True))
         passed = [(2, blob.as_py()) for kind, blob in rows if kind == 2]
-        stored = {kind: unpack(blob.as_py(), 2) for kind, blob in zip(table.column("kind").to_pylist(), table.column("block"), strict=True)}
+        stored = {kind: unpack(blob.as_py(), 4 if kind == 4 else 2) for kind, blob in zip(table.column("kind").to_pylist(), table.column("block"), strict=True)}
         empty = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
-        words, word_counts = stored.get(1, empty)
-        if len(words):
-            order = np.argsort(words & LOW48, kind="stable")
-            words, word_counts = words[order] & LOW48, word_counts[order]
+        words, word_counts = _by_low_bits([stored.get(1, empty)])
+        wide = Wide(m, *stored.get(4, [*empty, *empty[1:], *empty[1:]]))
         for kind, blob in rows:
             if kind == 2:
                 continue
             raw = blob.as_py()
-            value, place = unpack(raw[:-8], 2)
+            value, *g, place = unpack(raw[:-8], 3 if kind == 4 else 2)
             first = int.from_bytes(raw[-8:], "little")
-            have, n = (words, word_counts) if kind == 1 else stored.get(0, empty)
-            at = np.minimum(np.searchsorted(have, value), max(0, len(have) - 1))
-            c = np.where(have[at] == value, n[at], 0) if len(have) else np.zeros(len(value), np.int64)
+            c = _counts_of(value, *((words, word_counts) if kind == 1 else stored.get(0, empty)))
             here, back = np.unique(place, return_inverse=True)
             total = lambda x: np.bincount(back, x, len(here))  # noqa: B023, E731
             uids.append(first + here)
@@ -455,7 +610,7 @@ def _answer(shared):
             else:
                 known.append(np.zeros(len(here)))
                 base.append(np.zeros(len(here)))
-                score.append(total(m.pair_log(value, c)))
+                score.append(total(wide.logs(value, g[0].view(np.uint64)) if kind == 4 else m.pair_log(value, c)))
         out = []
         bucket = asked.column("bucket")[0].as_py()
         if uids:
@@ -493,9 +648,10 @@ def _total(train_tokens: int):
 
 def evaluate(docs: DataFrame, model: Model) -> DataFrame:
     """The model's and the base log10 probabilities of every row (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model._replace(unigrams=None, bigrams=None))
+    shared = docs.sparkSession.sparkContext.broadcast(model._replace(unigrams=None, bigrams=None, wide=None))
     asked = docs.mapInArrow(_look_up(shared), BLOCK)
-    tables = model.bigrams.select("bucket", F.lit(0).alias("kind"), "block").union(model.unigrams.select("bucket", F.lit(1).alias("kind"), "block"))
+    tables = [t.select("bucket", F.lit(kind).alias("kind"), "block") for kind, t in ((0, model.bigrams), (1, model.unigrams), (4, model.wide))]
+    tables = tables[0].union(tables[1]).union(tables[2])
     answers = asked.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(_answer(shared), BLOCK)
     return answers.groupBy("bucket").applyInArrow(_total(model.train_tokens), SCORES)
 

@@ -98,6 +98,20 @@ def test_equals_brute_force_and_adds_up_to_one(docs, heads):
         assert abs(r["base_score"] - base) < 1e-5 and abs(r["score"] - score) < 1e-5
 
 
+def test_rare_words_are_contexts_and_continuations_of_their_own(docs):
+    from types import SimpleNamespace
+
+    from factloom.llm.common import word_hashes
+
+    rows = corpus(n=400) + [(1000 + i, f"w{i % 90} rare{i % 40} alike{i % 40} w1 rare{i % 7}") for i in range(300)]
+    vocabulary = {x.encode() for i, t in rows if trained(i) for x in split(t)}
+    df = id_and_text(docs(*rows))
+    want, sums = brute(rows, 8, SimpleNamespace(heads=word_hashes(sorted(vocabulary))))
+    assert all(abs(s - 1) < 1e-9 for s in sums.values())
+    got = {r["doc_id"]: r for r in katz.evaluate(df, katz.fit(df, 8)).collect()}
+    assert len(got) == len(want) and all(abs(got[i]["score"] - score) < 1e-5 for i, *_, score in want)
+
+
 def test_odd_rows(docs, odd):
     got = katz.score(docs(*odd)).collect()
     assert len(got) == len(odd)
