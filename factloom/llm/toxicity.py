@@ -252,12 +252,13 @@ def _score(chars: np.ndarray, model: Model, with_text: bool):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """Every row's toxicity and, with_text, its restored lower-case text."""
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, key_col: str | None = None) -> DataFrame:
+    """Every row's toxicity and, with_text, its restored lower-case text. Labels go by id; results may go by another whole number, key_col."""
+    rows = id_and_text(docs, key_col or id_col, text_col)
     docs = id_and_text(docs, id_col, text_col)
     chars = character_model(docs)
     model = fit(docs, labels, chars)
-    return docs.mapInArrow(_score(chars, model, with_text), SCORED)
+    return rows.mapInArrow(_score(chars, model, with_text), SCORED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,34 @@ def test_odd_and_empty_documents(spark, docs, odd):
         for _, stage in p.STAGES[1:]:
             df = stage(spark, df, SMALL) if "doc_id" in df.columns else df
         assert df.count() >= 0
+
+
+PROSE = "The committee met on the {} floor to discuss the harbour plans, and after {} hours of calm talk its members agreed that the new bridge would open to all walkers by the end of {}."
+
+
+def test_verdicts_hold_for_a_row_and_not_for_its_id(spark, docs, monkeypatch):
+    clean, bad = PROSE.format("first", "two", "May"), PROSE.format("third", "nine", "June") + " BAD"
+    rows = [(None, clean), (None, bad), (7, clean), (7, bad), (8, None), (None, None)]
+    made = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+
+    def verdict(column):
+        def run(docs, *_, id_col="doc_id", key_col=None, **__):
+            return docs.select(p.F.col(key_col or id_col).alias("doc_id"), p.F.coalesce(p.F.col("text").endswith("BAD"), p.F.lit(False)).alias("bad")).select("doc_id", column)
+
+        return run
+
+    monkeypatch.setattr(p.quality, "labels_table", lambda *_: made)
+    monkeypatch.setattr(p.quality, "fit", lambda *_: None)
+    monkeypatch.setattr(p.toxicity, "score", verdict(p.F.col("bad").cast("int").alias("predicted")))
+    monkeypatch.setattr(p.quality, "judge", verdict((~p.F.col("bad")).alias("kept")))
+    for stage in (p.reject_toxic, p.reject_poor):
+        assert sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs(*rows), SMALL).collect()), key=repr) == sorted([x for x in rows if x[1] != bad], key=repr)
+
+
+def test_near_copies_under_one_id_or_none(spark, docs):
+    base = " ".join(f"word{k}" for k in range(80))
+    other, third = " ".join(f"other{k}" for k in range(60)), " ".join(f"third{k}" for k in range(60))
+    rows = [(None, base), (None, base + " tail"), (3, base + " end"), (5, base + " more"), (5, other), (None, third), (None, third), (None, third + " tail"), (None, None), (9, "")]
+    got = sorted(((r["doc_id"], r["text"]) for r in p.drop_near_copies(spark, docs(*rows), SMALL).collect()), key=repr)
+    assert len([x for x in got if (x[1] or "").startswith("third")]) == 1
+    assert [x for x in got if not (x[1] or "").startswith("third")] == sorted([(3, base + " end"), (5, other), (None, None), (9, "")], key=repr)
