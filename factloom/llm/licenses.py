@@ -1,11 +1,12 @@
 """License scans by conditional compression.
 
-A block is a line. Lines that hold a word of license language are compressed with zstandard once alone and once with each template as a raw
-dictionary; templates are ranked by how much smaller the line gets. The best of them are then compared word by word, and a line
+A block is a run of words around a word of license language, over line ends, as long as the longest template reaches; long runs are cut
+into blocks that overlap by a template's reach. A block is compressed with zstandard once alone and once with each template as a raw
+dictionary; templates are ranked by how much smaller the block gets. The best of them are then compared word by word, and a notice
 is reported only where the template's own words are all there, but for a small share; the differences are reported with it.
 
-Defined results: a null or empty text has no blocks; a line may report one license, the one with the fewest differences (on ties the
-larger reduction, then the name); repeated rows and null ids are scanned one by one; an empty table gives an empty one; other columns are ignored.
+Defined results: a null or empty text has no blocks; `line` is the one on which a notice begins; of notices that overlap the one with the
+fewest differences is reported (on ties the longer template, the larger reduction, then the name), and each license once for a line; repeated rows and null ids are scanned one by one; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from __future__ import annotations
 import difflib
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -40,9 +43,14 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
-CUE = re.compile(r"licen[cs]e|copyright|rights reserved|permission|redistribution|public domain|creative commons", re.IGNORECASE)
-#: Templates that are compared word by word for a line, and the share of a template's words that may be missing or come between.
+#: Between the words of a cue may be a line end and comment marks.
+CUE = re.compile(r"licen[cs]e|copyright|rights[\W_]+(?:(?:rem|dnl)\s+)?reserved|permission|redistribution|public[\W_]+(?:(?:rem|dnl)\s+)?domain|creative[\W_]+(?:(?:rem|dnl)\s+)?commons", re.IGNORECASE)
+#: Comment marks that are words.
+MARK = re.compile(r"^\W*(?:rem|dnl)\s", re.IGNORECASE)
+#: Templates that are compared word by word for a block, and the share of a template's words that may be missing or come between.
 RANKED = 3
+#: Words of a block.
+BLOCK = 160
 DIFFERENT = 0.1
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
@@ -74,33 +82,90 @@ def reductions(block: list[str]) -> list[tuple[float, str]]:
 
 def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
     """Words of the template that the block lacks, and words that stand between those it has."""
+    return compared(template, block)[:2]
+
+
+def compared(template: list[str], block: list[str]) -> tuple[list[str], list[str], int, int]:
+    """The differences, and where the notice begins and ends in the block."""
     found = [m for m in difflib.SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
     if not found:
-        return list(template), []
+        return list(template), [], 0, 0
     # The stretch around the longest match holds the notice; what matches far from it is other text.
     most = max(found, key=lambda m: (m.size, -m.b))
     reach = len(template)
     near = [m for m in found if most.b - reach <= m.b and m.b + m.size <= most.b + most.size + reach]
     here = {i for m in near for i in range(m.a, m.a + m.size)}
     inside = {i for m in near for i in range(m.b, m.b + m.size)}
-    return [w for i, w in enumerate(template) if i not in here], [block[i] for i in range(near[0].b, near[-1].b + near[-1].size) if i not in inside]
-
-
-def scan_block(line: str) -> tuple | None:
-    """(license, reduction, missing, extra) of a line, or None."""
-    block = words(line)
-    if not block:
-        return None
-    best = None
-    for saved, name in reductions(block)[:RANKED]:
-        if saved <= 0:
-            break
-        template = words(TEMPLATES[name])
-        missing, extra = differences(template, block)
-        wrong = len(missing) + len(extra)
-        if wrong <= DIFFERENT * len(template) and (best is None or (wrong, -len(template), -saved, name) < best[0]):
-            best = (wrong, -len(template), -saved, name), (name, saved, missing, extra)
-    return best and best[1]
+    start, end = near[0].b, near[-1].b + near[-1].size
+    return [w for i, w in enumerate(template) if i not in here], [block[i] for i in range(start, end) if i not in inside], start, end
+
+
+@functools.cache
+def _wanted() -> dict[str, tuple[list[str], Counter]]:
+    return {name: (words(text), Counter(words(text))) for name, text in TEMPLATES.items()}
+
+
+def _notices(name: str, block: list[str], lo: int, hi: int) -> Iterator[tuple[list[str], list[str], int, int]]:
+    """Where a template is in block[lo:hi], with its differences; on both sides of what is found, and in overlapping halves if the longest match is no notice."""
+    template, counts = _wanted()[name]
+    n, allowed = len(template), DIFFERENT * len(template)
+    # Exact: a notice has all words but the allowed ones.
+    if hi - lo < n - allowed or n - (counts & Counter(block[lo:hi])).total() > allowed:
+        return
+    missing, extra, a, b = compared(template, block[lo:hi])
+    if len(missing) + len(extra) <= allowed:
+        yield missing, extra, lo + a, lo + b
+        yield from _notices(name, block, lo, lo + a)
+        yield from _notices(name, block, lo + b, hi)
+    elif hi - lo > 2 * (n + int(allowed)) + 2:
+        middle = (lo + hi) // 2
+        yield from _notices(name, block, lo, middle + n + int(allowed))
+        yield from _notices(name, block, middle, hi)
+
+
+def _blocks(found: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of words around the cues."""
+    reach = max(int((1 + DIFFERENT) * len(t)) + 1 for t, _ in _wanted().values())
+    starts = np.cumsum([0, *[len(w) + 1 for w in found[:-1]]])
+    runs: list[list[int]] = []
+    for cue in CUE.finditer(" ".join(found)):
+        k = int(np.searchsorted(starts, cue.start(), "right")) - 1
+        lo, hi = max(0, k - reach), min(len(found), k + reach + 1)
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = hi
+        else:
+            runs.append([lo, hi])
+    for lo, hi in runs:
+        while hi - lo > BLOCK:
+            yield lo, lo + BLOCK
+            lo += BLOCK - reach
+        yield lo, hi
+
+
+def _candidates(block: list[str]) -> list[tuple[float, str]]:
+    """Templates to compare word by word."""
+    return [x for x in reductions(block)[:RANKED] if x[0] > 0]
+
+
+def scan_text(text: str) -> Iterator[tuple]:
+    """(line, license, reduction, missing, extra) of the notices of a text, in order."""
+    found, lines = [], []
+    for k, line in enumerate(text.split("\n")):
+        here = words(MARK.sub("", line))
+        found += here
+        lines += [k] * len(here)
+    hits = []
+    for lo, hi in _blocks(found):
+        for saved, name in _candidates(found[lo:hi]):
+            for missing, extra, a, b in _notices(name, found, lo, hi):
+                hits.append((len(missing) + len(extra), -len(_wanted()[name][0]), -saved, name, a, b, missing, extra))
+    taken: list[tuple[int, int]] = []
+    out = {}
+    for _, _, saved, name, a, b, missing, extra in sorted(hits, key=lambda h: h[:6]):
+        if all(b <= x or y <= a for x, y in taken):
+            taken.append((a, b))
+            out.setdefault((lines[a], name), (lines[a], name, -saved, missing, extra))
+    yield from (out[k] for k in sorted(out))
 
 
 FOUND = "doc_id long, line int, license string, reduction double, missing array<string>, extra array<string>, exact boolean"
@@ -112,15 +177,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, text in zip(ids, texts, strict=True):
             if CUE.search(text):
-                for k, line in enumerate(text.split("\n")):
-                    if CUE.search(line) and (hit := scan_block(line)):
-                        rows.append((doc_id, k, *hit, not hit[2] and not hit[3]))
+                rows += [(doc_id, *hit, not hit[3] and not hit[4]) for hit in scan_text(text)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each line that is a license notice."""
+    """A row for each license notice."""
     return id_and_text(docs, id_col, text_col).mapInArrow(_scan, FOUND)
 
 

@@ -36,3 +36,13 @@ def test_differences_are_exact():
 def test_odd_rows(docs, odd):
     assert licenses.scan(docs(*odd)).count() == 0
     assert licenses.scan(docs()).count() == 0
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "REM "])
+def test_wrapped_notices_are_found(docs, mark):
+    import textwrap
+
+    wrapped = {name: "\n".join(mark + x for x in ["Some code.", *textwrap.wrap(text, 30, break_on_hyphens=False, break_long_words=False), "More of it."]) for name, text in licenses.TEMPLATES.items()}
+    names = sorted(wrapped)
+    got = licenses.scan(docs(*[(i, wrapped[name]) for i, name in enumerate(names)])).collect()
+    assert {(names[r["doc_id"]], r["line"], r["license"], r["exact"]) for r in got} == {(name, 1, name, True) for name in names}
