@@ -2,8 +2,8 @@
 
 A block is a run of words around a word of license language, over line ends, as long as the longest template reaches; long runs are cut
 into blocks that overlap by a template's reach. A block is compressed with zstandard once alone and once with each template as a raw
-dictionary; templates are ranked by how much smaller the block gets. The best of them are then compared word by word, and a notice
-is reported only where the template's own words are all there, but for a small share; the differences are reported with it.
+dictionary; templates are ranked by how much smaller the block gets. All whose words the block has, but for a small share, are then
+compared word by word, whatever they save, and a notice is reported only where the template's own words are all there, but for a small share; the differences are reported with it.
 
 Defined results: a null or empty text has no blocks; `line` is the one on which a notice begins; of notices that overlap the one with the
 fewest differences is reported (on ties the longer template, the larger reduction, then the name), and each license once for a line; repeated rows and null ids are scanned one by one; an empty table gives an empty one; other columns are ignored.
@@ -47,8 +47,7 @@ TEMPLATES = {
 CUE = re.compile(r"licen[cs]e|copyright|rights[\W_]+(?:(?:rem|dnl)\s+)?reserved|permission|redistribution|public[\W_]+(?:(?:rem|dnl)\s+)?domain|creative[\W_]+(?:(?:rem|dnl)\s+)?commons", re.IGNORECASE)
 #: Comment marks that are words.
 MARK = re.compile(r"^\W*(?:rem|dnl)\s", re.IGNORECASE)
-#: Templates that are compared word by word for a block, and the share of a template's words that may be missing or come between.
-RANKED = 3
+#: The share of a template's words that may be missing or come between.
 #: Words of a block.
 BLOCK = 160
 DIFFERENT = 0.1
@@ -143,8 +142,10 @@ def _blocks(found: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def _candidates(block: list[str]) -> list[tuple[float, str]]:
-    """Templates to compare word by word."""
-    return [x for x in reductions(block)[:RANKED] if x[0] > 0]
+    """Templates to compare word by word: those whose words the block has, but for the allowed ones."""
+    have = Counter(block)
+    near = {name for name, (template, counts) in _wanted().items() if len(template) - (counts & have).total() <= DIFFERENT * len(template)}
+    return [x for x in reductions(block) if x[1] in near] if near else []
 
 
 def scan_text(text: str) -> Iterator[tuple]:

@@ -46,3 +46,12 @@ def test_wrapped_notices_are_found(docs, mark):
     names = sorted(wrapped)
     got = licenses.scan(docs(*[(i, wrapped[name]) for i, name in enumerate(names)])).collect()
     assert {(names[r["doc_id"]], r["line"], r["license"], r["exact"]) for r in got} == {(name, 1, name, True) for name in names}
+
+
+def test_every_notice_behind_long_prose_and_two_on_a_line(docs):
+    prose = "The permission to use this library under a public license is provided by the committee, which may modify the conditions of the work; " * 24
+    names = sorted(licenses.TEMPLATES)
+    got = licenses.scan(docs(*[(i, prose + licenses.TEMPLATES[name]) for i, name in enumerate(names)])).collect()
+    assert {(names[r["doc_id"]], r["license"]) for r in got} == {(name, name) for name in names}
+    both = f"{licenses.TEMPLATES['mit']} {licenses.TEMPLATES['cc-by-4.0']} {licenses.TEMPLATES['all-rights-reserved']}"
+    assert sorted(r["license"] for r in licenses.scan(docs((1, both))).collect()) == ["all-rights-reserved", "cc-by-4.0", "mit"]
