@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.session import written
+
 #: The white space of the contracts: \x20 and \x09-\x0D; bytes.split() and bytes.lower() keep to ASCII.
 SPACE = " \t\n\x0b\f\r"
 
@@ -40,20 +42,74 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of bounded size; null texts come as empty ones."""
+def steps(batches: Iterator[pa.RecordBatch], *also: str) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of bounded size; null texts come as empty ones. With further columns named, ids are tuples that hold these too."""
     frugal()
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-        at, size = 0, 0
-        lengths = np.diff(np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) else np.int64)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else []
-        for i, n in enumerate(lengths):
-            size += int(n)
-            if size >= STEP_BYTES:
-                yield ids[at : i + 1], [x or "" for x in texts.slice(at, i + 1 - at).to_pylist()]
-                at, size = i + 1, 0
-        if at < len(ids):
-            yield ids[at:], [x or "" for x in texts.slice(at).to_pylist()]
+        if also:
+            ids = list(zip(ids, *[batch.column(c).to_pylist() for c in also], strict=True))
+        for a, b in cuts(texts):
+            yield ids[a:b], [x or "" for x in texts.slice(a, b - a).to_pylist()]
+
+
+def cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts whose bytes are bounded, but for one long text at the end of a run."""
+    if not len(texts):
+        return
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    lengths = np.diff(np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1])
+    at, size = 0, 0
+    for i, n in enumerate(lengths):
+        size += int(n)
+        if size >= STEP_BYTES:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def filtered(docs: DataFrame, text_col: str, keep: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of docs, with all their columns, whose texts `keep()` keeps. Rows are judged where they are: nothing is shuffled or joined, and ids don't matter."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    place = docs.columns.index(text_col)
+    # The text that is judged, beside the row as it is.
+    rows = rows.withColumn("judged", F.col(names[place]).cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
+        verdict = keep()
+        for batch in batches:
+            texts = batch.column("judged")
+            for a, b in cuts(texts):
+                chosen = pa.array(verdict([x or "" for x in texts.slice(a, b - a).to_pylist()]), pa.bool_())
+                yield batch.slice(a, b - a).select(names).filter(chosen)
+
+    return rows.mapInArrow(run, rows.drop("judged").schema).toDF(*docs.columns)
+
+
+def one_text_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, y, text) for the rows (doc_id, y): of the texts of one id that whose hash is least, so that there are no more rows than were asked for."""
+    found = docs.join(F.broadcast(rows), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))).alias("text"))
+
+
+def attach(rows: DataFrame, values: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """rows joined with values, unique by `on`, however many rows share a key. Give written tables: both are read twice.
+
+    Keys with more rows than an even share of a task are no more than there are tasks; their values go to the rows. All others join by shuffle.
+    """
+    parts = shuffle_buckets(rows.sparkSession)
+    counts = rows.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_rows"))
+    total = rows.count()
+    hot = written(counts.filter(F.col("_rows") > max(256, total // parts)).select(on))
+    if hot.isEmpty():
+        return rows.join(values, on, how)
+    hot_values = values.join(F.broadcast(hot), on, "left_semi")
+    # Below parts + 1 keys by the filter above.
+    mine = rows.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_values), on, how)
+    return rows.join(F.broadcast(hot), on, "left_anti").join(values, on, how).unionByName(mine)
 
 
 def words_of(text: str) -> list[bytes]:

@@ -8,8 +8,8 @@ The forest is fitted on a bounded sample: the SAMPLE labelled rows that come fir
 fifth (crc32 of the id mod 5 = 0). Everything else runs over all rows and whole texts.
 
 Defined results: a null or empty text has no words and fails the base rules; without labels of both kinds there is no
-forest, and what passes the base rules is kept; labels that are null or name no document are ignored; repeated rows and null ids
-are judged one by one; an empty table gives an empty one.
+forest, and what passes the base rules is kept; labels that are null or name no document are ignored; of rows that share a labelled id, the one whose
+text has the least hash is learnt from; repeated rows and null ids are judged one by one; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import crc_mod, documents, id_and_text, shingle_hashes, steps, word_hashes
+from factloom.llm.common import crc_mod, documents, filtered, id_and_text, one_text_each, shingle_hashes, steps, word_hashes
 
 SAMPLE = 20_000
 SYMBOLS = b"#*$%&|<>"
@@ -168,15 +168,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     """A forest from at most `sample` labelled rows; None if they aren't of both kinds."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     rows = rows.filter(crc_mod(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # At most `sample` rows of an id and a label.
-    texts = id_and_text(docs, id_col, text_col).join(F.broadcast(rows), "doc_id")
+    texts = one_text_each(id_and_text(docs, id_col, text_col), rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            features = [statistics(t or "")[1] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(features, pa.list_(pa.float64()))], ["y", "x"])
+        for ids, found in steps(batches, "y"):
+            features = [statistics(t)[1] for t in found]
+            yield pa.RecordBatch.from_arrays([pa.array([y for _, y in ids], pa.int32()), pa.array(features, pa.list_(pa.float64()))], ["y", "x"])
 
-    got = texts.select("y", "text").mapInArrow(run, "y int, x array<double>").toArrow()
+    got = texts.mapInArrow(run, "y int, x array<double>").toArrow()
     y = got["y"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return None
@@ -189,19 +188,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 SCORED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
 
 
+def verdicts(texts: list[str], forest: Forest | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Base counts, base_failed, kept and the score of each text."""
+    found = [statistics(t) for t in texts]
+    counts = np.array([c for c, _ in found], np.int64).reshape(-1, 5)
+    score = forest.score(np.array([x for _, x in found])) if forest and found else np.ones(len(texts))
+    failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
+    return counts, failed, ~failed & (score >= KEEP_FROM), score
+
+
 def _judge(forest: Forest | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in steps(batches):
-            found = [statistics(t) for t in texts]
-            counts = np.array([c for c, _ in found], np.int64)
-            score = forest.score(np.array([x for _, x in found])) if forest else np.ones(len(ids))
-            failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
-            columns = [pa.array(ids, pa.int64()), *[pa.array(counts[:, k]) for k in range(5)], pa.array(failed), pa.array(~failed & (score >= KEEP_FROM)), pa.array(score)]
+            counts, failed, kept, score = verdicts(texts, forest)
+            columns = [pa.array(ids, pa.int64()), *[pa.array(counts[:, k]) for k in range(5)], pa.array(failed), pa.array(kept), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORED.split(", ")])
 
     return run
 
 
+def drop_poor(docs: DataFrame, forest: Forest | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are kept; each row is judged by its own text."""
+    return filtered(docs, text_col, lambda: lambda texts: verdicts(texts, forest)[2].tolist())
+
+
 def judge(docs: DataFrame, forest: Forest | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The base counts, base_failed, the forest's score and the verdict `kept` of every row."""
     return id_and_text(docs, id_col, text_col).mapInArrow(_judge(forest), SCORED)

@@ -1,8 +1,9 @@
 """Toxicity after noisy-channel deobfuscation.
 
-A character trigram model is counted over all documents. Stretches that look disguised (figures and signs inside words, single
-characters set apart, characters repeated) become lattices of what each character may stand for; Viterbi decoding
-under the model picks the reading, and the restored text is scored.
+A character trigram model is counted over all documents. Stretches of any length that look disguised (figures, signs and look-alikes
+of other scripts inside words, single characters set apart, characters repeated) become lattices of what each character may stand
+for; Viterbi decoding over all states of the model picks the reading, and the restored text is scored. In such a stretch, runs of one
+character are cut to three of it first, and marks that take no room are left out.
 
 The score is a logistic model of the strongest word or word-beginning found and of their strength together. It is fitted on a
 bounded sample, the SAMPLE labelled rows that come first by a hash of their id, all outside the held-out fifth (crc32 of the
@@ -10,12 +11,13 @@ id mod 5 = 0). Words count where they occur in toxic rows far more often than ch
 text's smallest shingle hashes count once, so that copies of one toxic text don't make its other words suspicious.
 
 Defined results: a null or empty text scores as one in which nothing was found; without labels of both kinds every score is
-0; labels that are null or name no document are ignored; repeated rows and null ids are scored one by one; an empty
-table gives an empty one.
+0; labels that are null or name no document are ignored; of rows that share a labelled id, the one whose text has the least hash is learnt from;
+repeated rows and null ids are scored one by one; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import crc_mod, documents, id_and_text, held_out_remainder, shingle_hashes, steps, word_hashes, words_of
+from factloom.llm.common import crc_mod, documents, filtered, id_and_text, held_out_remainder, one_text_each, shingle_hashes, steps, word_hashes, words_of
 
 SAMPLE = 12_000
 #: Words and beginnings that a model holds at most, the strongest first.
@@ -36,6 +38,9 @@ TERMS = 8192
 FAMILY = 5
 #: What characters stand for in disguise (fixed values).
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "¡": "i"}
+#: Letters of other scripts that look like Latin ones, and marks without width (fixed values).
+LOOKS_LIKE = dict(zip("аеорсухіјѕԁԛԝкмтнвαικνορτυχ", "aeopcyxijsdqwkmthbaikvoptux", strict=True)) | {chr(0xFF41 + i): chr(ord("a") + i) for i in range(26)}
+WITHOUT_WIDTH = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 #: Symbols of the character model: 0 for anything that is no letter, then letters.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåæçéèêëíìîïñóòôöõøœúùûüýÿß"
 SIZE = 64
@@ -44,7 +49,65 @@ CODE = np.full(0x180, 0, np.uint8)
 for _i, _c in enumerate(LETTERS):
     CODE[ord(_c)] = CODE[ord(_c.upper()) if len(_c.upper()) == 1 and ord(_c.upper()) < 0x180 else ord(_c)] = _i + 1
 
-_DISGUISED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*(?:[0-9@$|+(€£*¡]|!(?=\w)|(\w)\1\1))\S{2,40}(?!\S)|(?<![^\W_])(?:[^\W_][ ._\-*]{1,2}){3,30}[^\W_](?![^\W_])|(?<![^\W_])(?:[\w@$!|+(*][ ._\-]){3,30}[\w@$!|+*](?![^\W_])")
+#: What may set characters of one word apart.
+_BETWEEN = r" ._\-*/|~"
+_DISGUISED = re.compile(
+    r"(?<!\S)(?=\S*[^\W\d_])(?=\S*(?:[0-9@$|+(€£*¡" + WITHOUT_WIDTH + r"]|!(?=\w)|(\w)\1\1|(?<=[a-z])[" + "".join(LOOKS_LIKE) + "]|[" + "".join(LOOKS_LIKE) + r"](?=[a-z])))\S{2,}(?!\S)"
+    rf"|(?<![^\W_])(?:[^\W_][{_BETWEEN}]{{1,4}}){{3,}}[^\W_](?![^\W_])|(?<![^\W_])(?:[\w@$!|+(*][ ._\-]){{3,}}[\w@$!|+*](?![^\W_])"
+)
+#: Bits by character for finding where a match may lie at all.
+_SPACE, _ALNUM, _SIGN, _APART, _ELEMENT = 1, 2, 4, 8, 16
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    kinds = np.zeros(1 << 16, np.uint8)
+    signs = set("0123456789@$|+(€£*¡!" + WITHOUT_WIDTH) | set(LOOKS_LIKE)
+    for i in range(1 << 16):
+        c = chr(i)
+        word = re.match(r"\w", c) is not None
+        kinds[i] = _SPACE * c.isspace() | _ALNUM * (word and c != "_") | _SIGN * (c in signs) | _APART * (c in " ._-") | _ELEMENT * (word or c in "@$!|+(*")
+    # Stands for all characters beyond.
+    kinds[-1] = _ALNUM | _ELEMENT
+    return kinds
+
+
+def suspicious(text: str) -> list[tuple[int, int]]:
+    """Stretches from white space to white space outside of which _DISGUISED matches nothing."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(points) < 2:
+        return []
+    kinds = _kinds()[np.minimum(points, 0xFFFF)]
+    has = lambda bit: (kinds & bit) != 0
+    alnum = has(_ALNUM)
+    found = [np.flatnonzero(has(_SIGN)), np.flatnonzero((points[2:] == points[1:-1]) & (points[1:-1] == points[:-2]) & has(_ELEMENT)[2:])]
+    runs = [(x, x + 1) for x in found]
+    # Four single characters or more, a few marks between them.
+    padded = np.concatenate([[False], alnum, [False]])
+    single = np.flatnonzero(alnum & ~padded[:-2] & ~padded[2:])
+    if len(single) > 3:
+        near = single[3:] - single[:-3]
+        steps_ = np.maximum(np.maximum(single[1:-2] - single[:-3], single[2:-1] - single[1:-2]), single[3:] - single[2:-1])
+        at = np.flatnonzero(steps_ <= 5)
+        runs.append((single[at], single[at] + near[at] + 1))
+    if len(points) > 6:
+        then = has(_ELEMENT)[:-1] & has(_APART)[1:]
+        at = np.flatnonzero(then[:-5] & then[2:-3] & then[4:-1] & has(_ELEMENT)[6:])
+        runs.append((at, at + 7))
+    starts, ends = (np.concatenate(x) for x in zip(*runs, strict=True))
+    if not len(starts):
+        return []
+    spaces = np.flatnonzero(has(_SPACE))
+    bounds = np.concatenate([[-1], spaces, [len(points)]])
+    starts, ends = bounds[np.searchsorted(spaces, starts, "left")] + 1, bounds[np.searchsorted(spaces, ends - 1, "left") + 1]
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    fresh = np.append(True, starts[1:] > ends[:-1])
+    return list(zip(starts[fresh].tolist(), ends[np.append(np.flatnonzero(fresh)[1:] - 1, len(ends) - 1)].tolist(), strict=True))
+
+
+_RUN = re.compile(r"(\S)\1{3,}")
+_NO_WIDTH = re.compile(f"[{WITHOUT_WIDTH}]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -86,32 +149,40 @@ class Restorer:
         self.model, self.known = model, {}
 
     def __call__(self, text: str) -> str:
-        return _DISGUISED.sub(lambda m: self.decode(m[0]), text.lower())
+        text = text.lower()
+        out, at = [], 0
+        for a, b in suspicious(text):
+            for m in _DISGUISED.finditer(text, a, b):
+                out += [text[at : m.start()], self.decode(m[0])]
+                at = m.end()
+        return "".join([*out, text[at:]])
 
     def decode(self, stretch: str) -> str:
         """The likeliest reading; trailing stops are kept as they are."""
-        core = stretch.rstrip(".,;:!?\"')")
+        core = _RUN.sub(r"\1\1\1", _NO_WIDTH.sub("", stretch)).rstrip(".,;:!?\"')")
         if len(core) < 2:
             return stretch
         if core not in self.known:
             if len(self.known) > 50_000:
                 self.known.clear()
             self.known[core] = self._viterbi(core)
-        return self.known[core] + stretch[len(core) :]
+        return self.known[core] + stretch[len(stretch.rstrip(".,;:!?\"')")) :]
 
     def options(self, s: str, i: int) -> list[tuple[str, float]]:
         """What s[i] may stand for, with costs; '' leaves it out."""
         c = s[i]
         out = [(x, 0.7) for x in STANDS_FOR.get(c, "")]
+        if c in LOOKS_LIKE:
+            out.append((LOOKS_LIKE[c], 0.2))
         if c.isalpha():
             out.append((c, 0.0))
             if i and s[i - 1] == c:
                 again = i > 1 and s[i - 2] == c or i + 1 < len(s) and s[i + 1] == c
                 out.append(("", 0.1 if again else 3.0))
-        elif c in " ._-":
+        elif c in " ._-/~|*":
             # A sign between two single characters sets them apart; a space may also end a word.
             apart = (i < 2 or not s[i - 2].isalnum()) or (i + 2 >= len(s) or not s[i + 2].isalnum())
-            out += [("", 0.0 if apart else 5.0), (" ", 2.5 if c == " " else 5.0)]
+            out += [("", 0.0 if apart else 5.0), (" ", 2.5 if c == " " else 5.0)] if c not in "|*" else [("", 0.0 if apart else 4.0), (c, 4.0)]
         else:
             out.append((c, 4.0))
         return out
@@ -130,7 +201,7 @@ class Restorer:
                         state, total, tail = (a, b), score - cost - (1.5 if s[i].isalnum() else 0.0), path
                     if state not in after or after[state][0] < total:
                         after[state] = (total, tail)
-            best = dict(sorted(after.items(), key=lambda x: -x[1][0])[:48])
+            best = after
         total, path = max(((score + float(self.model[a, b, 0]), path) for (a, b), (score, path) in best.items()), key=lambda x: x[0])
         out = []
         while path:
@@ -223,12 +294,12 @@ def fit(docs: DataFrame, labels: DataFrame, chars: np.ndarray, sample: int = SAM
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(chars)
-        for batch in batches:
+        for ids, texts in steps(batches, "y"):
             # Each distinct word once: order and counts don't matter to the model, and a long text stays small.
-            texts = [" ".join(dict.fromkeys(restorer(t or "").split())) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(texts, pa.string())], ["doc_id", "y", "text"])
+            restored = [" ".join(dict.fromkeys(restorer(t).split())) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in ids], pa.int64()), pa.array([y for _, y in ids], pa.int32()), pa.array(restored, pa.string())], ["doc_id", "y", "text"])
 
-    got = docs.join(F.broadcast(rows), "doc_id").select("doc_id", "y", "text").mapInArrow(restore, "doc_id long, y int, text string").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    got = one_text_each(docs, rows).mapInArrow(restore, "doc_id long, y int, text string").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     texts, y = got["text"].to_pylist(), got["y"].to_numpy()
     if len(set(y.tolist())) < 2:
         return Model({}, (-30.0, 0.0, 0.0, 0.0))
@@ -252,13 +323,24 @@ def _score(chars: np.ndarray, model: Model, with_text: bool):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, key_col: str | None = None) -> DataFrame:
-    """Every row's toxicity and, with_text, its restored lower-case text. Labels go by id; results may go by another whole number, key_col."""
-    rows = id_and_text(docs, key_col or id_col, text_col)
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """Every row's toxicity and, with_text, its restored lower-case text."""
     docs = id_and_text(docs, id_col, text_col)
     chars = character_model(docs)
     model = fit(docs, labels, chars)
-    return rows.mapInArrow(_score(chars, model, with_text), SCORED)
+    return docs.mapInArrow(_score(chars, model, with_text), SCORED)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that aren't toxic; each row is judged by its own text."""
+    chars = character_model(id_and_text(docs, id_col, text_col))
+    model = fit(id_and_text(docs, id_col, text_col), labels, chars)
+
+    def keep():
+        restorer = Restorer(chars)
+        return lambda texts: [model.score(restorer(t)) < 0.5 for t in texts]
+
+    return filtered(docs, text_col, keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

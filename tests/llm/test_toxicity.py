@@ -41,7 +41,7 @@ def test_held_out_accuracy_and_schema(spark, rows):
     assert not any(p and not y for p, y in held)
 
 
-@pytest.mark.parametrize("text", ["you 1diot", "such an i d i o t here", "so stuuuupid", "w.o.r.t.h.l.e.s.s stuff", "$tupid", "IDIOT!!", "s t u p i d"])
+@pytest.mark.parametrize("text", ["you 1diot", "such an i d i o t here", "so stuuuupid", "w.o.r.t.h.l.e.s.s stuff", "$tupid", "IDIOT!!", "s t u p i d", "id" + "i" * 60 + "ot", "i*d*i*o*t", "s/t/u/p/i/d", "s   t   u   p   i   d", "\u0456di\u043et", "stu\u200bpid", "x1" * 30 + "-1d10t-" + "2y" * 30, "w.o.r.t.h.l.e.s.s. " * 12])
 def test_disguises_are_seen_through(spark, rows, text):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     restorer = toxicity.Restorer(toxicity.character_model(docs))
@@ -97,3 +97,22 @@ def test_odd_rows_and_tables_without_labels(spark, docs, odd):
     strange = spark.createDataFrame([(1, None), (None, 1), (99, 1), (4, 1), (4, 0)], "doc_id long, toxic int")
     assert toxicity.score(docs(*odd), strange).count() == len(odd)
     assert toxicity.score(docs(), none).count() == 0
+
+
+def test_a_repeated_id_is_learnt_from_once(spark, rows):
+    """One labelled id that very many rows share adds one text to what is learnt from."""
+    from factloom.llm.common import one_text_each
+
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    many = spark.range(50_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("idiot row "), "id").alias("text"))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, y int")
+    got = one_text_each(docs.union(many), labels)
+    assert got.count() == len(rows) and got.select("doc_id").distinct().count() == len(rows)
+    assert got.filter("doc_id = 1").first() == one_text_each(many.union(docs).repartition(7), labels).filter("doc_id = 1").first()
+
+
+def test_stretches_are_those_that_the_whole_pattern_finds():
+    random.seed(1)
+    for _ in range(20_000):
+        x = "".join(random.choice("aab1@ ._-*! /\u200b\u0430\u043e\U0001d41a_(|\u00e9~\n") for _ in range(random.randrange(1, 40)))
+        assert [m.span() for m in toxicity._DISGUISED.finditer(x)] == [m.span() for a, b in toxicity.suspicious(x) for m in toxicity._DISGUISED.finditer(x, a, b)]
