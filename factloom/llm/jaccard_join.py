@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bucket_of, by_bucket, documents, frugal, id_and_text, mixed, shingle_hashes, shuffle_buckets, steps, word_hashes, words_of
+from factloom.llm.common import attach, bucket_of, by_bucket, documents, frugal, mixed, shingle_hashes, shuffle_buckets, steps, word_hashes, words_of
 from factloom.llm.components import components
 from factloom.session import written
 
@@ -47,6 +47,8 @@ COMMON = 1 << 16
 BLOCK = 1024
 #: Counts in the outline of a set.
 CELLS = 64
+#: Rows of 8 bytes that are sent to all workers rather than shuffled.
+FEW = 1 << 20
 #: Packed signatures that a worker gathers before it hands them on.
 FLUSH = 1_000_000
 
@@ -145,8 +147,8 @@ def digest(hashes: np.ndarray) -> int:
     return int(mixed(np.array([total + np.uint64(len(hashes))], np.uint64)).astype(np.int64)[0])
 
 
-DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("key", "<i8"), ("size", "<i4")])
-KEY = np.dtype([("key", "<i8"), ("doc_id", "<i8"), ("known", "u1"), ("size", "<i4"), ("room", "<i4"), ("outline", "u1", CELLS)])
+DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("row", "<i8"), ("key", "<i8"), ("size", "<i4")])
+KEY = np.dtype([("key", "<i8"), ("doc_id", "<i8"), ("known", "u1"), ("row", "<i8"), ("size", "<i4"), ("room", "<i4"), ("outline", "u1", CELLS)])
 
 
 class Blocks:
@@ -159,23 +161,25 @@ class Blocks:
     def _clear(self) -> None:
         self.docs, self.sets, self.places, self.parts, self.n = [], [], {}, [], 0
 
-    def add(self, doc_id: int | None, hashes: np.ndarray) -> None:
+    def add(self, doc_id: int | None, row: int, hashes: np.ndarray) -> None:
         key = digest(hashes) if len(hashes) else 0
         known = doc_id is not None
-        self.docs.append((doc_id if known else 0, known, key, len(hashes)))
+        self.docs.append((doc_id if known else 0, known, row, key, len(hashes)))
         if not len(hashes):
             return
+        first = (not known, doc_id if known else 0, row)
         if (at := self.places.get(key)) is not None:
             # A copy only counts with its id.
-            if known and not (self.sets[at][2] and self.sets[at][1] <= doc_id):
-                self.sets[at] = (key, doc_id, True, *self.sets[at][3:])
+            _, old_id, old_known, old_row, *rest = self.sets[at]
+            if first < (not old_known, old_id, old_row):
+                self.sets[at] = (key, first[1], known, row, *rest)
             return
         found = signatures(hashes)
         for role, (sigs, _) in enumerate(found):
             self.parts.append((sigs, np.full(len(sigs), len(self.sets) * 2 + role, np.uint32)))
             self.n += len(sigs)
         self.places[key] = len(self.sets)
-        self.sets.append((key, doc_id if known else 0, known, len(hashes), min(room for _, room in found), outline(hashes)))
+        self.sets.append((key, first[1], known, row, len(hashes), min(room for _, room in found), outline(hashes)))
 
     def flush(self) -> Iterator[tuple[int, bytes]]:
         if not self.docs:
@@ -229,9 +233,9 @@ def _blocks(width: int, buckets: int):
                 yield pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int32()), pa.array([x[1]], pa.binary())], ["bucket", "block"])
 
         blocks = Blocks(buckets)
-        for ids, texts in steps(batches):
-            for doc_id, text in zip(ids, texts, strict=True):
-                blocks.add(doc_id, shingle_set(text, width))
+        for ids, texts in steps(batches, "row"):
+            for (doc_id, row), text in zip(ids, texts, strict=True):
+                blocks.add(doc_id, row, shingle_set(text, width))
             if blocks.n >= FLUSH:
                 yield from out(blocks)
         yield from out(blocks)
@@ -240,8 +244,8 @@ def _blocks(width: int, buckets: int):
 
 
 #: kind 0: sets a and b share n signatures, a being the least of those that do. kind 1: set b is in the group a. kind 2: n hot signatures of set a in role b.
-#: kind 3: document b has the set a of n shingles. kind 4: set a of n shingles, first found in document b, with room and outline.
-MET = "kind int, a long, b long, n long, room int, outline binary"
+#: kind 3: document b, in the row `row`, has the set a of n shingles. kind 4: set a of n shingles, first found in document b and its row, with room and outline.
+MET = "kind int, a long, b long, n long, room int, row long, outline binary"
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,7 +282,7 @@ def _meet(table: pa.Table) -> pa.Table:
         name = np.repeat(mixed(np.add.reduceat(mixed(keys.view(np.uint64)), starts)), many).view(np.int64)
         rows.append((1, *_distinct(name[group], keys[group])))
     rows.append((3, docs["key"], docs["doc_id"], docs["size"]))
-    sets = sets[np.lexsort((sets["doc_id"], 1 - sets["known"].astype(np.int8), sets["key"]))]
+    sets = sets[np.lexsort((sets["row"], sets["doc_id"], 1 - sets["known"].astype(np.int8), sets["key"]))]
     sets = sets[np.append(True, sets["key"][1:] != sets["key"][:-1])[: len(sets)]]
     rows.append((4, sets["key"], sets["doc_id"], sets["size"]))
     total = sum(len(r[1]) for r in rows) - len(sets)
@@ -288,8 +292,10 @@ def _meet(table: pa.Table) -> pa.Table:
     columns += [pa.array(np.concatenate([np.asarray(r[2], np.int64) for r in rows]), mask=unknown)]
     columns += [pa.array(np.concatenate([np.asarray(r[3], np.int64) for r in rows]))]
     columns += [pa.array(np.concatenate([np.zeros(total, np.int32), sets["room"]]), mask=np.arange(total + len(sets)) < total)]
+    plain = total - len(docs)
+    columns += [pa.array(np.concatenate([np.zeros(plain, np.int64), docs["row"], sets["row"]]), mask=np.arange(total + len(sets)) < plain)]
     columns += [pa.array([None] * total + [x.tobytes() for x in sets["outline"]], pa.binary())]
-    return pa.table(columns, names=["kind", "a", "b", "n", "room", "outline"])
+    return pa.table(columns, names=["kind", "a", "b", "n", "room", "row", "outline"])
 
 
 SETS = "key long, size long, hashes binary"
@@ -519,14 +525,20 @@ def _apart(groups: DataFrame, labels: DataFrame, keys: DataFrame, slots: int) ->
     return packed.groupBy("bucket").applyInArrow(_pairs, "u long, v long")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, key, component_id): documents whose shingle sets are alike by 3/4 are linked; `key` names equal sets."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, row_col: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, key, component_id): documents whose shingle sets are alike by 3/4 are linked; `key` names equal sets.
+
+    With row_col, a whole number that tells rows apart, also that of the row and `first_row`, that of its component's first one by id
+    (null ids last) and row_col.
+    """
     spark = docs.sparkSession
-    docs = id_and_text(docs, id_col, text_col)
+    row = F.col(row_col) if row_col else F.lit(0)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
     blocks = docs.mapInArrow(_blocks(width, 2 * shuffle_buckets(spark)), BLOCKS)
+    docs = docs.drop("row")
     met = written(blocks.groupBy("bucket").applyInArrow(_meet, MET), "kind")
     groups = met.filter("kind = 1").select(F.col("a").alias("name"), F.col("b").alias("key"))
-    keys = met.filter("kind = 4").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("n").alias("size"), "room", "outline")
+    keys = met.filter("kind = 4").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("n").alias("size"), "room", "row", "outline")
 
     hot = met.filter("kind = 2").groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy(F.col("a").alias("key")).agg(F.max("n").alias("n"))
     per = 1 if SECOND - BEAR == 1 else BEAR + 1
@@ -574,11 +586,43 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     sets = sets.unionByName(extra)
     labels = components(links.union(_verified(rest, sets)))
 
-    named = keys.select("key", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("key", "component_id")
-    rows = met.filter("kind = 3").select(F.col("b").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("a")).alias("key"))
-    out = rows.join(named, "key", "left")
-    return out.select("doc_id", "n_shingles", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # Only sets with links have a component to look up; one of very many sets is looked up without bringing them together.
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    linked = written(labels.withColumnRenamed("node", "key").join(keys.select("key", first.alias("first")), "key"))
+    roots = written(linked.groupBy("root").agg(F.min("first").alias("least")))
+    least = attach(linked.select("key", "root"), roots, "root").select("key", "least")
+    named = written(keys.select("key", first.alias("first")).join(least, "key", "left").select("key", F.coalesce("least", "first").alias("first")))
+    rows = met.filter("kind = 3").select(F.col("b").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("a")).alias("key"), "row")
+    out = attach(rows, named, "key", "left")
+    alone = F.col("key").isNull()
+    columns = ["doc_id", "n_shingles", "key", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id")]
+    if row_col:
+        columns += ["row", F.when(alone, F.col("row")).otherwise(F.col("first.row")).alias("first_row")]
+    return out.select(*columns)
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, but one of each component stays: that of the least id, null ids last. Texts without words are in no component and stay.
+
+    Rows are told apart by hashes of id and text; of rows that share both, one stays if they have words.
+    """
+    row = F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.col(text_col).isNull(), F.col(text_col).cast("string"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    place = {c: names[i] for i, c in reversed(list(enumerate(docs.columns)))}
+    rows = docs.select("*", row.alias("row")).toDF(*names, "row")
+    grouped = written(join(rows, place[id_col], place[text_col], row_col="row").filter("n_shingles > 0").select("row", "first_row"))
+    gone = written(grouped.filter("row <> first_row").select("row").distinct())
+    twice = written(grouped.filter("row = first_row").groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row"))
+    kept = _without(rows, gone)
+    if not twice.isEmpty():
+        again = rows.join(twice, "row", "left_semi").dropDuplicates(["row"])
+        kept = _without(kept, twice).unionByName(again)
+    return kept.drop("row").toDF(*docs.columns)
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows but for those named in the written table gone; its 8 bytes a row go to the texts while they are few, else both are shuffled."""
+    return rows.join(F.broadcast(gone) if gone.count() <= FEW else gone, "row", "left_anti")
 
 
 def _fetched(docs: DataFrame, keys: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
