@@ -34,28 +34,34 @@ def line_keys(lines: Column, min_chars: int) -> Column:
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with `text_col` cleaned, and the columns n_lines and n_dropped."""
-    # One row per document and key, so a line that fills one document doesn't count more than once.
-    keyed = docs.select(F.col(id_col).alias("_id"), F.split(F.col(text_col), "\n").alias("_lines"))
-    keyed = keyed.select("_id", F.explode(F.array_distinct(F.filter(line_keys(F.col("_lines"), min_chars), lambda k: k.isNotNull()))).alias("_key"))
-    keyed = keyed.select("_id", F.col("_key.a").alias("_a"), F.col("_key.b").alias("_b"))
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: bool = True) -> DataFrame:
+    """docs with `text_col` cleaned, and, with `counts`, the columns n_lines and n_dropped in place of any that docs has under these names."""
+    # All columns of docs ride in one, so that none can clash with those used here.
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    row = lambda c: F.col("row").getField(c)
     # Nulls don't count in count_distinct and max; they get a number below all others.
-    keyed = keyed.withColumn("_id", F.coalesce(F.col("_id").cast("long"), F.lit(-(2**63))))
-    often = keyed.groupBy("_a", "_b").agg(F.count_distinct("_id").alias("_n"), F.max("_id").alias("_last")).filter(F.col("_n") >= min_docs).drop("_n")
+    doc = F.coalesce(row(id_col).cast("long"), F.lit(-(2**63))).alias("doc")
+    # One row per document and key, so a line that fills one document doesn't count more than once.
+    keyed = given.select(doc, F.split(row(text_col), "\n").alias("lines"))
+    keyed = keyed.select("doc", F.explode(F.array_distinct(F.filter(line_keys(F.col("lines"), min_chars), lambda k: k.isNotNull()))).alias("key"))
+    keyed = keyed.select("doc", F.col("key.a").alias("a"), F.col("key.b").alias("b"))
+    often = keyed.groupBy("a", "b").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("last")).filter(F.col("n") >= min_docs).drop("n")
     # Written, so that the join below reads nothing but its two sides and Spark can split a key that very many documents share.
     often = written(often)
-    lost = keyed.join(often, ["_a", "_b"]).filter(F.col("_id") != F.col("_last")).groupBy("_id").agg(F.collect_set(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))).alias("_lost"))
-    rows = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).join(lost, "_id", "left")
-    rows = rows.withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
+    lost = keyed.join(often, ["a", "b"]).filter(F.col("doc") != F.col("last")).groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("lost"))
+    rows = given.withColumn("doc", doc).join(lost, "doc", "left")
+    rows = rows.withColumn("lines", F.split(F.coalesce(row(text_col), F.lit("")), "\n"))
     # Only rows that lose something need their keys again.
-    drop = F.zip_with(F.col("_lines"), line_keys(F.col("_lines"), min_chars), lambda line, key: F.when(key.isNull() | ~F.array_contains(F.col("_lost"), key), line))
-    rows = rows.withColumn("_kept", F.when(F.col("_lost").isNotNull(), drop).otherwise(F.col("_lines")))
+    drop = F.zip_with(F.col("lines"), line_keys(F.col("lines"), min_chars), lambda line, key: F.when(key.isNull() | ~F.array_contains(F.col("lost"), key), line))
+    rows = rows.withColumn("kept", F.when(F.col("lost").isNotNull(), drop).otherwise(F.col("lines")))
+    text = F.array_join("kept", "\n").alias(text_col)
+    if not counts:
+        return rows.select(*[text if c == text_col else row(c).alias(c) for c in docs.columns])
     return rows.select(
-        *[F.col(c) for c in docs.columns if c != text_col and c not in ("n_lines", "n_dropped")],
-        F.array_join("_kept", "\n").alias(text_col),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.size(F.filter("_kept", lambda x: x.isNull())).cast("long").alias("n_dropped"),
+        *[row(c).alias(c) for c in docs.columns if c != text_col and c not in ("n_lines", "n_dropped")],
+        text,
+        F.size("lines").cast("long").alias("n_lines"),
+        F.size(F.filter("kept", lambda x: x.isNull())).cast("long").alias("n_dropped"),
     )
 
 
