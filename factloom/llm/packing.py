@@ -28,8 +28,8 @@ from factloom.session import written
 
 LENGTH = 2048
 CLOSING_ID = 0
-#: Pieces of one size whose ranks are counted together.
-GROUP = 256
+#: Pieces of one size whose ranks are counted together, and how many such groups a size has at most.
+GROUP, GROUPS = 256, 1 << 16
 
 
 class Slots(NamedTuple):
@@ -165,8 +165,13 @@ def place(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = rows.sparkSession
     # One row for each size: at most `length` of them.
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Full pieces, the bulk of a large corpus, are sequences by themselves and need no rank: any numbers above the others will do.
+    counts.pop(length, None)
     slots = plan(counts, length)
-    groups = F.element_at(F.array(*[F.lit(max(1, counts.get(i, 0) // GROUP)) for i in range(1, length + 1)]), F.col("length").cast("int"))
+    after = max((s.sequence + -(-s.count // s.each) for s in slots), default=0)
+    full = rows.filter(F.col("length") == length).select("*", (F.monotonically_increasing_id() + after).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rows = rows.filter(F.col("length") < length)
+    groups = F.element_at(F.array(*[F.lit(min(GROUPS, max(1, counts.get(i, 0) // GROUP))) for i in range(1, length + 1)]), F.col("length").cast("int"))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), groups))
     sizes = rows.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -177,7 +182,8 @@ def place(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     table = spark.createDataFrame([tuple(s) for s in slots] or [], "length long, _first long, _count long, _each long, _sequence long, _offset long")
     at = F.col("_rank") - F.col("_first")
     placed = ranked.join(F.broadcast(table), "length").filter((at >= 0) & (at < F.col("_count")))
-    return placed.withColumn("sequence_id", F.col("_sequence") + F.floor(at / F.col("_each"))).withColumn("offset", F.col("_offset") + at % F.col("_each") * F.col("length")).select(*rows.drop("_salt").columns, "sequence_id", "offset")
+    placed = placed.withColumn("sequence_id", F.col("_sequence") + F.floor(at / F.col("_each"))).withColumn("offset", F.col("_offset") + at % F.col("_each") * F.col("length")).select(*rows.drop("_salt").columns, "sequence_id", "offset")
+    return placed.unionByName(full)
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, closing: int = CLOSING_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
