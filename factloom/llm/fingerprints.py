@@ -58,9 +58,14 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def merged(df: DataFrame, keys: list[str], sketch: str) -> DataFrame:
-    """Sketches of unions of documents; partial sets combine before the shuffle."""
-    each = df.select(*keys, F.explode(sketch).alias("_h")).distinct()
+def sampled(sketch: Column, fraction: float = FRACTION) -> Column:
+    """The sketch without the hash that stands in for a text that kept none: what is left is a sample by the threshold alone."""
+    return F.filter(sketch, lambda h: F.shiftrightunsigned(h, 64 - round(-math.log2(fraction))) == 0)
+
+
+def merged(df: DataFrame, keys: list[str], sketch: str, fraction: float = FRACTION) -> DataFrame:
+    """Sketches of unions of documents, by the threshold alone; partial sets combine before the shuffle. A union without a hash below it has no row."""
+    each = df.select(*keys, F.explode(sampled(F.col(sketch), fraction)).alias("_h")).distinct()
     return each.groupBy(*keys).agg(F.sort_array(F.collect_list("_h")).alias(sketch))
 
 
