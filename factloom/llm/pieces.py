@@ -2,11 +2,12 @@
 
 Normalisation is done here: at each place of the text the longest prefix that the model's compiled character map (a
 double-array trie and a pool of replacements) knows is replaced, and each normalised byte records the original byte
-it came from. The library cuts the text into pieces; their lengths on the normalised text and the alignment give each
-piece the original bytes it covers.
+it came from. The normalised bytes are what is encoded: the library's merges run on them under a copy of the model whose own
+normaliser is switched off. The lengths of the pieces and the alignment give each piece the original bytes it covers.
 
 Defined results: a null text counts as empty; an empty text has begin and end ids alone and decodes to an empty
-text; ids may be null or repeated, rows are independent; an empty table gives an empty one; other columns are ignored.
+text; a text whose pieces don't add up to the normalised bytes (which no model here does) has ids but empty spans; ids may
+be null or repeated, rows are independent; texts are taken whole, however long; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -134,32 +135,34 @@ class Encoder:
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(blob)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=blob)
+        plain = sentencepiece_model_pb2.ModelProto()
+        plain.CopyFrom(proto)
+        spec = plain.normalizer_spec
+        spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = b"", False, False, False
+        self.merges = sentencepiece.SentencePieceProcessor(model_proto=plain.SerializeToString())
         symbols = tuple(p.piece.encode() for p in proto.pieces if p.type == 4)
         self.normalizer = Normalizer(proto.normalizer_spec, proto.trainer_spec.treat_whitespace_as_suffix, symbols)
         #: Normalised bytes under each id: a byte piece stands for one, control pieces for none, the unknown piece for what is left.
         self.width = np.array([1 if p.type == 6 else 0 if p.type == 3 else -1 if p.type == 2 else len(p.piece.encode()) for p in proto.pieces], np.int64)
 
-    def ids(self, text: str) -> list[int]:
-        return self.library.encode(text, add_bos=True, add_eos=True, num_threads=1)
-
-    def decode(self, ids: list[int]) -> str:
-        return self.library.decode(ids)
-
-    def spans(self, text: str, ids: list[int]) -> np.ndarray:
-        """A row of (first byte, byte after the last) of the original text for each id; control ids cover nothing."""
-        raw = text.encode()
-        normal, align = self.normalizer.normalize(raw)
+    def encode(self, text: str) -> tuple[list[int], np.ndarray]:
+        """The ids, and for each a row of (first byte, byte after the last) of the original text; control ids cover nothing."""
+        normal, align = self.normalizer.normalize(text.encode())
+        ids = self.merges.encode(normal, add_bos=True, add_eos=True, num_threads=1)
         width = self.width[np.asarray(ids, np.int64)]
         if (width < 0).any():
-            width = self._with_unknown(text, ids, width)
+            pieces = self.merges.encode(normal, out_type=str, add_bos=True, add_eos=True, num_threads=1)
+            width = np.array([len(p.encode()) if w < 0 else w for p, w in zip(pieces, width, strict=True)], np.int64)
         ends = np.cumsum(width)
         if ends[-1] != len(normal):
-            raise ValueError(f"the pieces cover {ends[-1]} of {len(normal)} normalised bytes")
-        return np.stack([align[ends - width], align[ends]], axis=1)
+            return ids, np.zeros((len(ids), 2), np.int64)
+        return ids, np.stack([align[ends - width], align[ends]], axis=1)
 
-    def _with_unknown(self, text: str, ids: list[int], width: np.ndarray) -> np.ndarray:
-        pieces = self.library.encode(text, out_type=str, add_bos=True, add_eos=True, num_threads=1)
-        return np.array([len(p.encode()) if w < 0 else w for p, w in zip(pieces, width, strict=True)], np.int64)
+    def ids(self, text: str) -> list[int]:
+        return self.encode(text)[0]
+
+    def decode(self, ids: list[int]) -> str:
+        return self.library.decode(ids)
 
 
 @functools.lru_cache(4)
@@ -172,14 +175,12 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string,
 
 
 def _full(doc_id, text: str, e: Encoder) -> tuple:
-    ids = e.ids(text)
-    spans = e.spans(text, ids)
+    ids, spans = e.encode(text)
     return doc_id, ids, spans[:, 0].tolist(), spans[:, 1].tolist(), e.decode(ids)
 
 
 def _digest(doc_id, text: str, e: Encoder) -> tuple:
-    ids = e.ids(text)
-    spans = e.spans(text, ids)
+    ids, spans = e.encode(text)
     sha = lambda x: hashlib.sha256(x).hexdigest()
     return doc_id, len(ids), sha(np.asarray(ids, "<u4").tobytes()), sha(e.decode(ids).encode()), sha(spans.astype("<u4").tobytes())
 
