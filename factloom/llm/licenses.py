@@ -5,8 +5,9 @@ into blocks that overlap by a template's reach. A block is compressed with zstan
 dictionary; templates are ranked by how much smaller the block gets. All whose words the block has, but for a small share, are then
 compared word by word, whatever they save, and a notice is reported only where the template's own words are all there, but for a small share; the differences are reported with it.
 
-Defined results: a null or empty text has no blocks; `line` is the one on which a notice begins; of notices that overlap the one with the
-fewest differences is reported (on ties the longer template, the larger reduction, then the name), and each license once for a line; repeated rows and null ids are scanned one by one; an empty table gives an empty one; other columns are ignored.
+Defined results: a null or empty text has no blocks; `line` is the one on which a notice begins; of notices that overlap the one that
+explains most words is reported, each difference counting against two (on ties the one with fewer differences, the larger reduction, then the name), and each
+license once for a line; very long texts are scanned in overlapping blocks; repeated rows and null ids are scanned one by one; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,33 +24,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm.common import documents, id_and_text, steps
+from factloom.llm.license_texts import TEMPLATES
 
-#: Notices as their authors publish them (fixed values).
-TEMPLATES = {
-    "all-rights-reserved": "All rights reserved.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-    "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "cc-by-4.0": "Licensed under CC BY 4.0.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "isc-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "lgpl-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "mit": "Released under the MIT License.",
-    "mit-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "unlicense": "This is free and unencumbered software released into the public domain.",
-}
 #: Between the words of a cue may be a line end and comment marks.
 CUE = re.compile(r"licen[cs]e|copyright|rights[\W_]+(?:(?:rem|dnl)\s+)?reserved|permission|redistribution|public[\W_]+(?:(?:rem|dnl)\s+)?domain|creative[\W_]+(?:(?:rem|dnl)\s+)?commons", re.IGNORECASE)
 #: Comment marks that are words.
 MARK = re.compile(r"^\W*(?:rem|dnl)\s", re.IGNORECASE)
-#: The share of a template's words that may be missing or come between.
 #: Words of a block.
-BLOCK = 160
+BLOCK = 640
+#: The share of a template's words that may be missing or come between.
 DIFFERENT = 0.1
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
@@ -159,7 +142,8 @@ def scan_text(text: str) -> Iterator[tuple]:
     for lo, hi in _blocks(found):
         for saved, name in _candidates(found[lo:hi]):
             for missing, extra, a, b in _notices(name, found, lo, hi):
-                hits.append((len(missing) + len(extra), -len(_wanted()[name][0]), -saved, name, a, b, missing, extra))
+                differ = len(missing) + len(extra)
+                hits.append((2 * differ - len(_wanted()[name][0]), differ, -saved, name, a, b, missing, extra))
     taken: list[tuple[int, int]] = []
     out = {}
     for _, _, saved, name, a, b, missing, extra in sorted(hits, key=lambda h: h[:6]):
