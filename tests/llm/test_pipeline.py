@@ -1,4 +1,5 @@
 import corpus_pipeline as p
+import numpy as np
 import pytest
 
 from tests.compare import SMALL
@@ -46,11 +47,29 @@ def test_what_is_kept_is_packed(stages):
 
 
 def test_odd_and_empty_documents(spark, docs, odd):
-    for rows in (odd, []):  # no n_chars here: the stage that follows the text needs it
-        df = docs(*rows)
-        for _, stage in p.STAGES[1:]:
-            df = stage(spark, df, SMALL) if "doc_id" in df.columns else df
-        assert df.count() >= 0
+    """Null, empty and blank texts have no words: they are toxic to nobody, fail the base rules, lose no line, are in no group and are packed."""
+    df = docs(*odd)
+    assert sorted(map(repr, p.reject_toxic(spark, df, SMALL).collect())) == sorted(map(repr, df.collect()))
+    assert p.reject_poor(spark, df, SMALL).count() == 0
+    assert [r["text"] for r in p.drop_lines(spark, df, SMALL).orderBy("doc_id", "text").collect()] == [t or "" for _, t in sorted(odd, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))]
+    kept = p.drop_near_copies(spark, df, SMALL).collect()
+    # One of the equal rows of 4 goes, and of 6 and 7, which are one word sequence, the latter.
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([x for x in dict.fromkeys(odd) if x[0] != 7], key=repr)
+    assert p.pack(spark, df, SMALL).count() == len(odd)
+    for name, stage in p.STAGES:
+        assert stage(spark, docs(), SMALL).count() == 0, name
+
+
+def test_columns_with_names_used_inside_are_carried_along(spark):
+    text = PROSE.format("first", "two", "May")
+    names = ["n_lines", "n_dropped", "_dropped", "_id", "row", "key", "doc", "lines", "c0", "judged", "first", "size", "_factloom_row", "n_chars"]
+    df = spark.createDataFrame([(1, text, *range(len(names))), (2, text + " END", *range(10, 10 + len(names)))], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, df, SMALL)
+        assert out.columns == df.columns, name
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert set(got) == ({1} if "Jaccard" in name else {1, 2}), name
+        assert [got[1][n] for n in names[:-1]] == list(range(len(names) - 1)), name
 
 
 PROSE = "The committee met on the {} floor to discuss the harbour plans, and after {} hours of calm talk its members agreed that the new bridge would open to all walkers by the end of {}."
@@ -59,20 +78,16 @@ PROSE = "The committee met on the {} floor to discuss the harbour plans, and aft
 def test_verdicts_hold_for_a_row_and_not_for_its_id(spark, docs, monkeypatch):
     clean, bad = PROSE.format("first", "two", "May"), PROSE.format("third", "nine", "June") + " BAD"
     rows = [(None, clean), (None, bad), (7, clean), (7, bad), (8, None), (None, None)]
-    made = spark.createDataFrame([], "doc_id long, toxic int, quality int")
-
-    def verdict(column):
-        def run(docs, *_, id_col="doc_id", key_col=None, **__):
-            return docs.select(p.F.col(key_col or id_col).alias("doc_id"), p.F.coalesce(p.F.col("text").endswith("BAD"), p.F.lit(False)).alias("bad")).select("doc_id", column)
-
-        return run
-
-    monkeypatch.setattr(p.quality, "labels_table", lambda *_: made)
+    monkeypatch.setattr(p.quality, "labels_table", lambda *_: spark.createDataFrame([], "doc_id long, toxic int, quality int"))
+    monkeypatch.setattr(p.toxicity, "character_model", lambda *_: np.full((64, 64, 64), -4.0, np.float32))
+    monkeypatch.setattr(p.toxicity, "fit", lambda *_: p.toxicity.Model({"bad": 6.0}, (-3.0, 1.0, 0.0, 0.0)))
+    got = p.reject_toxic(spark, docs(*rows), SMALL).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([x for x in rows if x[1] != bad], key=repr)
+    poor = "the same eight words come up here again " * 6
+    rows = [(None, clean), (None, poor), (7, clean), (7, poor), (7, clean + " More."), (8, None)]
     monkeypatch.setattr(p.quality, "fit", lambda *_: None)
-    monkeypatch.setattr(p.toxicity, "score", verdict(p.F.col("bad").cast("int").alias("predicted")))
-    monkeypatch.setattr(p.quality, "judge", verdict((~p.F.col("bad")).alias("kept")))
-    for stage in (p.reject_toxic, p.reject_poor):
-        assert sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs(*rows), SMALL).collect()), key=repr) == sorted([x for x in rows if x[1] != bad], key=repr)
+    got = p.reject_poor(spark, docs(*rows), SMALL).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([x for x in rows if x[1] not in (poor, None)], key=repr)
 
 
 def test_near_copies_under_one_id_or_none(spark, docs):
