@@ -1,10 +1,12 @@
 """A training corpus in five stages: toxic and poor documents go, repeated lines go, one document of each group of near copies stays, and what is left is packed.
 
 Each stage takes (spark, docs, sf_dir) and works on what the stage before kept, as it was written; all but the last return the columns of
-documents, whose n_chars follows the text. Columns beyond those are carried along. Labels are read from the same folder as the documents.
+documents, whose n_chars follows the text. Columns beyond those are carried along, whatever their names. Labels are read from the same
+folder as the documents.
 
-A verdict holds for a text under its id: rows that share an id, or have none, are judged one by one. Nulls and empty texts pass the first
-stage, fail the second (they have no words), and empty tables stay empty through all.
+A verdict holds for a row: rows that share an id, or have none, are judged one by one by their texts, however long these are. Nulls and
+empty texts pass the first stage and fail the second (they have no words). Of near copies the one with the least id stays, rows without
+an id coming last; of rows with one id and one text, one stays. Empty tables stay empty through all stages.
 """
 
 from __future__ import annotations
@@ -16,53 +18,26 @@ from factloom.llm import jaccard_join, line_dedup, packing, quality, toxicity
 from factloom.session import importable, written
 
 
-ROW = "_factloom_row"
-
-
-def _with_row(docs: DataFrame) -> DataFrame:
-    """docs and a hash of each row's id and text; null ids differ by their texts."""
-    return docs.withColumn(ROW, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
-
-
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs, with their row hashes, without the rows of the dropped hashes."""
-    return docs.join(dropped.select(ROW).distinct(), ROW, "left_anti")
-
-
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    docs = _with_row(docs)
-    scored = toxicity.score(docs, quality.labels_table(spark, sf_dir), with_text=False, key_col=ROW)
-    return _without(docs, written(scored.filter("predicted = 1").select(F.col("doc_id").alias(ROW)))).drop(ROW)
+    return toxicity.drop_toxic(docs, quality.labels_table(spark, sf_dir))
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    docs = _with_row(docs)
-    judged = quality.judge(docs, quality.fit(docs, quality.labels_table(spark, sf_dir)), id_col=ROW)
-    return _without(docs, written(judged.filter("not kept").select(F.col("doc_id").alias(ROW)))).drop(ROW)
+    return quality.drop_poor(docs, quality.fit(docs, quality.labels_table(spark, sf_dir)))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    cleaned = line_dedup.dedup_lines(docs).drop("n_lines", "n_dropped")
-    return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    cleaned = line_dedup.dedup_lines(docs, counts=False)
+    return cleaned.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each group stays; documents without words are in no group, and of rows that share id and text one stays."""
+    """One document of each group stays; documents without words are in no group."""
     importable(spark)
-    columns, docs = docs.columns, _with_row(docs)
-    grouped = jaccard_join.join(docs, id_col=ROW).groupBy(F.col("doc_id").alias(ROW)).agg(F.min("component_id").alias("_group"), F.count(F.lit(1)).alias("_n"))
-    grouped = written(grouped)
-    members = docs.select("doc_id", ROW).join(grouped, ROW)
-    best = members.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))).alias("_best"))
-    gone = grouped.select(ROW).join(best.select(F.col("_best.row").alias(ROW)), ROW, "left_anti")
-    kept = _without(docs, written(gone))
-    # Repeated rows are few, if there are any: only they are brought together.
-    twice = written(grouped.filter("_n > 1").select(ROW))
-    again = kept.join(twice, ROW, "left_semi")
-    return _without(kept, twice).unionByName(again.dropDuplicates([ROW])).select(*columns)
+    return jaccard_join.first_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
