@@ -656,8 +656,16 @@ def evaluate(docs: DataFrame, model: Model) -> DataFrame:
     return answers.groupBy("bucket").applyInArrow(_total(model.train_tokens), SCORES)
 
 
+def _steady(docs: DataFrame) -> DataFrame:
+    """docs as they are if they are plainly scanned, else written: texts are numbered by their place, which a task that runs again must find as it was."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    plain = all(node.lstrip(" +-:").startswith(("Project", "Filter", "Relation", "LocalRelation", "LogicalRDD")) for node in plan.splitlines())
+    return docs if plain else written(docs)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    docs = id_and_text(docs, id_col, text_col)
+    """The model's and the base log10 probabilities of every row."""
+    docs = _steady(id_and_text(docs, id_col, text_col))
     return evaluate(docs, fit(docs))
 
 

@@ -137,3 +137,24 @@ def test_blocks_round_trip():
     x, y = katz.unpack(katz.pack(a, b), 2)
     assert (x == a).all() and (y == b).all()
     assert katz.unpack(katz.pack(a[:0], b[:0]), 2)[0].size == 0
+
+
+def test_scores_depend_neither_on_partitions_nor_on_heads(spark, docs):
+    random.seed(9)
+    vocabulary = [f"w{int(random.paretovariate(0.8))}" for _ in range(4000)]
+    df = id_and_text(docs(*[(i, " ".join(random.choice(vocabulary) for _ in range(random.randrange(40)))) for i in range(150)]))
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions, heads in (("4", 64), ("13", 64), ("9", 1 << 18)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            found.append({r["doc_id"]: (r["score"], r["base_score"]) for r in katz.evaluate(df, katz.fit(df, heads)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for other in found[1:]:
+        assert all(found[0][i] == pytest.approx(other[i], abs=1e-6) for i in found[0])
+
+
+def test_only_what_is_no_plain_scan_is_written_first(docs):
+    df = id_and_text(docs((1, "a b"), (2, "c")))
+    assert katz._steady(df) is df
+    assert katz._steady(df.repartition(3)) is not df
