@@ -1,7 +1,8 @@
 """Graph operators on edges(src, dst): closures, components and fixpoints as driver loops over DataFrames.
 
 A loop's frontier is written to the shared folder each round, so lineage stays short and a lost executor costs one round; the driver only learns
-whether anything is left. Rules that look at a neighbourhood see the whole round before (all labels are published at once).
+whether anything is left. Rules that look at a neighbourhood see the whole round before (all labels are published at once). Loops to a fixpoint
+raise where they don't reach it within ROUNDS rounds; none returns what is only half done.
 """
 
 from __future__ import annotations
@@ -9,11 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators import components as stars
 from factloom.session import written
 
 ROUNDS = 10_000
 
 
+def _unsettled(what: str, rounds: int = ROUNDS) -> RuntimeError:
+    return RuntimeError(f"{what} still changes after {rounds} rounds")
+
+
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes that the roots (node) lead to, the roots included."""
     edges = edges.select("src", "dst").distinct()
@@ -25,6 +31,8 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
         if frontier.isEmpty():
             break
         seen = written(seen.union(frontier))
+    else:
+        raise _unsettled("reachable")
     return seen
 
 
@@ -37,41 +45,77 @@ def closure(edges: DataFrame) -> DataFrame:
         if new.isEmpty():
             break
         seen = written(seen.union(new))
+    else:
+        raise _unsettled("closure", 64)
     return seen
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(node, component) with the least node as the component: labels go to neighbours and jump along themselves until nothing changes."""
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
-    both = written(both)
-    every = both.select(F.col("src").alias("node")).distinct() if nodes is None else nodes.select("node").union(both.select("src")).distinct()
-    labels = written(every.withColumn("component", F.col("node")))
+    """(node, component) with the least node as the component; of `nodes` too, where given, which may have no edges."""
+    found = stars.components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))).withColumnRenamed("root", "component")
+    every = _ends(edges) if nodes is None else _ends(edges).union(nodes.select("node")).distinct()
+    return every.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+
+
+def _flowed(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, color): the least color that reaches a node along edges (src, dst), of those it starts with."""
+    colors = written(start)
     for _ in range(ROUNDS):
-        near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("_least"))
-        hooked = labels.join(near, labels["node"] == near["src"], "left").select("node", F.least("component", F.coalesce("_least", "component")).alias("component"))
-        hooked = written(hooked)
-        up = hooked.select(F.col("node").alias("component"), F.col("component").alias("_up"))
-        after = written(hooked.join(up, "component").select("node", F.col("_up").alias("component")))
-        changed = after.join(labels.withColumnRenamed("component", "_old"), "node").filter("component <> _old")
-        labels = after
-        if changed.isEmpty():
-            break
-    return labels
+        near = edges.join(colors, edges["src"] == colors["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("_c"))
+        after = written(colors.join(near, "node", "left").select("node", F.least("color", F.coalesce("_c", "color")).alias("color"), (F.col("_c") < F.col("color")).alias("_moved")))
+        colors = after.select("node", "color")
+        if after.filter("_moved").isEmpty():
+            return colors
+    raise _unsettled("a color")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component): nodes that reach each other; a node on no cycle is its own. For graphs whose closure can be held."""
-    paths = closure(edges)
-    back = paths.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = paths.join(back, ["src", "dst"], "left_semi")
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    least = mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
-    return nodes.join(least, "node", "left").select("node", F.least("node", F.coalesce("component", "node")).alias("component"))
+    """(node, component): nodes that reach each other, named by the least; a node on no cycle is its own.
+
+    Trimming and colouring, without a closure: nodes without ways in or out go; the least node that reaches a node colours it; what reaches
+    the colour's own node within the colour is a component. Each turn settles at least one component of every colour.
+    """
+    nodes, live, found = written(_ends(edges)), written(edges.filter("src <> dst").select("src", "dst").distinct()), []
+    for _ in range(ROUNDS):
+        n = live.count()
+        while n:
+            into, out = live.select(F.col("dst").alias("src")).distinct(), live.select(F.col("src").alias("dst")).distinct()
+            live = written(live.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
+            before, n = n, live.count()
+            if n == before:
+                break
+        if not n:
+            break
+        colors = _flowed(live, _ends(live).withColumn("color", F.col("node")))
+        of = lambda end: colors.select(F.col("node").alias(end), F.col("color").alias(f"_{end}"))  # noqa: E731, B023
+        inner = written(live.join(of("src"), "src").join(of("dst"), "dst").filter("_src = _dst").select("src", "dst"))
+        back = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        reached = reachable(back, colors.filter("node = color").select("node"))
+        done = written(colors.join(reached, "node", "left_semi"))
+        found.append(done)
+        live = written(live.join(done, live["src"] == done["node"], "left_anti").join(done, live["dst"] == done["node"], "left_anti"))
+    else:
+        raise _unsettled("strong_components")
+    for df in found:
+        nodes = nodes.join(df.select("node", F.col("color").alias(f"_{id(df)}")), "node", "left")
+    return nodes.select("node", F.coalesce(*[F.col(f"_{id(df)}") for df in found], F.col("node")).alias("component"))
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves."""
-    return closure(edges).filter("src = dst").select(F.col("src").alias("node")).distinct()
+    """Nodes that reach themselves: of components of two or more, or with an edge to themselves."""
+    parts = strong_components(edges)
+    large = parts.groupBy("component").count().filter("count > 1").select("component")
+    loops = edges.filter("src = dst").select(F.col("src").alias("node"))
+    return parts.join(large, "component", "left_semi").select("node").union(loops).distinct()
+
+
+def edges_of_kind(edges: DataFrame, kind: str | None = None) -> DataFrame:
+    """All edges (src, dst, kind), or those of one kind (read, call): what components and closures are taken of."""
+    return (edges if kind is None else edges.filter(F.col("kind") == kind)).select("src", "dst").distinct()
 
 
 def alias_closure(aliases: DataFrame, calls: DataFrame, returns: DataFrame) -> DataFrame:
@@ -107,7 +151,7 @@ def neighbourhood_support(left: DataFrame, right: DataFrame, seeds: DataFrame) -
     return matched.join(total, "left").select("left", "right", "matched", "known")
 
 
-def promote_by_neighbours(left: DataFrame, right: DataFrame, seeds: DataFrame, least: int = 2, rounds: int = 64) -> DataFrame:
+def promote_by_neighbours(left: DataFrame, right: DataFrame, seeds: DataFrame, least: int = 2, rounds: int = ROUNDS) -> DataFrame:
     """seeds and the pairs that follow: all known edges mirrored, at least `least` of them, and strictly more than for any other; whole rounds at a time."""
     known = written(seeds.select("left", "right"))
     for _ in range(rounds):
@@ -120,10 +164,12 @@ def promote_by_neighbours(left: DataFrame, right: DataFrame, seeds: DataFrame, l
         if new.isEmpty():
             break
         known = written(known.union(new))
+    else:
+        raise _unsettled("promote_by_neighbours", rounds)
     return known
 
 
-def propagate_unanimous(edges: DataFrame, labels: DataFrame, rounds: int = 64) -> DataFrame:
+def propagate_unanimous(edges: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, label): unlabelled nodes all of whose labelled neighbours agree take that label; whole rounds at a time."""
     both = written(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     known = written(labels.select("node", "label"))
@@ -133,6 +179,8 @@ def propagate_unanimous(edges: DataFrame, labels: DataFrame, rounds: int = 64) -
         if new.isEmpty():
             break
         known = written(known.union(new))
+    else:
+        raise _unsettled("propagate_unanimous", rounds)
     return known
 
 
@@ -144,7 +192,7 @@ def dominant_labels(parts: DataFrame, labels: DataFrame, least: int = 3, share:
     return rows.filter((F.col("_n") == 1) & (F.col("_all") >= least) & (F.col("n") >= share * F.col("_all"))).select("component", "label", "n", F.col("_all").alias("labelled"))
 
 
-def dependency_closure(edges: DataFrame, owned: DataFrame, hints: DataFrame, least: int = 2, share: float = 0.7, rounds: int = 64) -> DataFrame:
+def dependency_closure(edges: DataFrame, owned: DataFrame, hints: DataFrame, least: int = 2, share: float = 0.7, rounds: int = ROUNDS) -> DataFrame:
     """(node, package, version): hinted nodes join the package that most of their owned neighbours have, on most of one version, unless their own hint says otherwise."""
     both = written(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     known = written(owned.select("node", "package", "version"))
@@ -161,6 +209,8 @@ def dependency_closure(edges: DataFrame, owned: DataFrame, hints: DataFrame, lea
         if new.isEmpty():
             break
         known = written(known.union(new))
+    else:
+        raise _unsettled("dependency_closure", rounds)
     return known
 
 
@@ -247,6 +297,8 @@ def prune_dead(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFram
         alive = after
         if gone.isEmpty():
             break
+    else:
+        raise _unsettled("prune_dead")
     return alive
 
 
@@ -267,6 +319,8 @@ def all_deps_safe(nodes: DataFrame, edges: DataFrame, unsafe: DataFrame) -> Data
         if new.isEmpty():
             break
         safe = written(safe.union(new))
+    else:
+        raise _unsettled("all_deps_safe")
     return safe
 
 
@@ -299,6 +353,8 @@ def contract_pass_through(edges: DataFrame, pass_through: DataFrame) -> DataFram
         edges = moved.select("src", "dst").distinct()
         if moved.filter("_moved and src <> dst").isEmpty():
             break
+    else:
+        raise _unsettled("contract_pass_through")
     return edges
 
 

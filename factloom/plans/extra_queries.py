@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import fingerprint, text
 from factloom.operators import graph, matching, reports, similarity
 from factloom.plans.base import query, table
-from factloom.plans.graph_queries import _EDGES, _FACTS, edges, facts
+from factloom.plans.graph_queries import _CHAINS, _FACTS, chains, facts
 from factloom.plans.text_queries import scripts
 
 
@@ -37,10 +37,10 @@ def constraint_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return graph.constraint_conflicts(s, spark.createDataFrame([("A", "R"), ("N", "R")], "a string, b string")).select("module_id", "binding", "a", "b")
 
 
-@query(f"WITH RECURSIVE {_EDGES}, step AS (SELECT src, dst FROM edges UNION SELECT e.src, r.dst FROM edges e JOIN edges r ON e.dst = r.src), paths AS (SELECT src, dst FROM step UNION SELECT paths.src, step.dst FROM paths JOIN step ON paths.dst = step.src) SELECT src, dst FROM paths")
+@query(f"WITH RECURSIVE {_CHAINS}, step AS (SELECT src, dst FROM edges UNION SELECT e.src, r.dst FROM edges e JOIN edges r ON e.dst = r.src), paths AS (SELECT src, dst FROM step UNION SELECT paths.src, step.dst FROM paths JOIN step ON paths.dst = step.src) SELECT src, dst FROM paths")
 def alias_closure(spark: SparkSession, sf: str) -> DataFrame:
     """Closure of aliases and of calls followed by what they return."""
-    e = edges(spark, sf)
+    e = chains(spark, sf)
     return graph.alias_closure(e, e, e)
 
 
@@ -62,11 +62,11 @@ def structural_bag(spark: SparkSession, sf: str) -> DataFrame:
     return matching.bag_scores(bag(l, "l_suppkey"), right, {"flag": 2.0}).select("left", "right", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
 
 
-@query("""WITH i AS (SELECT l_orderkey AS fn_id, l_suppkey AS subject, l_linenumber AS hash, 's' || l_suppkey AS identity FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45), q AS (SELECT l_orderkey AS fn, l_partkey AS ref, l_linenumber AS hash FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45), p AS (SELECT DISTINCT p_partkey AS ref, p_size AS subject FROM part),
+@query("""WITH i AS (SELECT l_orderkey AS fn_id, l_suppkey AS subject, l_linenumber AS hash, 's' || l_suppkey AS identity FROM lineitem WHERE l_returnflag = 'A'), q AS (SELECT l_orderkey AS fn, l_partkey AS ref, l_linenumber AS hash FROM lineitem WHERE l_returnflag = 'R'), p AS (SELECT DISTINCT p_partkey AS ref, p_size AS subject FROM part),
   m AS (SELECT DISTINCT fn, identity, fn_id FROM q JOIN p USING (ref) JOIN i USING (subject, hash)) SELECT fn, min(identity) AS identity, min(fn_id) AS fn_id FROM m GROUP BY fn HAVING count(*) = 1""")
 def pinned_join(spark: SparkSession, sf: str) -> DataFrame:
     """Exact matches only inside paired buckets."""
-    l = table(spark, sf, "lineitem").filter("l_quantity > 45")
+    l = table(spark, sf, "lineitem")
     index = l.filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("fn_id"), F.col("l_suppkey").alias("subject"), F.col("l_linenumber").alias("hash"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("identity"))
     queries = l.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("fn"), F.col("l_partkey").alias("ref"), F.col("l_linenumber").alias("hash"))
     pins = table(spark, sf, "part").select(F.col("p_partkey").alias("ref"), F.col("p_size").cast("long").alias("subject")).distinct()

@@ -1,4 +1,8 @@
-"""Graph operators, bound to parts that follow each other in orders (both returned and in large quantity), and to def-use facts made of line items."""
+"""Graph operators, bound to two graphs over whole tables and to def-use facts made of line items.
+
+edges: parts that follow each other in orders; one giant component full of cycles. chains: each order leads to its customer's next one, and
+back to the last one of the same priority; many small components with cycles, for what puts out paths or pairs.
+"""
 
 from __future__ import annotations
 
@@ -8,21 +12,30 @@ from pyspark.sql import functions as F
 from factloom.operators import assign, graph
 from factloom.plans.base import query, table
 
-_EDGES = """edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER w AS dst, l_returnflag AS f, lead(l_returnflag) OVER w AS g, l_quantity AS q, lead(l_quantity) OVER w AS r
-  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)) WHERE dst IS NOT NULL AND f = 'R' AND g = 'R' AND q > 40 AND r > 40)"""
+_EDGES = """edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL)"""
+_CHAINS = """edges AS (SELECT src, dst FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders
+  UNION SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) FROM orders) WHERE dst IS NOT NULL)"""
 _BOTH = "pair AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
-_CC = f"""WITH RECURSIVE {_EDGES}, {_BOTH}, reach AS (SELECT src AS node, src AS seen FROM pair UNION SELECT reach.node, pair.dst FROM reach JOIN pair ON reach.seen = pair.src),
+_CC_OF = lambda edges: f"""WITH RECURSIVE {edges}, {_BOTH}, reach AS (SELECT src AS node, src AS seen FROM pair UNION SELECT reach.node, pair.dst FROM reach JOIN pair ON reach.seen = pair.src),
   cc AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)"""
-_CLOSURE = f"WITH RECURSIVE {_EDGES}, paths AS (SELECT src, dst FROM edges UNION SELECT paths.src, edges.dst FROM paths JOIN edges ON paths.dst = edges.src)"
+_CC = _CC_OF(_EDGES)
+_CLOSURE_OF = lambda edges: f"WITH RECURSIVE {edges}, paths AS (SELECT src, dst FROM edges UNION SELECT paths.src, edges.dst FROM paths JOIN edges ON paths.dst = edges.src)"
+_CLOSURE = _CLOSURE_OF(_EDGES)
 #: The facts of a module (an order): its lines define, import, read or write parts.
 _FACTS = """facts AS (SELECT l_orderkey AS module_id, l_partkey AS binding, CASE WHEN l_returnflag = 'A' THEN 'definition' WHEN l_returnflag = 'R' THEN 'read' WHEN l_linestatus = 'O' THEN 'import' ELSE 'write' END AS kind FROM lineitem)"""
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    nxt = lambda c: F.lead(c).over(w)
-    rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), nxt("l_partkey").alias("dst"), F.col("l_returnflag").alias("f"), nxt("l_returnflag").alias("g"), F.col("l_quantity").alias("q"), nxt("l_quantity").alias("r"))
-    return rows.filter("dst is not null and f = 'R' and g = 'R' and q > 40 and r > 40").select("src", "dst").distinct()
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).filter("dst is not null").distinct()
+
+
+def chains(spark: SparkSession, sf: str) -> DataFrame:
+    by_date = [F.col("o_orderdate"), F.col("o_orderkey")]
+    o = table(spark, sf, "orders")
+    after = o.select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy(*by_date)).alias("dst"))
+    before = o.select(F.col("o_orderkey").alias("src"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy(*by_date)).alias("dst"))
+    return after.union(before).filter("dst is not null").distinct()
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,9 +47,9 @@ def _ends(e: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
 
 
-@query(f"{_CLOSURE} SELECT src, dst FROM paths")
+@query(f"{_CLOSURE_OF(_CHAINS)} SELECT src, dst FROM paths")
 def transitive_closure(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.closure(edges(spark, sf))
+    return graph.closure(chains(spark, sf))
 
 
 @query(f"WITH RECURSIVE {_EDGES}, seen AS (SELECT DISTINCT src AS node FROM edges JOIN part ON src = p_partkey WHERE p_size <= 10 UNION SELECT dst FROM seen JOIN edges ON node = src) SELECT node FROM seen")
@@ -75,12 +88,13 @@ def label_propagation_unanimous(spark: SparkSession, sf: str) -> DataFrame:
     return graph.propagate_unanimous(edges(spark, sf), labels)
 
 
-@query(f"""{_CC}, counts AS (SELECT component, p_type AS label, count(*) AS n FROM cc JOIN part ON node = p_partkey WHERE p_size >= 10 GROUP BY ALL),
+@query(f"""{_CC_OF(_CHAINS)}, counts AS (SELECT component, o_orderpriority AS label, count(*) AS n FROM cc JOIN orders ON node = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY ALL),
   ranked AS (SELECT *, CAST(sum(n) OVER (PARTITION BY component) AS BIGINT) AS labelled, row_number() OVER (PARTITION BY component ORDER BY n DESC, label) AS k FROM counts)
-  SELECT component, label, n, labelled FROM ranked WHERE k = 1 AND labelled >= 3 AND n >= 0.5 * labelled""")
+  SELECT component, label, n, labelled FROM ranked WHERE k = 1 AND labelled >= 3 AND n >= 0.4 * labelled""")
 def component_dominance(spark: SparkSession, sf: str) -> DataFrame:
-    labels = table(spark, sf, "part").filter("p_size >= 10").select(F.col("p_partkey").alias("node"), F.col("p_type").alias("label"))
-    return graph.dominant_labels(graph.components(edges(spark, sf)), labels, 3, 0.5)
+    """Priorities that dominate a customer's decided orders; open ones are the unlabelled nodes."""
+    labels = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("node"), F.col("o_orderpriority").alias("label"))
+    return graph.dominant_labels(graph.components(chains(spark, sf)), labels, 3, 0.4)
 
 
 @query(f"WITH {_EDGES}, ends AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), i AS (SELECT dst AS node, count(*) AS n FROM edges GROUP BY 1), o AS (SELECT src AS node, count(*) AS n FROM edges GROUP BY 1), d AS (SELECT ends.node, coalesce(i.n, 0) AS indegree, coalesce(o.n, 0) AS outdegree FROM ends LEFT JOIN i USING (node) LEFT JOIN o USING (node)) SELECT *, CASE WHEN indegree = 0 THEN '0' WHEN indegree = 1 THEN '1' WHEN indegree <= 4 THEN 'few' ELSE 'many' END || '/' || CASE WHEN outdegree = 0 THEN '0' WHEN outdegree = 1 THEN '1' WHEN outdegree <= 4 THEN 'few' ELSE 'many' END AS role FROM d")
@@ -104,10 +118,10 @@ def orphan_prune(spark: SparkSession, sf: str) -> DataFrame:
     return graph.prune_orphans(_ends(e), e, roots)
 
 
-@query(f"WITH RECURSIVE {_EDGES}, ends AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), bad AS (SELECT p_partkey AS node FROM part WHERE p_size > 45), paths AS (SELECT src, dst FROM edges UNION SELECT paths.src, edges.dst FROM paths JOIN edges ON paths.dst = edges.src), looped AS (SELECT DISTINCT src AS node FROM paths WHERE src = dst) SELECT node FROM ends WHERE node NOT IN (SELECT node FROM bad) AND node NOT IN (SELECT node FROM looped) AND NOT EXISTS (SELECT 1 FROM paths WHERE src = ends.node AND (dst IN (SELECT node FROM bad) OR dst IN (SELECT node FROM looped)))")
+@query(f"WITH RECURSIVE {_CHAINS}, ends AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), bad AS (SELECT o_orderkey AS node FROM orders WHERE o_totalprice > 450000), paths AS (SELECT src, dst FROM edges UNION SELECT paths.src, edges.dst FROM paths JOIN edges ON paths.dst = edges.src), looped AS (SELECT DISTINCT src AS node FROM paths WHERE src = dst) SELECT node FROM ends WHERE node NOT IN (SELECT node FROM bad) AND node NOT IN (SELECT node FROM looped) AND NOT EXISTS (SELECT 1 FROM paths WHERE src = ends.node AND (dst IN (SELECT node FROM bad) OR dst IN (SELECT node FROM looped)))")
 def all_deps_safe(spark: SparkSession, sf: str) -> DataFrame:
-    e = edges(spark, sf)
-    return graph.all_deps_safe(_ends(e), e, table(spark, sf, "part").filter("p_size > 45").select(F.col("p_partkey").alias("node")))
+    e = chains(spark, sf)
+    return graph.all_deps_safe(_ends(e), e, table(spark, sf, "orders").filter("o_totalprice > 450000").select(F.col("o_orderkey").alias("node")))
 
 
 @query(f"WITH {_EDGES}, m AS (SELECT p_partkey AS node, min(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size) AS target FROM part) SELECT DISTINCT a.target AS src, b.target AS dst FROM edges JOIN m a ON src = a.node JOIN m b ON dst = b.node WHERE a.target <> b.target")
@@ -140,10 +154,10 @@ def edge_synthesis_single_owner(spark: SparkSession, sf: str) -> DataFrame:
     return graph.synthesized_edges(facts(spark, sf), modules, spark.createDataFrame([], "src long, dst long"))
 
 
-@query(f"WITH {_EDGES}, l AS (SELECT src, count(*) AS known FROM edges GROUP BY 1) SELECT a.src AS left_node, b.src AS right_node, count(*) AS matched FROM edges a JOIN edges b ON a.dst = b.dst AND a.src <> b.src GROUP BY ALL")
+@query(f"WITH {_CHAINS}, l AS (SELECT src, count(*) AS known FROM edges GROUP BY 1) SELECT a.src AS left_node, b.src AS right_node, count(*) AS matched FROM edges a JOIN edges b ON a.dst = b.dst AND a.src <> b.src GROUP BY ALL")
 def shared_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbourhood support with every node as its own seed, out-edges only."""
-    e = edges(spark, sf)
+    e = chains(spark, sf)
     other = e.select(F.col("src").alias("right_node"), "dst")
     return e.select(F.col("src").alias("left_node"), "dst").join(other, "dst").filter("left_node <> right_node").groupBy("left_node", "right_node").agg(F.count(F.lit(1)).alias("matched"))
 
@@ -167,15 +181,16 @@ def cluster_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def louvain_communities(spark: SparkSession, sf: str) -> DataFrame:
-    """Communities of parts. (Greedy modularity; tested on fixtures.)"""
-    return assign.louvain(edges(spark, sf).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.lit(1.0).alias("weight")))
+    """Communities of orders. (Greedy modularity; tested on fixtures.)"""
+    return assign.louvain(chains(spark, sf).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.lit(1.0).alias("weight")))
 
 
 @query(None)
 def hungarian_assign(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers and parts, one to one, by quantity returned. (Tested against all permutations of small blocks.)"""
-    l = table(spark, sf, "lineitem").filter("l_returnflag = 'R' and l_quantity > 44")
-    return assign.assign(l.groupBy(F.col("l_suppkey").cast("string").alias("row"), F.col("l_partkey").cast("string").alias("col")).agg(F.sum("l_quantity").alias("weight")))
+    """Priorities and years of each customer's orders, one to one, by total price. (Tested against all permutations of small blocks.)"""
+    o, key = table(spark, sf, "orders"), F.col("o_custkey").cast("string")
+    row, col = F.concat_ws("/", key, "o_orderpriority"), F.concat_ws("/", key, F.year("o_orderdate").cast("string"))
+    return assign.assign(o.groupBy(row.alias("row"), col.alias("col")).agg(F.round(F.sum("o_totalprice"), 2).alias("weight")))
 
 
 @query(None)

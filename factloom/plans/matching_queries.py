@@ -116,15 +116,15 @@ def exact_hash_unique_owner(spark: SparkSession, sf: str) -> DataFrame:
     return matching.unique_winner(hits.withColumn("_k", F.struct("fn", "p_type")), "_k").select("_k.fn", "_k.p_type", "identity", "fn_id")
 
 
-@query("""WITH h AS (SELECT l_suppkey AS fn, p_brand AS identity, l_partkey AS fn_id, CASE WHEN l_returnflag = 'A' AND l_quantity > 49 THEN 'exact' WHEN l_returnflag = 'R' AND l_quantity > 48 THEN 'feature' WHEN l_quantity > 48 THEN 'structural' END AS tier FROM lineitem JOIN part ON l_partkey = p_partkey),
-  t AS (SELECT DISTINCT * FROM h WHERE tier IS NOT NULL) SELECT fn, tier, count(*) AS candidates FROM t WHERE tier = 'exact' OR fn NOT IN (SELECT fn FROM t WHERE tier = 'exact') GROUP BY ALL""")
+@query("""WITH h AS (SELECT l_suppkey AS fn, p_brand AS identity, l_partkey AS fn_id, CASE WHEN l_returnflag = 'A' AND l_quantity > 49 THEN 'exact' WHEN l_returnflag = 'R' THEN 'feature' ELSE 'structural' END AS tier FROM lineitem JOIN part ON l_partkey = p_partkey),
+  t AS (SELECT DISTINCT * FROM h) SELECT fn, tier, count(*) AS candidates FROM t WHERE tier = 'exact' OR fn NOT IN (SELECT fn FROM t WHERE tier = 'exact') GROUP BY ALL""")
 def cascade_tiers(spark: SparkSession, sf: str) -> DataFrame:
     """Exact matches shut out the weaker tiers of their function."""
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     tier = lambda c: rows.filter(c).select(F.col("l_suppkey").alias("fn"), F.col("p_brand").alias("identity"), F.col("l_partkey").alias("fn_id")).distinct()
     exact = (F.col("l_returnflag") == "A") & (F.col("l_quantity") > 49)
-    feature = ~exact & (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 48)
-    out = matching.cascade({"exact": tier(exact), "feature": tier(feature), "structural": tier(~exact & ~feature & (F.col("l_quantity") > 48))})
+    feature = ~exact & (F.col("l_returnflag") == "R")
+    out = matching.cascade({"exact": tier(exact), "feature": tier(feature), "structural": tier(~exact & ~feature)})
     return out.groupBy("fn", "tier").agg(F.count(F.lit(1)).alias("candidates"))
 
 

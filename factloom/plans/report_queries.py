@@ -70,9 +70,9 @@ def recall_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return reports.recall(table(spark, sf, "customer").join(s, F.col("c_custkey") == F.col("o_custkey"), "left").select("score"))
 
 
-@query("""WITH p AS (SELECT doc_id AS id, CAST(n_chars > 400 AS INT) AS pick, least(1, n_chars / 2000.0) AS score FROM documents WHERE lang <> 'es') SELECT count(*) AS baseline, count(*) FILTER (WHERE p.pick = quality) AS correct, count(*) FILTER (WHERE p.pick <> quality) AS mispaired, count(*) FILTER (WHERE p.pick IS NULL) AS unranked, count(*) FILTER (WHERE p.pick = quality AND score >= 0.3) AS verified FROM labels LEFT JOIN p ON id = doc_id""")
+@query("""WITH p AS (SELECT doc_id AS id, CAST(n_chars > 400 AS INT) AS pick, least(1, n_chars / 2000.0) AS score FROM documents) SELECT count(*) AS baseline, count(*) FILTER (WHERE p.pick = quality) AS correct, count(*) FILTER (WHERE p.pick <> quality) AS mispaired, count(*) FILTER (WHERE p.pick IS NULL) AS unranked, count(*) FILTER (WHERE p.pick = quality AND score >= 0.3) AS verified FROM labels LEFT JOIN p ON id = doc_id""")
 def precision_vs_labels(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").filter("lang <> 'es'")
+    d = table(spark, sf, "documents")
     predicted = d.select(F.col("doc_id").alias("id"), (F.col("n_chars") > 400).cast("int").alias("pick"), F.least(F.lit(1.0), F.col("n_chars") / 2000.0).alias("score"))
     return reports.precision(predicted, table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("pick")))
 
