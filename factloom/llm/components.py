@@ -1,44 +1,7 @@
-"""Connected components of a graph whose edges never leave the executors."""
+"""Connected components of near copies: the library's own, by stars."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from factloom.operators.components import components
 
-from factloom.session import written
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link neighbours to the least node of a neighbourhood: those above the node (large), or those below it and itself (small)."""
-    both = edges.select("u", "v")
-    if large:
-        both = both.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    # Written, so that the join reads nothing but its two sides and Spark can split a node that very many edges share.
-    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    linked = both.join(least, "u")
-    if large:
-        out = linked.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.filter(F.col("u") != F.col("v")).distinct()
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of edges (u, v), by alternating large and small stars; root is the least node of its component.
-
-    Each round is written to the shared folder. Nodes without edges are not listed; self-loops and repeated edges do no harm.
-    """
-    now = written(edges.filter(F.col("u") != F.col("v")).distinct())
-    seen = None
-    for _ in range(rounds):
-        now = written(_star(_star(now, True), False))
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == seen:
-            break
-        seen = mark
-    else:
-        raise RuntimeError(f"components still change after {rounds} rounds")
-    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+__all__ = ["components"]
