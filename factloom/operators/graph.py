@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.scan import fnv1a_hex
 from factloom.operators import components as stars
 from factloom.session import written
 
@@ -275,8 +276,9 @@ def promote_parents(children: DataFrame, least: int = 2) -> DataFrame:
 
 
 def cluster_fingerprint(members: DataFrame, cluster: str, member: str) -> DataFrame:
-    """(cluster, fingerprint): a hash of the sorted distinct names, whatever order they come in."""
-    return members.groupBy(cluster).agg(F.sha2(F.array_join(F.sort_array(F.collect_set(member)), "\x00"), 256).alias("fingerprint"))
+    """(cluster, fingerprint): FNV-1a of the sorted distinct names, whatever order they come in; null for a cluster without names."""
+    names = members.groupBy(cluster).agg(F.sort_array(F.collect_set(member)).alias("_names"))
+    return names.select(cluster, F.when(F.size("_names") > 0, fnv1a_hex(F.array_join("_names", "\x00"))).alias("fingerprint"))
 
 
 def degree_roles(edges: DataFrame, nodes: DataFrame) -> DataFrame:

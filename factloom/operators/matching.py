@@ -38,8 +38,10 @@ def anchored(queries: DataFrame, index: DataFrame, q_axes: DataFrame, i_axes: Da
     few = index.groupBy("params", "cfg").count().filter(F.col("count") <= ceiling).drop("count")
     pairs = queries.join(few, ["params", "cfg"], "left_semi").join(index, ["params", "cfg"]).select("fn", "identity", "fn_id").distinct()
     anchors = ["literal_anchor", "callee_set", "throw_set"]
-    shared = q_axes.filter(F.col("axis").isin(anchors)).join(i_axes, ["axis", "hash"]).select("fn", "identity", "fn_id").distinct()
-    return unique_winner(pairs.join(shared, ["fn", "identity", "fn_id"], "left_semi"))
+    # Anchors are looked at for candidate pairs alone, so a common one joins nothing by itself.
+    asked = pairs.join(q_axes.filter(F.col("axis").isin(anchors)), "fn")
+    shared = asked.join(i_axes, ["identity", "fn_id", "axis", "hash"], "left_semi").select("fn", "identity", "fn_id").distinct()
+    return unique_winner(shared)
 
 
 def feature_similarity(q_axes: DataFrame, i_axes: DataFrame, least: float = 0.6, ceiling: int = CEILINGS["primary"]) -> DataFrame:
@@ -50,7 +52,8 @@ def feature_similarity(q_axes: DataFrame, i_axes: DataFrame, least: float = 0.6,
     blocked = first.join(few, ["axis", "hash"], "left_semi").join(i_axes, ["axis", "hash"]).select("fn", "identity", "fn_id", F.col("axis").alias("_block")).distinct()
     rest = q_axes.join(first.select("fn", F.col("axis").alias("_block")), "fn").filter("axis <> _block")
     n = rest.groupBy("fn").agg(F.count(F.lit(1)).alias("n"))
-    hits = rest.join(i_axes, ["axis", "hash"]).groupBy("fn", "identity", "fn_id").agg(F.count_distinct("axis").alias("hit"))
+    # Only blocked candidates are looked up: a common value of another axis joins nothing by itself.
+    hits = blocked.drop("_block").join(rest, "fn").join(i_axes, ["identity", "fn_id", "axis", "hash"], "left_semi").groupBy("fn", "identity", "fn_id").agg(F.count_distinct("axis").alias("hit"))
     scored = blocked.join(n, "fn").join(hits, ["fn", "identity", "fn_id"], "left").select("fn", "identity", "fn_id", (F.coalesce("hit", F.lit(0)) / F.col("n")).alias("score"))
     w = Window.partitionBy("fn").orderBy(F.col("score").desc(), "identity", "fn_id")
     rows = scored.withColumn("_n", F.row_number().over(w)).withColumn("_next", F.lead("score").over(w))

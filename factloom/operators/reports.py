@@ -207,3 +207,17 @@ def vocabulary_gate(proposals: DataFrame, evidence: DataFrame, technical: list[s
 
 def ranked_within(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def winning_axes(scored: DataFrame, key: str, axis: str, score: str, least: float) -> DataFrame:
+    """(axis, n): how many keys each axis wins by its score, of those with a score of `least` or more; ties go to the first axis by name."""
+    w = Window.partitionBy(key).orderBy(F.col(score).desc(), axis)
+    best = scored.withColumn("_n", F.row_number().over(w)).filter((F.col("_n") == 1) & (F.col(score) >= least))
+    return best.groupBy(F.col(axis).alias("axis")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def tier_breakdown(matches: DataFrame, tiers: list[str], group: str) -> DataFrame:
+    """(group, tier, n, named, cumulative) of matches (group, tier, named), tiers in their order and cumulated over it."""
+    place = F.array_position(F.array(*map(F.lit, tiers)), F.col("tier"))
+    counts = matches.filter(place > 0).groupBy(group, "tier").agg(F.count(F.lit(1)).alias("n"), F.count_if("named").alias("named"))
+    return counts.withColumn("cumulative", F.sum("n").over(Window.partitionBy(group).orderBy(place)))

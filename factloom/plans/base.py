@@ -6,6 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: FNV-1a of an ASCII text expression as SQL.
+FNV = (
+    "lpad(to_hex(list_reduce(list_prepend(14695981039346656037::UBIGINT, [ord(c)::UBIGINT FOR c IN string_split({}, '')]), "
+    "lambda h, b: ((xor(h, b)::UHUGEINT * 1099511628211) % 18446744073709551616)::UBIGINT)).lower(), 16, '0')"
+)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import assign, graph
-from factloom.plans.base import query, table
+from factloom.plans.base import FNV, query, table
 
 _EDGES = """edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL)"""
 _CHAINS = """edges AS (SELECT src, dst FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders
@@ -174,7 +174,7 @@ def interval_overlap_owner(spark: SparkSession, sf: str) -> DataFrame:
     return overlapping_owners(o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("file_id"), F.col("d").alias("start"), (F.col("d") + 7).alias("end")), spans)
 
 
-@query("""SELECT p_brand, sha256(string_agg(p_name, chr(0) ORDER BY p_name)) AS fingerprint FROM (SELECT DISTINCT p_brand, p_name FROM part) GROUP BY p_brand""")
+@query(f"""SELECT p_brand, {FNV.format('names')} AS fingerprint FROM (SELECT p_brand, string_agg(p_name, chr(0) ORDER BY p_name) AS names FROM (SELECT DISTINCT p_brand, p_name FROM part) GROUP BY 1)""")
 def cluster_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return graph.cluster_fingerprint(table(spark, sf, "part"), "p_brand", "p_name")
 
@@ -193,14 +193,18 @@ def hungarian_assign(spark: SparkSession, sf: str) -> DataFrame:
     return assign.assign(o.groupBy(row.alias("row"), col.alias("col")).agg(F.round(F.sum("o_totalprice"), 2).alias("weight")))
 
 
-@query(None)
+@query("""WITH RECURSIVE t AS (SELECT conv_id AS scope, turn AS place, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+  p AS (SELECT scope, place, k, 0 AS bin, size AS held FROM t WHERE k = 1 UNION ALL SELECT t.scope, t.place, t.k, CASE WHEN held > 0 AND held + t.size > 2000 THEN bin + 1 ELSE bin END, CASE WHEN held > 0 AND held + t.size > 2000 THEN t.size ELSE held + t.size END FROM p JOIN t ON t.scope = p.scope AND t.k = p.k + 1)
+  SELECT CAST(scope AS VARCHAR) AS scope, place, bin FROM p""")
 def pack_in_order(spark: SparkSession, sf: str) -> DataFrame:
     """Turns of a conversation packed in order. (A running reset; tested on fixtures.)"""
     items = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("scope"), F.col("turn").alias("place"), F.char_length("text").cast("long").alias("size"))
     return assign.pack_in_order(items, 2000)
 
 
-@query(None)
+@query("""WITH RECURSIVE t AS (SELECT o_custkey AS scope, o_orderkey AS item, CAST(trunc(o_totalprice) AS BIGINT) AS size, CAST(epoch(o_orderdate) AS BIGINT) AS rank, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR)) AS k FROM orders),
+  p AS (SELECT scope, item, rank, size, k, size <= 500000 AS taken, CASE WHEN size <= 500000 THEN size ELSE 0 END AS held FROM t WHERE k = 1 UNION ALL SELECT t.scope, t.item, t.rank, t.size, t.k, held + t.size <= 500000, CASE WHEN held + t.size <= 500000 THEN held + t.size ELSE held END FROM p JOIN t ON t.scope = p.scope AND t.k = p.k + 1)
+  SELECT CAST(scope AS VARCHAR) AS scope, CAST(item AS VARCHAR) AS item, rank, size FROM p WHERE taken""")
 def ranked_budget(spark: SparkSession, sf: str) -> DataFrame:
     """Orders of a customer taken by date as long as they fit a budget. (Skip and go on; tested on fixtures.)"""
     rank = F.unix_timestamp("o_orderdate").cast("long")
