@@ -1,8 +1,9 @@
-"""Function fingerprints from source text, lexically: functions are found by matching brackets, identifiers are numbered by
+"""Function fingerprints from source text: functions are found in its tree (by brackets where it doesn't parse), identifiers are numbered by
 first use, and each axis hashes one aspect. Renaming a function's own names changes no axis; editing operators, loops or properties does."""
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -10,8 +11,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factloom.functions.scan import fnv1a, normalized, tokens
+from factloom.functions.scan import fnv1a, fnv1a_many, normalized, tokens
+from factloom.functions.script import Node, Unparsed, lex, parse, walk
 
+#: Names of the axes (fixed values).
 AXES = ["ast", "cfg", "cfg_normalized", "return_pattern", "effect_pattern", "literal_anchor", "access_pattern", "structural_anchor", "literal_shape", "access_shape", "expression_shape", "callee_set", "binding_pattern", "throw_set"]
 _FLOW = {"if", "else", "for", "while", "do", "switch", "case", "break", "continue", "return", "throw", "try", "catch", "finally", "await", "yield"}
 _WORDS = _FLOW | set("function class new delete typeof instanceof in of var let const async import export this super null true false undefined void default".split())
@@ -29,7 +32,28 @@ def _closing(ts: list[str], at: int) -> int:
 
 
 def functions(source: str | None) -> list[tuple[int, int, list[str], list[str]]]:
-    """(first token, last token, parameter tokens, body tokens) of every function with a block."""
+    """(first token, last token, parameter tokens, body tokens) of every function, method and arrow, in order; an arrow's expression is a body that returns it."""
+    try:
+        tree = parse(source or "")
+    except Unparsed:
+        return _by_brackets(source)
+    ts, starts = [], []
+    for t in lex(source or ""):
+        parts = list(t.text) if t.kind == "mark" and t.text != "=>" else [t.text]
+        ts += parts
+        starts += range(t.start, t.start + len(parts))
+    cut = lambda a, b: ts[bisect.bisect_left(starts, a) : bisect.bisect_left(starts, b)]
+    out = []
+    for node, _, _ in walk(tree):
+        if node.kind == "function":
+            params = cut(node.params[0].start, node.params[-1].end) if node.params else []
+            body = cut(node.body.start + 1, node.body.end - 1) if node.body.kind == "block" else ["return", *cut(node.body.start, node.body.end), ";"]
+            out.append((bisect.bisect_left(starts, node.start), bisect.bisect_left(starts, node.end) - 1, params, body))
+    return out
+
+
+def _by_brackets(source: str | None) -> list[tuple[int, int, list[str], list[str]]]:
+    """Functions with a block, by matching brackets, in text that doesn't parse."""
     ts, out = tokens(source), []
     for i, t in enumerate(ts):
         if t == "function":
@@ -63,21 +87,29 @@ def _commas(ts: list[str]) -> int:
     return n
 
 
-def _hash(parts) -> int | None:
-    """A signed 64-bit hash of a sequence; null for an empty one."""
-    parts = list(parts)
-    if not parts:
-        return None
-    h = fnv1a("\x1f".join(parts).encode())
-    return h - (1 << 64) if h >> 63 else h
+def _joined(parts) -> str | None:
+    return "\x1f".join(parts) or None
 
 
 def fingerprint(params: list[str], body: list[str]) -> tuple[int, int, dict[str, int | None]]:
-    """(param_count, statement_count, hashes by axis)."""
+    """(param_count, statement_count, hashes by axis): signed 64-bit, null for an axis without parts."""
+    n, statements, axes = aspects(params, body)
+    return n, statements, dict(zip(axes, hashed(list(axes.values())), strict=True))
+
+
+def hashed(texts: list[str | None]) -> list[int | None]:
+    """Signed 64-bit FNV-1a hashes of many texts at once."""
+    there = [t.encode("utf-8", "surrogatepass") for t in texts if t is not None]
+    found = iter(fnv1a_many(there).view("int64").tolist())
+    return [None if t is None else next(found) for t in texts]
+
+
+def aspects(params: list[str], body: list[str]) -> tuple[int, int, dict[str, str | None]]:
+    """(param_count, statement_count, what each axis looks at)."""
     numbers: dict[str, str] = {}
     shape, accesses, callees, literals, throws, returns, effects, bindings = [], [], [], [], [], [], [], []
-    for i, t in enumerate(params + body):
-        ts = params + body
+    ts = params + body
+    for i, t in enumerate(ts):
         before, after = ts[i - 1] if i else "", ts[i + 1] if i + 1 < len(ts) else ""
         if _NAME.match(t):
             if before == ".":
@@ -112,10 +144,10 @@ def fingerprint(params: list[str], body: list[str]) -> tuple[int, int, dict[str,
     loops = ["loop" if t in ("for", "while", "do") else t for t in flow]
     anchors = sorted({x for x in literals if len(x) >= 4})
     axes = {
-        "ast": _hash(["fn", *shape]), "cfg": _hash(["cfg", *flow]), "cfg_normalized": _hash(["cfg", *loops]), "return_pattern": _hash(["ret", *returns]), "effect_pattern": _hash(["eff", *effects]),
-        "literal_anchor": _hash(anchors), "access_pattern": _hash(accesses), "structural_anchor": _hash([str(len(params)), *flow, *sorted(set(accesses))]), "literal_shape": _hash(["s" if not x[:1].isdigit() else "n" for x in literals]),
-        "access_shape": _hash(sorted(set(accesses))), "expression_shape": _hash([t for t in body if not _NAME.match(t) and t[0] not in "\"'`" and t not in "(){};,"]), "callee_set": _hash(sorted(set(callees))),
-        "binding_pattern": _hash(["bind", *bindings]), "throw_set": _hash(sorted(set(throws))),
+        "ast": _joined(["fn", *shape]), "cfg": _joined(["cfg", *flow]), "cfg_normalized": _joined(["cfg", *loops]), "return_pattern": _joined(["ret", *returns]), "effect_pattern": _joined(["eff", *effects]),
+        "literal_anchor": _joined(anchors), "access_pattern": _joined(accesses), "structural_anchor": _joined([str(len(params)), *flow, *sorted(set(accesses))]), "literal_shape": _joined(["s" if not x[:1].isdigit() else "n" for x in literals]),
+        "access_shape": _joined(sorted(set(accesses))), "expression_shape": _joined([t for t in body if not _NAME.match(t) and t[0] not in "\"'`" and t not in "(){};,"]), "callee_set": _joined(sorted(set(callees))),
+        "binding_pattern": _joined(["bind", *bindings]), "throw_set": _joined(sorted(set(throws))),
     }
     return _commas(params) + bool(params), body.count(";") + sum(t in _FLOW for t in body), axes
 
@@ -125,7 +157,7 @@ SCHEMA = "doc long, pass string, fn int, span_start int, span_end int, params in
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
+        out, held = [], []
         for doc, source in zip(batch.column("doc").to_pylist(), batch.column("source").to_pylist(), strict=True):
             texts = [("primary", source)]
             plain, used = normalized(source or "")
@@ -133,8 +165,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append(("+".join(used), plain))
             for name, text in texts:
                 for k, (start, end, params, body) in enumerate(functions(text)):
-                    n, statements, axes = fingerprint(params, body)
-                    out.append((doc, name, k, start, end, n, statements, *[axes[a] for a in AXES]))
+                    n, statements, axes = aspects(params, body)
+                    out.append([doc, name, k, start, end, n, statements])
+                    held += [axes[a] for a in AXES]
+        hashes = hashed(held)
+        for i, row in enumerate(out):
+            row += hashes[i * len(AXES) : (i + 1) * len(AXES)]
         if out:
             names = [c.split()[0] for c in SCHEMA.split(", ")]
             kinds = [{"long": pa.int64(), "string": pa.string(), "int": pa.int32()}[c.split()[1]] for c in SCHEMA.split(", ")]
@@ -146,6 +182,88 @@ def fingerprints(sources: DataFrame) -> DataFrame:
     return sources.select("doc", "source").mapInArrow(_rows, SCHEMA)
 
 
+FACTS = "doc long, fn int, name string, form string, span_start int, span_end int, params array<string>, callees array<string>, reads array<string>, writes array<string>, calls array<int>"
+
+
+def facts_of(source: str | None) -> list[tuple]:
+    """(fn, name, form, start, end, parameter names, callees, free names read, free names written, functions called) of each function of a text; none where it doesn't parse.
+
+    A call edge leads to the function of that name that is declared in an enclosing function or at the top, the innermost one first.
+    """
+    try:
+        tree = parse(source or "")
+    except Unparsed:
+        return []
+    found: list[dict] = []
+    number: dict[int, int] = {}
+    declared: dict[tuple[int, str], int] = {}
+    # What each function holds itself, without what functions inside it hold.
+    stack: list[tuple[Node, str, Node | None, int, bool]] = [(tree, "", None, -1, False)]
+    while stack:
+        node, role, parent, owner, binds = stack.pop()
+        # Names in the patterns of parameters and declarations are the function's own; their default values are not.
+        binds = role in ("params", "target") or binds and role in ("parts", "value", "left") and parent.kind in ("object", "array", "property", "spread", "assign")
+        here = owner
+        if node.kind == "function":
+            name = node.name
+            if name is None and parent is not None and parent.kind == "declarator" and parent.target.kind == "name":
+                name = parent.target.name
+            here = number[id(node)] = len(found)
+            found.append({"node": node, "name": name, "owner": owner, "params": [], "own": set(), "callees": [], "reads": {}, "writes": {}})
+            if name and node.form != "method":
+                declared.setdefault((owner, name), here)
+        mine = found[owner] if owner >= 0 else None
+        if mine is not None and node.kind == "name":
+            if binds:
+                if role == "params":
+                    mine["params"].append(node.name)
+                mine["own"].add(node.name)
+            else:
+                _note(mine, node, role, parent)
+        elif mine is not None and node.kind == "call":
+            c = node.callee
+            mine["callees"].append(c.name if c.kind in ("name", "member") else None)
+        stack += [(child, r, node, here, binds and node.kind != "function") for r, child in reversed(list(node.children()))]
+    out = []
+    for i, f in enumerate(found):
+        node, own = f["node"], f["own"]
+        calls = []
+        for name in dict.fromkeys(c for c in f["callees"] if c):
+            at = i
+            while at is not None:
+                if (at, name) in declared:
+                    calls.append(declared[at, name])
+                    break
+                at = None if at < 0 else found[at]["owner"]
+        free = lambda names: [n for n in names if n not in own]  # noqa: B023, E731
+        out.append((i, f["name"], node.form, node.start, node.end, f["params"], list(dict.fromkeys(c for c in f["callees"] if c)), free(f["reads"]), free(f["writes"]), calls))
+    return out
+
+
+def _note(f: dict, node: Node, role: str, parent: Node | None) -> None:
+    """Whether a name is read, written or both in the function it stands in."""
+    if parent is not None and (parent.kind == "assign" and role == "left" or parent.kind == "update"):
+        f["writes"].setdefault(node.name)
+        if parent.kind == "update" or parent.op != "=":
+            f["reads"].setdefault(node.name)
+    else:
+        f["reads"].setdefault(node.name)
+
+
+def _fact_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
+    names, types = zip(*[c.split() for c in FACTS.split(", ")], strict=True)
+    for batch in batches:
+        rows = [(doc, *row) for doc, source in zip(batch.column("doc").to_pylist(), batch.column("source").to_pylist(), strict=True) for row in facts_of(source)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
+
+
+def function_facts(sources: DataFrame) -> DataFrame:
+    """Names, parameters, callees, references and call edges of each function of sources (doc, source)."""
+    return sources.select("doc", "source").mapInArrow(_fact_rows, FACTS)
+
+
 def axis_rows(prints: DataFrame) -> DataFrame:
     """(doc, fn, pass, axis, hash), without nulls: the shape that joins take."""
     from pyspark.sql import functions as F

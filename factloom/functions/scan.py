@@ -10,17 +10,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
+from factloom.functions.normal import normalized
+from factloom.functions.script import lex
+
 #: Names that nearly every module has (fixed values).
 NOISE = frozenset("length name value key prototype constructor toString valueOf hasOwnProperty default type".split())
 #: Words counted in a keyword histogram (fixed values).
 COUNTED = "if else for while do switch case break continue return throw try catch finally function class extends new delete typeof instanceof in of var let const async await yield import export this super =>".split()
 
-_TOKEN = re.compile(
-    r"""//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|=>|[A-Za-z_$][\w$]*|\d[\w.]*|\S""",
-    re.DOTALL,
-)
-
-
 def arrow(returns: str):
     """A column function from one on pandas series; the UDF is made where it is used, as workers import this module without a session."""
 
@@ -35,8 +32,14 @@ def arrow(returns: str):
 
 
 def tokens(source: str | None) -> list[str]:
-    """Tokens without comments; strings and templates are one token each."""
-    return [t for t in _TOKEN.findall(source or "") if not t.startswith(("//", "/*"))]
+    """Tokens without comments; strings, templates and regular expressions are one token each, marks of several characters, but for =>, one token for each."""
+    out: list[str] = []
+    for t in lex(source or ""):
+        if t.kind == "mark" and t.text != "=>":
+            out += t.text
+        else:
+            out.append(t.text)
+    return out
 
 
 def fnv1a(data: bytes) -> int:
@@ -83,14 +86,22 @@ def string_literals(sources: pd.Series) -> pd.Series:
     return sources.map(of)
 
 
-_SPECIFIER = re.compile(r"""(?:\bfrom\s*|\bimport\s*\(?\s*|\brequire(?:\.resolve)?\s*\(\s*)(["'])((?:(?!\1)[^\\\n])+)\1""")
+def specifiers(source: str | None) -> list[str]:
+    """Specifiers of import, export from, import() and require(), in order, each once."""
+    ts, found = lex(source or ""), []
+    for i, t in enumerate(ts):
+        if t.kind != "string" or not i:
+            continue
+        before = [x.text for x in ts[max(0, i - 4) : i]]
+        asked = before[-1] in ("from", "import") or before[-2:] in (["import", "("], ["require", "("]) or before == ["require", ".", "resolve", "("]
+        if asked and len(t.text) > 2 and "\\" not in t.text:
+            found.append(t.text[1:-1])
+    return list(dict.fromkeys(found))
 
 
 @arrow("array<string>")
 def import_specifiers(sources: pd.Series) -> pd.Series:
-    """Specifiers of import, export from, import() and require(), in order, each once."""
-    code = lambda s: re.sub(r"//[^\n]*|/\*.*?\*/", " ", s or "", flags=re.DOTALL)
-    return sources.map(lambda s: list(dict.fromkeys(m[1] for m in _SPECIFIER.findall(code(s)))))
+    return sources.map(specifiers)
 
 
 @arrow("array<string>")
@@ -126,36 +137,6 @@ def keyword_histogram(sources: pd.Series) -> pd.Series:
     return sources.map(of)
 
 
-#: Lexical rewrites to a common form, in order: (name, pattern, replacement).
-PASSES = [
-    ("void_zero_to_undefined", r"\bvoid 0\b", "undefined"),
-    ("boolean_canonicalised", r"!0\b", "true"),
-    ("boolean_canonicalised", r"!1\b", "false"),
-    ("computed_to_static_member", r"""\[(["'])([A-Za-z_$][\w$]*)\1\]""", r".\2"),
-    ("constant_string_concat_folded", r'"([^"\\]*)"\s*\+\s*"([^"\\]*)"', r'"\1\2"'),
-    ("template_no_substitution_lowered", r"`([^`$\\\n\"]*)`", r'"\1"'),
-    ("infinite_for_to_while", r"\bfor\s*\(\s*;\s*;\s*\)", "while (true)"),
-    ("logical_not_chain_flattened", r"!!!+", "!"),
-    ("empty_else_block_removed", r"\belse\s*\{\s*\}", ""),
-    ("trailing_return_void_removed", r"\breturn;\s*\}", "}"),
-    ("parenthesized_expression_unwrapped", r"\(\(([^()]*)\)\)", r"(\1)"),
-]
-
-
-def normalized(source: str) -> tuple[str, list[str]]:
-    """The text after all passes to a fixed point, and the passes that changed it."""
-    used: list[str] = []
-    for _ in range(20):
-        before = source
-        for name, pattern, new in PASSES:
-            source, n = re.subn(pattern, new, source)
-            if n and name not in used:
-                used.append(name)
-        if source == before:
-            break
-    return source, used
-
-
 @arrow("struct<source string, passes array<string>>")
 def normalize(sources: pd.Series) -> pd.DataFrame:
     rows = [normalized(s or "") for s in sources]

@@ -131,3 +131,11 @@ def peer_counts(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     n = p.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("peers"))
     return p.join(n, ["p_brand", "p_type"]).select("p_partkey", F.when(F.col("p_size") <= 10, 0).when(F.col("p_size") <= 25, 1).otherwise(2).alias("bucket"), "peers")
+
+
+@query()
+def function_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Names, parameters, references and call edges of the functions in page scripts. (A parser; tested on fixtures.)"""
+    s = scripts(spark, sf).select(F.col("page_id").alias("doc"), F.concat(F.lit("function page() {"), "source", F.lit("}")).alias("source"))
+    f = fingerprint.function_facts(s)
+    return f.select("doc", "fn", "name", "form", *[F.array_join(c, ",").alias(c) for c in ("params", "callees", "reads", "writes")], F.size("calls").alias("calls"))
