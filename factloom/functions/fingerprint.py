@@ -198,11 +198,14 @@ def facts_of(source: str | None) -> list[tuple]:
     number: dict[int, int] = {}
     declared: dict[tuple[int, str], int] = {}
     # What each function holds itself, without what functions inside it hold.
-    stack: list[tuple[Node, str, Node | None, int, bool]] = [(tree, "", None, -1, False)]
+    stack: list[tuple[Node, str, Node | None, int, str]] = [(tree, "", None, -1, "")]
     while stack:
         node, role, parent, owner, binds = stack.pop()
         # Names in the patterns of parameters and declarations are the function's own; their default values are not.
-        binds = role in ("params", "target") or binds and role in ("parts", "value", "left") and parent.kind in ("object", "array", "property", "spread", "assign")
+        if role in ("params", "target"):
+            binds = role
+        elif not (role in ("parts", "value", "left") and parent.kind in ("object", "array", "property", "spread", "assign")):
+            binds = ""
         here = owner
         if node.kind == "function":
             name = node.name
@@ -215,7 +218,7 @@ def facts_of(source: str | None) -> list[tuple]:
         mine = found[owner] if owner >= 0 else None
         if mine is not None and node.kind == "name":
             if binds:
-                if role == "params":
+                if binds == "params":
                     mine["params"].append(node.name)
                 mine["own"].add(node.name)
             else:
@@ -223,7 +226,7 @@ def facts_of(source: str | None) -> list[tuple]:
         elif mine is not None and node.kind == "call":
             c = node.callee
             mine["callees"].append(c.name if c.kind in ("name", "member") else None)
-        stack += [(child, r, node, here, binds and node.kind != "function") for r, child in reversed(list(node.children()))]
+        stack += [(child, r, node, here, "" if node.kind == "function" else binds) for r, child in reversed(list(node.children()))]
     out = []
     for i, f in enumerate(found):
         node, own = f["node"], f["own"]
