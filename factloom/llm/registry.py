@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL twins."""
 
-from factloom.llm import chat, fingerprints, jaccard_join, katz, licenses, line_dedup, packing, pieces, quality, toxicity
+from factloom.llm import base_queries, chat, fingerprints, jaccard_join, katz, licenses, line_dedup, packing, pieces, quality, toxicity
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_license_scans": licenses.query,
     "op9_piece_encoding": pieces.query,
     "op10_katz_backoff": katz.query,
+    **base_queries.QUERIES,
 }
 
-ORACLE_SQL = {"op2_chat_formatting": chat.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op2_chat_formatting": chat.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL, **base_queries.ORACLE_SQL}
