@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,9 +27,11 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one."""
+    """The folder named by spark.checkpoint.dir; only where that is unset on one machine (tests) a temporary one, which a cluster's executors would not share."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="factloom-")
         atexit.register(shutil.rmtree, known, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", known)
