@@ -80,3 +80,9 @@ def test_two_that_fit_replace_the_smallest():
     # Greedy fills 60 + 30 and leaves 10; 30 gives way to 25 + 15.
     assert packing.plan({60: 1, 30: 1, 25: 1, 15: 1}, 100) == [packing.Slots(60, 0, 1, 1, 0, 0), packing.Slots(25, 0, 1, 1, 0, 60), packing.Slots(15, 0, 1, 1, 0, 85), packing.Slots(30, 0, 1, 1, 1, 0)]
     assert packing.plan({}) == []
+
+
+def test_full_pieces_are_sequences_of_their_own(spark):
+    rows = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate([2048] * 40 + [1000, 1048, 2047, 1])], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.place(rows).collect()
+    assert len(out) == 44 and check_bins(out, 2048) == 42
