@@ -38,10 +38,13 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) of every path of one edge or more; a node on a cycle reaches itself. Path lengths double each round."""
-    seen = written(edges.select("src", "dst").distinct())
+    """(src, dst) of every path of one edge or more; a node on a cycle reaches itself. Path lengths double each round.
+
+    Only pairs that a round found are continued: a shortest path of more than 2^k edges begins with one of 2^k, which round k found.
+    """
+    seen = new = written(edges.select("src", "dst").distinct())
     for _ in range(64):
-        longer = seen.join(seen.select(F.col("src").alias("dst"), F.col("dst").alias("_to")), "dst").select("src", F.col("_to").alias("dst")).distinct()
+        longer = new.join(seen.select(F.col("src").alias("dst"), F.col("dst").alias("_to")), "dst").select("src", F.col("_to").alias("dst")).distinct()
         new = written(longer.join(seen, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             break
