@@ -1,13 +1,18 @@
-"""One-to-one assignment, clustering and packing inside components: what SQL can't say, run per component with applyInPandas."""
+"""One-to-one assignment, clustering and packing inside components: what SQL can't say, run on small components in Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.graph import components
+from factloom.operators.graph import ROUNDS, components, unsettled
+from factloom.session import written
 
 #: Rows and columns of a component up to which the best assignment is found; beyond, the greedy one.
 DENSE = 128
@@ -54,26 +59,59 @@ def greedy_assignment(rows: list, cols: list, weights: list[float]) -> list[tupl
     return out
 
 
-def _assign(block: pd.DataFrame) -> pd.DataFrame:
-    block = block.groupby(["row", "col"], as_index=False)["weight"].max()
-    rows, cols = sorted(block["row"].unique()), sorted(block["col"].unique())
-    if max(len(rows), len(cols)) > DENSE:
-        found = greedy_assignment(block["row"].tolist(), block["col"].tolist(), block["weight"].tolist())
-    else:
-        grid = np.zeros((len(rows), len(cols)))
-        at_row, at_col = {r: i for i, r in enumerate(rows)}, {c: i for i, c in enumerate(cols)}
-        for r, c, w in block[["row", "col", "weight"]].itertuples(index=False):
-            grid[at_row[r], at_col[c]] = w
-        found = [(rows[i], cols[j], float(grid[i, j])) for i, j in best_assignment(grid)]
-    return pd.DataFrame(found, columns=["row", "col", "weight"])
+def _assign(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray) -> list[tuple]:
+    row_names, at_row = np.unique(rows, return_inverse=True)
+    col_names, at_col = np.unique(cols, return_inverse=True)
+    grid = np.zeros((len(row_names), len(col_names)))
+    grid[at_row, at_col] = weights
+    return [(row_names[i], col_names[j], float(grid[i, j])) for i, j in best_assignment(grid)]
+
+
+def _assign_sorted(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components that lie one after the other; the last one of a block may go on in the next. None has over DENSE * DENSE edges."""
+    rest = None
+    for block in chain(blocks, [None]):
+        held = block if rest is None else rest if block is None else pd.concat([rest, block], ignore_index=True)
+        if held is None or held.empty:
+            continue
+        part, row, col, weight = (held[c].to_numpy() for c in ("component", "row", "col", "weight"))
+        starts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1)]
+        ends = [*starts[1:], len(held)]
+        if block is not None:
+            rest = held.iloc[starts.pop() :]
+        found = [pair for i, j in zip(starts, ends, strict=False) for pair in _assign(row[i:j], col[i:j], weight[i:j])]
+        yield pd.DataFrame(found, columns=["row", "col", "weight"])
+
+
+def _greedy_rounds(edges: DataFrame) -> DataFrame:
+    """What greedy_assignment finds, without gathering a component: an edge that comes first at both its ends is taken, in rounds, until no edge is left."""
+    first = F.min(F.struct((-F.col("weight")).alias("cost"), "row", "col")).alias("e")
+    left, taken = written(edges.select("row", "col", "weight")), []
+    for _ in range(ROUNDS):
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, taken, left)
+        by_row, by_col = (left.groupBy(end).agg(first).select("e.row", "e.col", (-F.col("e.cost")).alias("weight")) for end in ("row", "col"))
+        both = written(by_row.join(by_col, ["row", "col"], "left_semi"))
+        taken.append(both)
+        left = written(left.join(both.select("row"), "row", "left_anti").join(both.select("col"), "col", "left_anti"))
+    raise unsettled("greedy assignment")
 
 
 def assign(edges: DataFrame) -> DataFrame:
-    """(row, col, weight) of a heaviest assignment of edges (row string, col string, weight double), component by component."""
-    plain = edges.select(F.concat(F.lit("r:"), "row").alias("src"), F.concat(F.lit("c:"), "col").alias("dst"))
-    parts = components(plain).withColumnRenamed("node", "_node")
-    keyed = edges.join(parts, F.concat(F.lit("r:"), "row") == F.col("_node")).select("component", "row", "col", "weight")
-    return keyed.groupBy("component").applyInPandas(_assign, "row string, col string, weight double")
+    """(row, col, weight) of a heaviest assignment of edges (row string, col string, weight double), component by component.
+
+    Of repeated edges the heaviest counts; edges without a positive weight are never taken. Components of more than DENSE rows or columns
+    get the greedy assignment (by weight, row and column), found in rounds over the whole table; the others are solved exactly.
+    """
+    best = written(edges.filter("weight > 0 and not isnan(weight)").groupBy("row", "col").agg(F.max("weight").alias("weight")))
+    row_node = F.concat(F.lit("r:"), "row")
+    parts = written(components(best.select(row_node.alias("src"), F.concat(F.lit("c:"), "col").alias("dst"))))
+    sizes = parts.groupBy("component").agg(F.count_if(F.col("node").startswith("r:")).alias("rows"), F.count_if(F.col("node").startswith("c:")).alias("cols"))
+    large = written(sizes.filter(F.greatest("rows", "cols") > DENSE).select("component"))
+    keyed = best.join(parts.withColumnRenamed("node", "_node"), row_node == F.col("_node")).select("component", "row", "col", "weight")
+    small = keyed if large.isEmpty() else keyed.join(large, "component", "left_anti")
+    solved = small.repartition("component").sortWithinPartitions("component").mapInPandas(_assign_sorted, "row string, col string, weight double")
+    return solved if large.isEmpty() else solved.unionByName(_greedy_rounds(keyed.join(large, "component", "left_semi")))
 
 
 def _louvain(block: pd.DataFrame) -> pd.DataFrame:

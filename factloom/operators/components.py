@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.session import written
@@ -19,15 +19,18 @@ def _star(edges: DataFrame, large: bool, many: bool) -> DataFrame:
         both = both.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     if many:
         # Written, the join reads nothing but its two sides, and Spark can split a node that very many edges share.
-        least = written(least)
-    linked = both.join(least, "u")
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        linked = both.join(least, "u")
+    else:
+        # A node's edges fit one task: one shuffle gives each of them the least node.
+        linked = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+    to_least = F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
     if large:
-        out = linked.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = linked.filter(F.col("v") > F.col("u")).select(to_least.alias("e")).select("e.*")
     else:
-        out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        out = linked.select(F.inline(F.array(to_least, F.struct("u", F.col("m").alias("v")))))
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 

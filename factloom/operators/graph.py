@@ -17,7 +17,7 @@ from factloom.session import written
 ROUNDS = 10_000
 
 
-def _unsettled(what: str, rounds: int = ROUNDS) -> RuntimeError:
+def unsettled(what: str, rounds: int = ROUNDS) -> RuntimeError:
     return RuntimeError(f"{what} still changes after {rounds} rounds")
 
 
@@ -33,7 +33,7 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
             break
         seen = written(seen.union(frontier))
     else:
-        raise _unsettled("reachable")
+        raise unsettled("reachable")
     return seen
 
 
@@ -50,7 +50,7 @@ def closure(edges: DataFrame) -> DataFrame:
             break
         seen = written(seen.union(new))
     else:
-        raise _unsettled("closure", 64)
+        raise unsettled("closure", 64)
     return seen
 
 
@@ -74,7 +74,7 @@ def _flowed(edges: DataFrame, start: DataFrame) -> DataFrame:
         colors = after.select("node", "color")
         if after.filter("_moved").isEmpty():
             return colors
-    raise _unsettled("a color")
+    raise unsettled("a color")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found.append(done)
         live = written(live.join(done, live["src"] == done["node"], "left_anti").join(done, live["dst"] == done["node"], "left_anti"))
     else:
-        raise _unsettled("strong_components")
+        raise unsettled("strong_components")
     for df in found:
         nodes = nodes.join(df.select("node", F.col("color").alias(f"_{id(df)}")), "node", "left")
     return nodes.select("node", F.coalesce(*[F.col(f"_{id(df)}") for df in found], F.col("node")).alias("component"))
@@ -169,7 +169,7 @@ def promote_by_neighbours(left: DataFrame, right: DataFrame, seeds: DataFrame, l
             break
         known = written(known.union(new))
     else:
-        raise _unsettled("promote_by_neighbours", rounds)
+        raise unsettled("promote_by_neighbours", rounds)
     return known
 
 
@@ -184,7 +184,7 @@ def propagate_unanimous(edges: DataFrame, labels: DataFrame, rounds: int = ROUND
             break
         known = written(known.union(new))
     else:
-        raise _unsettled("propagate_unanimous", rounds)
+        raise unsettled("propagate_unanimous", rounds)
     return known
 
 
@@ -214,7 +214,7 @@ def dependency_closure(edges: DataFrame, owned: DataFrame, hints: DataFrame, lea
             break
         known = written(known.union(new))
     else:
-        raise _unsettled("dependency_closure", rounds)
+        raise unsettled("dependency_closure", rounds)
     return known
 
 
@@ -303,7 +303,7 @@ def prune_dead(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFram
         if gone.isEmpty():
             break
     else:
-        raise _unsettled("prune_dead")
+        raise unsettled("prune_dead")
     return alive
 
 
@@ -325,7 +325,7 @@ def all_deps_safe(nodes: DataFrame, edges: DataFrame, unsafe: DataFrame) -> Data
             break
         safe = written(safe.union(new))
     else:
-        raise _unsettled("all_deps_safe")
+        raise unsettled("all_deps_safe")
     return safe
 
 
@@ -359,7 +359,7 @@ def contract_pass_through(edges: DataFrame, pass_through: DataFrame) -> DataFram
         if moved.filter("_moved and src <> dst").isEmpty():
             break
     else:
-        raise _unsettled("contract_pass_through")
+        raise unsettled("contract_pass_through")
     return edges
 
 

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,32 @@ def test_assignment_beats_greedy_and_uses_columns_once(spark):
     assert assign.greedy_assignment(["a", "a", "b"], ["x", "y", "x"], [10, 9, 9]) == [("a", "x", 10)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_large_components_get_the_greedy_assignment_in_rounds(spark, seed, monkeypatch):
+    monkeypatch.setattr(assign, "DENSE", 2)
+    rng = np.random.default_rng(seed)
+    pairs = [(f"r{i}", f"c{j}", float(rng.integers(0, 6))) for i in range(12) for j in range(9) if rng.random() < 0.4]
+    lone = [("p", "q", 2.0), ("p", "q", 5.0), ("p", "z", None), ("y", "q", float("nan"))]
+    got = rows(assign.assign(spark.createDataFrame(pairs + lone, "row string, col string, weight double")))
+    assert got == sorted([*assign.greedy_assignment(*map(list, zip(*pairs, strict=True))), ("p", "q", 5.0)], key=repr)
+
+
+def test_components_of_a_table_go_on_over_blocks():
+    rng = np.random.default_rng(5)
+    edges = pd.DataFrame([(k, f"r{k}{i}", f"c{k}{j}", float(rng.integers(1, 50))) for k in range(20) for i in range(3) for j in range(4)], columns=["component", "row", "col", "weight"])
+    for size in (1, 7, 12, 100, 240):
+        blocks = (edges[i : i + size].reset_index(drop=True) for i in range(0, len(edges), size))
+        got = pd.concat([b for b in assign._assign_sorted(blocks) if len(b)])
+        assert len(got) == 60 and set(got["row"]) == set(edges["row"]) and got["col"].is_unique
+        best = sum(assign._assign(*(b[c].to_numpy() for c in ("row", "col", "weight")))[i][2] for _, b in edges.groupby("component") for i in range(3))
+        assert got["weight"].sum() == best
+    assert list(assign._assign_sorted(iter([]))) == []
+
+
+def test_assignment_of_nothing_is_empty(spark):
+    assert rows(assign.assign(spark.createDataFrame([("a", "b", 0.0)], "row string, col string, weight double"))) == []
+
+
 def test_louvain_finds_two_cliques(spark):
     pairs = [(a, b, 1.0) for group in ("abcd", "wxyz") for a, b in itertools.combinations(group, 2)] + [("d", "w", 1.0)]
     got = dict(rows(assign.louvain(spark.createDataFrame(pairs, "src string, dst string, weight double"))))
