@@ -28,7 +28,8 @@ def minified_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT s_suppkey, n_nationkey, CASE WHEN s_acctbal::BIGINT = 0 OR n_nationkey = 0 THEN 0.5 ELSE round(greatest(1 - abs(abs(s_acctbal)::BIGINT - n_nationkey) / (abs(s_acctbal)::BIGINT + n_nationkey), 0.1), 6) END AS prior FROM (SELECT s_suppkey, abs(s_acctbal)::BIGINT AS s_acctbal, s_nationkey AS n_nationkey FROM supplier)""")
 def size_prior(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"), F.round(F.abs("s_acctbal")).cast("long").alias("a"))
+    # Halves go to the even number, as they do when SQL casts to whole numbers.
+    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"), F.rint(F.abs("s_acctbal")).cast("long").alias("a"))
     return s.select("s_suppkey", "n_nationkey", F.round(text.size_prior(F.col("a"), F.col("n_nationkey")), 6).alias("prior"))
 
 
