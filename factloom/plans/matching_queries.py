@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import matching, similarity
 from factloom.plans.base import query, table
+from factloom.session import written
 
 #: Words of a text as features, in both dialects: letters and figures, lower-cased.
 _DOC = "d AS (SELECT DISTINCT doc_id AS doc, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS feature FROM documents), l AS (SELECT * FROM d WHERE length(feature) >= 6)"
@@ -137,8 +138,18 @@ def vote_majority(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH x AS (SELECT l_suppkey AS ref, p_brand AS subject, avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
   SELECT ref, subject, CAST((q >= 26)::INT + (d >= 0.05)::INT + (t >= 0.04)::INT + (n >= 10)::INT AS BIGINT) AS signals FROM x WHERE (q >= 26)::INT + (d >= 0.05)::INT + (t >= 0.04)::INT + (n >= 10)::INT >= 3""")
 def signal_agreement_3of4(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("ref"), F.col("p_brand").alias("subject"))
-    x = rows.agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"), F.count(F.lit(1)).alias("n"))
+    """Pairs that three of four signals name. A mean at its threshold is decided by the sum in the order of the table's rows, however they are dealt."""
+    l = table(spark, sf, "lineitem").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    rows = l.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("ref"), F.col("p_brand").alias("subject"), "_file", "_row", "l_quantity", "l_discount", "l_tax")
+    x = rows.groupBy("ref", "subject").agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"), F.count(F.lit(1)).alias("n"))
+    near = lambda c, threshold: F.abs(F.col(c) - threshold) < 1e-9
+    x = written(x.withColumn("close", F.coalesce(near("d", 0.05) | near("t", 0.04) | near("q", 26), F.lit(False))))
+    of = ("ref", "subject")
+    w = Window.partitionBy(*of).orderBy("_file", "_row")
+    close = rows.join(x.filter("close").select(*of), [*of], "left_semi")
+    sums = [F.avg(c).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name) for name, c in (("q", "l_quantity"), ("d", "l_discount"), ("t", "l_tax"))]
+    ordered = close.select(*of, *sums, F.row_number().over(w).alias("n"), F.lead(F.lit(1)).over(w).alias("_more")).filter("_more is null").select(*of, "q", "d", "t", F.col("n").cast("long").alias("n"))
+    x = x.filter("not close").drop("close").unionByName(ordered)
     of = lambda c: x.select("ref", "subject", F.col(c).alias("score"))
     return matching.agreement({"q": (of("q"), 26), "d": (of("d"), 0.05), "t": (of("t"), 0.04), "n": (of("n"), 10)})
 

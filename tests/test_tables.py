@@ -34,3 +34,12 @@ def small(name: str) -> pd.DataFrame:
 def test_half_balances_round_to_even(equal):
     s = small("supplier").head(4).assign(s_acctbal=[48.5, -47.5, 0.5, 1.5], s_nationkey=[11, 11, 3, 3])
     assert sorted(equal("size_prior", supplier=s)["prior"]) == [0.372881, 0.372881, 0.5, 0.8]
+
+
+def test_means_at_a_threshold_are_summed_in_order(equal):
+    # Many means are 0.05 and 0.04 but for the last bit; the order of addition decides, and the files' order must not.
+    n = 24000
+    i = pd.Series(range(n))
+    part = small("part").head(1).assign(p_partkey=1, p_brand="Brand#1")
+    l = pd.DataFrame({"l_orderkey": i * 7919 % n, "l_linenumber": 1, "l_partkey": 1, "l_suppkey": i % 1000, "l_quantity": 30.0, "l_discount": (i * i // 7 + i // 1000) % 11 / 100, "l_tax": i * 5 // 3 % 9 / 100})
+    equal("signal_agreement_3of4", part=part, lineitem=[l[a : a + 1500] for a in range(0, n, 1500)])
