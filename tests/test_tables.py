@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 import pytest
 
+from factloom.operators import matching
 from factloom.plans import registry
 from tests.compare import SMALL, comparable, database
 
@@ -43,3 +44,30 @@ def test_means_at_a_threshold_are_summed_in_order(equal):
     part = small("part").head(1).assign(p_partkey=1, p_brand="Brand#1")
     l = pd.DataFrame({"l_orderkey": i * 7919 % n, "l_linenumber": 1, "l_partkey": 1, "l_suppkey": i % 1000, "l_quantity": 30.0, "l_discount": (i * i // 7 + i // 1000) % 11 / 100, "l_tax": i * 5 // 3 % 9 / 100})
     equal("signal_agreement_3of4", part=part, lineitem=[l[a : a + 1500] for a in range(0, n, 1500)])
+
+
+def most_rows(df) -> int:
+    """The most rows that any part of the plan put out."""
+    df.collect()
+
+    def walk(plan) -> int:
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            return walk(plan.plan())
+        rows = plan.metrics().get("numOutputRows")
+        children = plan.children()
+        return max([rows.get().value() if rows.isDefined() else 0, *(walk(children.apply(i)) for i in range(children.size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_candidates_carry_their_axes(spark):
+    axes = lambda key, x: [(*key, "literal_anchor", str(x % 3)), (*key, "callee_set", str(x)), (*key, "throw_set", str(x % 7))]
+    index = spark.createDataFrame([r for x in range(90) for r in axes(("a", x), x)], "identity string, fn_id long, axis string, hash string")
+    queries = spark.createDataFrame([r for x in range(90) for r in axes((x,), x)] + [(99, "literal_anchor", None)], "fn long, axis string, hash string")
+    out = matching.feature_similarity(queries, index)
+    assert sorted(tuple(r) for r in out.collect()) == [(x, "a", x, 1.0) for x in range(90)]
+    # 90 * 30 pairs meet by their first axis, and none is joined with an axis of its own again.
+    assert most_rows(out) <= 90 * 30
+    assert sorted(r["fn"] for r in matching.feature_similarity(queries, index, ceiling=29).collect()) == []
