@@ -62,6 +62,19 @@ def most_rows(df) -> int:
     return walk(df._jdf.queryExecution().executedPlan())
 
 
+KEYS = ["params", "statements", "ast"]
+
+
+def test_hashes_that_many_share_meet_once(spark):
+    index = spark.createDataFrame([("a", i, 1, 1, 1) for i in range(300)] + [("b", 900, 2, 2, 2), ("b", 900, 2, 2, 2)], ["identity", "fn_id", *KEYS])
+    queries = spark.createDataFrame([(i, 1, 1, 1, 1) for i in range(300)] + [(7, 2, 2, 2, 2), (8, 1, 2, 2, 2)], ["fn", "pos", *KEYS])
+    # 8 has a sole owner in its first pass by one hash, but that pass has also a hash of many.
+    out = matching.exact_alternates(queries, index)
+    assert [tuple(r) for r in out.collect()] == [(7, "b", 900)]
+    assert [r["fn"] for r in matching.exact(queries, index).collect()] == []
+    assert most_rows(out) <= 1000
+
+
 def test_candidates_carry_their_axes(spark):
     axes = lambda key, x: [(*key, "literal_anchor", str(x % 3)), (*key, "callee_set", str(x)), (*key, "throw_set", str(x % 7))]
     index = spark.createDataFrame([r for x in range(90) for r in axes(("a", x), x)], "identity string, fn_id long, axis string, hash string")
