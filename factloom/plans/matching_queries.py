@@ -113,8 +113,8 @@ def exact_hash_unique_owner(spark: SparkSession, sf: str) -> DataFrame:
     part, s = table(spark, sf, "part"), table(spark, sf, "supplier")
     kinds = part.select("p_type").distinct()  # a handful of types
     asked = s.select(F.col("s_suppkey").alias("fn"), (1 + F.col("s_suppkey") % 50).cast("int").alias("p_size")).crossJoin(F.broadcast(kinds))
-    hits = asked.join(part.select("p_size", "p_type", F.col("p_brand").alias("identity"), F.col("p_partkey").alias("fn_id")), ["p_size", "p_type"])
-    return matching.unique_winner(hits.withColumn("_k", F.struct("fn", "p_type")), "_k").select("_k.fn", "_k.p_type", "identity", "fn_id")
+    index = part.select("p_size", "p_type", F.col("p_brand").alias("identity"), F.col("p_partkey").alias("fn_id"))
+    return matching.unique_owner(asked.withColumn("_k", F.struct("fn", "p_type")), index, ["p_size", "p_type"], "_k").select("_k.fn", "_k.p_type", "identity", "fn_id")
 
 
 @query("""WITH h AS (SELECT l_suppkey AS fn, p_brand AS identity, l_partkey AS fn_id, CASE WHEN l_returnflag = 'A' AND l_quantity > 49 THEN 'exact' WHEN l_returnflag = 'R' THEN 'feature' ELSE 'structural' END AS tier FROM lineitem JOIN part ON l_partkey = p_partkey),

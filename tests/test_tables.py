@@ -84,3 +84,12 @@ def test_candidates_carry_their_axes(spark):
     # 90 * 30 pairs meet by their first axis, and none is joined with an axis of its own again.
     assert most_rows(out) <= 90 * 30
     assert sorted(r["fn"] for r in matching.feature_similarity(queries, index, ceiling=29).collect()) == []
+
+
+def test_many_parts_of_a_kind_meet_a_supplier_once(spark, tmp_path):
+    small("supplier").head(1).merge(pd.DataFrame({"n": range(400)}), how="cross").assign(s_suppkey=lambda x: x["n"] * 50).to_parquet(tmp_path / "supplier.parquet")
+    part = small("part").head(1).merge(pd.DataFrame({"n": range(400)}), how="cross").assign(p_size=1, p_type="A").assign(p_partkey=lambda x: x["n"])
+    pd.concat([part, part.head(1).assign(p_type="B")]).to_parquet(tmp_path / "part.parquet")
+    out = registry.QUERIES["exact_hash_unique_owner"](spark, str(tmp_path))
+    assert {(r["p_type"], r["fn_id"]) for r in out.collect()} == {("B", 0)} and out.count() == 400
+    assert most_rows(out) <= 1000
