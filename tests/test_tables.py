@@ -75,6 +75,14 @@ def test_hashes_that_many_share_meet_once(spark):
     assert most_rows(out) <= 1000
 
 
+def test_one_requirement_is_answered_once(spark):
+    versions = spark.createDataFrame([("p", f"{i % 5}.{i % 20}.0") for i in range(400)] + [("p", "3.0.0-rc.1")], "package string, version string")
+    requests = spark.createDataFrame([(i, "p", ["^1.2.0", "~2.7.0", "3.0.0-rc.1", "<0.5.0", "9.9.9"][i % 5]) for i in range(400)], "request long, package string, requirement string")
+    out = matching.range_join(requests, versions)
+    assert {(r["request"] % 5, r["version"]) for r in out.collect()} == {(0, "1.16.0"), (1, "2.7.0"), (2, "3.0.0-rc.1"), (3, "0.0.0")}
+    assert out.count() == 320 and most_rows(out) <= 1000
+
+
 def test_candidates_carry_their_axes(spark):
     axes = lambda key, x: [(*key, "literal_anchor", str(x % 3)), (*key, "callee_set", str(x)), (*key, "throw_set", str(x % 7))]
     index = spark.createDataFrame([r for x in range(90) for r in axes(("a", x), x)], "identity string, fn_id long, axis string, hash string")
