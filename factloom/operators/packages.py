@@ -160,7 +160,8 @@ def resolved_requests(requests: DataFrame, available: DataFrame) -> DataFrame:
     """(request, package, requirement, version, reason): the version asked for, else the greatest that the range admits, else the greatest there is, else none."""
     from factloom.operators.matching import range_join
 
-    there = available.select(F.col("package").alias("_p"), F.col("version").alias("_exact")).distinct()
+    available = available.select("package", "version").distinct()
+    there = available.select(F.col("package").alias("_p"), F.col("version").alias("_exact"))
     exact = requests.join(there, (F.col("requirement") == F.col("_exact")) & (F.col("package") == F.col("_p")), "left").drop("_p")
     ranged = range_join(requests, available).select("request", F.col("version").alias("_ranged"))
     latest = available.withColumn("_v", semver(F.col("version"))).filter("_v is not null").groupBy("package").agg(F.max_by("version", "_v").alias("_latest"))

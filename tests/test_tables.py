@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 import pytest
 
-from factloom.operators import matching
+from factloom.operators import matching, packages
 from factloom.plans import registry
 from tests.compare import SMALL, comparable, database
 
@@ -83,6 +83,14 @@ def test_one_requirement_is_answered_once(spark):
     assert out.count() == 320 and most_rows(out) <= 1000
 
 
+def test_requests_and_versions_count_once(spark):
+    available = spark.createDataFrame([("p", f"{i % 5}.{i % 20}.0") for i in range(400)], "package string, version string")
+    requests = spark.createDataFrame([(i, "p", ["1.1.0", "^1.2.0", "7.0.0"][i % 3]) for i in range(400)], "request long, package string, requirement string")
+    out = packages.resolved_requests(requests, available)
+    assert {(r["request"] % 3, r["version"], r["reason"]) for r in out.collect()} == {(0, "1.1.0", "exact"), (1, "1.16.0", "satisfies"), (2, "4.19.0", "nearest")}
+    assert most_rows(out) <= 1000
+
+
 def test_candidates_carry_their_axes(spark):
     axes = lambda key, x: [(*key, "literal_anchor", str(x % 3)), (*key, "callee_set", str(x)), (*key, "throw_set", str(x % 7))]
     index = spark.createDataFrame([r for x in range(90) for r in axes(("a", x), x)], "identity string, fn_id long, axis string, hash string")
