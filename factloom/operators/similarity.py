@@ -6,8 +6,19 @@ their document frequency, which is also what keeps a hot feature from skewing th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from factloom.session import written
+
+#: Pairs of documents that a feature may make in a join; beyond, blocks of about SPAN documents are compared whole.
+HOT_PAIRS, SPAN = 1 << 14, 512
 
 
 def document_frequency(features: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
@@ -117,22 +128,97 @@ def multi_axis(left: DataFrame, right: DataFrame, total: Column, measure: str =
     return out
 
 
-def source_evidence(left: DataFrame, right: DataFrame, hashes: DataFrame, total: Column) -> DataFrame:
-    """(left, right, same_source, score) from whole-text hashes (side, doc, hash) and the families of (doc, family, feature): overlap, Jaccard and containment of each, and IDF mass over the geometric mean of both."""
+def source_evidence(left: DataFrame, right: DataFrame, hashes: DataFrame, total: Column, hot: int = HOT_PAIRS) -> DataFrame:
+    """(left, right, same_source, score) from whole-text hashes (side, doc, hash) and the families of (doc, family, feature): overlap, Jaccard and containment of each, and IDF mass over the geometric mean of both.
+
+    Features that make more than `hot` pairs are counted by matrix products of blocks of documents, not pair by pair; the others meet in a join.
+    """
     keyed = lambda x: x.select("doc", F.concat_ws("\x1f", "family", "feature").alias("feature"), "family")
     l, r = keyed(left), keyed(right)
     df = document_frequency(r.select("feature"))
-    shared = l.select(F.col("doc").alias("left"), "family", "feature").join(r.select(F.col("doc").alias("right"), "feature"), "feature").join(idf(df, total), "feature").groupBy("left", "right", "family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("weight") ** 2).alias("mass"))
+    often = document_frequency(l.select("feature")).withColumnRenamed("df", "_n").join(idf(df, total), "feature").filter(F.col("_n") * F.col("df") > hot)
+    often = written(often.select("feature", "weight", F.monotonically_increasing_id().alias("id")))
+    met = l.join(often, "feature", "left_anti").select(F.col("doc").alias("left"), "family", "feature").join(r.select(F.col("doc").alias("right"), "feature"), "feature").join(idf(df, total), "feature")
+    shared = met.groupBy("left", "right", "family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("weight") ** 2).alias("mass"))
     size = lambda x, name: x.join(idf(df, total), "feature", "left").groupBy("doc", "family").agg(F.count(F.lit(1)).alias(f"{name}_n"), F.sum(F.coalesce("weight", F.log(total)) ** 2).alias(f"{name}_m")).withColumnRenamed("doc", name)
-    rows = shared.join(size(l, "left"), ["left", "family"]).join(size(r, "right"), ["right", "family"])
-    n, a, b = F.col("n"), F.col("left_n"), F.col("right_n")
-    rows = rows.withColumn("_s", (n / F.least(a, b) + n / (a + b - n) + n / a + F.coalesce(F.col("mass") / F.nullif(F.sqrt(F.col("left_m") * F.col("right_m")), F.lit(0.0)), F.lit(0.0))) / 4)
-    out = rows.groupBy("left", "right").agg(F.sum("_s").alias("score"))
+    if often.isEmpty():
+        rows = shared.join(size(l, "left"), ["left", "family"]).join(size(r, "right"), ["right", "family"])
+        n, a, b = F.col("n"), F.col("left_n"), F.col("right_n")
+        rows = rows.withColumn("_s", (n / F.least(a, b) + n / (a + b - n) + n / a + F.coalesce(F.col("mass") / F.nullif(F.sqrt(F.col("left_m") * F.col("right_m")), F.lit(0.0)), F.lit(0.0))) / 4)
+        out = rows.groupBy("left", "right").agg(F.sum("_s").alias("score"))
+    else:
+        out = _evidence_in_blocks(l, r, often, shared, size)
     h = lambda side: hashes.filter(F.col("side") == side).select(F.col("doc").alias(side), F.col("hash").alias(f"_{side}"))
     out = out.join(h("left"), "left", "left").join(h("right"), "right", "left")
     return out.select("left", "right", F.coalesce(F.col("_left") == F.col("_right"), F.lit(False)).alias("same_source"), "score")
 
 
+def _evidence_in_blocks(l: DataFrame, r: DataFrame, often: DataFrame, shared: DataFrame, size: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(left, right, score) of source_evidence(): each block of documents on the left meets each on the right once, with what rare features they share."""
+    kinds = {"left": l.schema["doc"].dataType, "right": r.schema["doc"].dataType}
+    blocks = {"left": 1 + l.select("doc").distinct().count() // SPAN, "right": 1 + r.select("doc").distinct().count() // SPAN}
+    block = lambda side: F.pmod(F.xxhash64(side), F.lit(blocks[side])).cast("int").alias(f"{side}_block")
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.lit(blocks[side] - 1))).alias(f"{side}_block")
+
+    def of(x: DataFrame, side: str, other: str) -> DataFrame:
+        held = x.join(often, "feature").groupBy(F.col("doc").alias(side), "family").agg(F.collect_list(F.struct("id", "weight")).alias("_x"))
+        rows = size(x, side).filter(F.col(side).isNotNull()).join(held, [side, "family"], "left").select(F.lit(side).alias("kind"), side, F.lit(None).cast(kinds[other]).alias(other), "family", F.col(f"{side}_n").alias("n"), F.col(f"{side}_m").alias("mass"), F.col("_x.id").alias("ids"), F.col("_x.weight").alias("weights"))
+        return rows.select("*", block(side), every(other))
+
+    pairs = shared.select(F.lit("pair").alias("kind"), "left", "right", "family", "n", "mass", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<double>").alias("weights"), block("left"), block("right"))
+    cells = of(l, "left", "right").unionByName(of(r, "right", "left")).unionByName(pairs)
+    return cells.groupBy("left_block", "right_block").applyInArrow(_evidence, StructType([StructField("left", kinds["left"]), StructField("right", kinds["right"]), StructField("score", DoubleType())]))
+
+
+def _evidence(table: pa.Table) -> pa.Table:
+    """The scores of all pairs of two blocks that share a feature."""
+    of, names, at = {}, {}, {}
+    for c in ("left", "right", "family", "kind"):
+        coded = table[c].combine_chunks().dictionary_encode()
+        names[c], at[c] = coded.dictionary, coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    is_kind = {k: at["kind"] == i for i, k in enumerate(names["kind"].to_pylist())}
+    n, mass = table["n"].to_numpy(), table["mass"].to_numpy()
+    shape = len(names["left"]), len(names["right"])
+    score, met = np.zeros(shape), np.zeros(shape, bool)
+    for _, family in sorted((x, i) for i, x in enumerate(names["family"].to_pylist())):
+        mine = at["family"] == family
+        for side in ("left", "right"):
+            rows = np.flatnonzero(mine & is_kind.get(side, False))
+            count, whole = np.zeros(len(names[side])), np.zeros(len(names[side]))
+            count[at[side][rows]], whole[at[side][rows]] = n[rows], mass[rows]
+            lists = table["ids"].take(pa.array(rows)).combine_chunks()
+            lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            weights = table["weights"].take(pa.array(rows)).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            of[side] = count, whole, np.repeat(at[side][rows], lengths), lists.flatten().to_numpy(zero_copy_only=False), weights
+        (a, am, l_doc, l_id, l_weight), (b, bm, r_doc, r_id, _) = of["left"], of["right"]
+        common, both = np.zeros(shape), np.zeros(shape)
+        ids, first = np.unique(l_id, return_index=True)
+        squares = l_weight[first] ** 2 if len(ids) else np.zeros(0)
+        lp, rp = np.searchsorted(ids, l_id), np.minimum(np.searchsorted(ids, r_id), max(len(ids) - 1, 0))
+        known = ids[rp] == r_id if len(ids) else np.zeros(len(r_id), bool)
+        r_doc, rp = r_doc[known], rp[known]
+        for start in range(0, len(ids), 4096):
+            stop = min(start + 4096, len(ids))
+            x, y = np.zeros((shape[0], stop - start), np.float32), np.zeros((shape[1], stop - start), np.float32)
+            here, there = (lp >= start) & (lp < stop), (rp >= start) & (rp < stop)
+            x[l_doc[here], lp[here] - start] = 1
+            y[r_doc[there], rp[there] - start] = 1
+            common += x @ y.T
+            heavy = squares[start:stop] > 0
+            if heavy.any():
+                both += (x[:, heavy] * squares[start:stop][heavy]) @ y[:, heavy].T.astype(np.float64)
+        rare = np.flatnonzero(mine & is_kind.get("pair", False))
+        np.add.at(common, (at["left"][rare], at["right"][rare]), n[rare])
+        np.add.at(both, (at["left"][rare], at["right"][rare]), mass[rare])
+        a, b, middle = a[:, None], b[None, :], np.sqrt(am[:, None] * bm[None, :])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            each = (common / np.minimum(a, b) + common / (a + b - common) + common / a + np.where(middle > 0, both / middle, 0.0)) / 4
+        score += np.where(common > 0, each, 0.0)
+        met |= common > 0
+    i, j = np.nonzero(met)
+    return pa.table([names["left"].take(pa.array(i)), names["right"].take(pa.array(j)), pa.array(score[i, j])], names=["left", "right", "score"])
+
+
 def sequence_windows(tokens: Column, width: int) -> Column:
     """Windows of `width` tokens joined by spaces; none for shorter sequences."""
     n = F.size(tokens)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from factloom.operators import matching, packages
+from factloom.operators import matching, packages, similarity
 from factloom.plans import registry
 from tests.compare import SMALL, comparable, database
 
@@ -109,3 +110,15 @@ def test_many_parts_of_a_kind_meet_a_supplier_once(spark, tmp_path):
     out = registry.QUERIES["exact_hash_unique_owner"](spark, str(tmp_path))
     assert {(r["p_type"], r["fn_id"]) for r in out.collect()} == {("B", 0)} and out.count() == 400
     assert most_rows(out) <= 1000
+
+
+def test_features_of_all_documents_are_counted_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SPAN", 64, raising=False)
+    side = lambda step: spark.createDataFrame([(d, "price", f"p{k}") for d in range(250) for k in range(40) if (d * step + k) % 3] + [(d, "part", f"x{d // step}") for d in range(250)], "doc long, family string, feature string")
+    hashes = spark.createDataFrame([(s, d, d % 7) for s in ("left", "right") for d in range(250)], "side string, doc long, hash long")
+    of = lambda **k: similarity.source_evidence(side(2), side(5), hashes, F.lit(200.0), **k)
+    out = of()
+    got = {(r["left"], r["right"]): (r["same_source"], round(r["score"], 9)) for r in out.collect()}
+    assert most_rows(out) <= 250 * 250 + 2000
+    pairs = {(r["left"], r["right"]): (r["same_source"], round(r["score"], 9)) for r in of(hot=1 << 40).collect()}
+    assert len(got) == 250 * 250 and got == pairs
