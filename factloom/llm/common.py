@@ -142,6 +142,10 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
+#: Spark takes what it doesn't know the size of for endless.
+UNKNOWN = 1 << 60
+
+
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Which of the buckets a hash belongs to, by its top 31 bits."""
     return ((hashes >> np.uint64(33)) * np.uint64(buckets) >> np.uint64(31)).astype(np.int64)
@@ -165,6 +169,11 @@ def crc_mod(id_col: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % parts
 
 
-def shuffle_buckets(spark: SparkSession) -> int:
-    """As many packed buckets as the session deals its shuffles to: what grows with the data is their number, not their size."""
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def shuffle_buckets(spark: SparkSession, read: DataFrame | None = None) -> int:
+    """As many packed buckets as the session deals its shuffles to, and one for each 10 MB of the files that `read` reads: what grows with the data is their number, not their size."""
+    least = 0
+    if read is not None:
+        leaves = read._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+        least = sum(x for x in sizes if x < UNKNOWN) // 10_000_000
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), least)

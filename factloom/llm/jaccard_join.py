@@ -534,7 +534,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     spark = docs.sparkSession
     row = F.col(row_col) if row_col else F.lit(0)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
-    blocks = docs.mapInArrow(_blocks(width, 2 * shuffle_buckets(spark)), BLOCKS)
+    buckets = shuffle_buckets(spark, docs)
+    blocks = docs.mapInArrow(_blocks(width, 2 * buckets), BLOCKS)
     docs = docs.drop("row")
     met = written(blocks.groupBy("bucket").applyInArrow(_meet, MET), "kind")
     groups = met.filter("kind = 1").select(F.col("a").alias("name"), F.col("b").alias("key"))
@@ -550,7 +551,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     # Sets that signatures alone can't vouch for meet by their prefixes, rarest shingles first. Any order finds all pairs; this one,
     # by the most common shingles of these sets, a table of bounded size, keeps what many share out of the prefixes.
     suspects = sets.join(weak, "key", "left_semi").select("key", "size", "hashes")
-    buckets = shuffle_buckets(spark)
     held = suspects.select("key", "hashes").mapInArrow(_elements(buckets), BLOCKS)
     held = written(held.groupBy("bucket").applyInArrow(_held(buckets, max(1, COMMON // buckets)), HELD))
     # A set that has over a quarter of its shingles for itself is like no other.
@@ -578,7 +578,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     lu, lv = labels.select(F.col("node").alias("u"), F.col("root").alias("ru")), labels.select(F.col("node").alias("v"), F.col("root").alias("rv"))
     rest = near.join(best, ["u", "v"], "left_anti").join(lu, "u", "left").join(lv, "v", "left").filter(F.coalesce("ru", "u") != F.coalesce("rv", "v"))
     met_again = groups.withColumn("own", F.lit(0)).union(short.select("name", "key", "own"))
-    apart = written(_apart(met_again, labels, keys, 8 * shuffle_buckets(spark)).withColumn("n", F.lit(1).cast("long")))
+    apart = written(_apart(met_again, labels, keys, 8 * buckets).withColumn("n", F.lit(1).cast("long")))
     lacking = apart.select(F.col("u").alias("key")).union(apart.select("v")).distinct().join(sets.select("key"), "key", "left_anti")
     extra = _fetched(docs, keys, lacking, width)
     fine = fine.union(extra.mapInArrow(_fine, "key long, size long, fine binary"))

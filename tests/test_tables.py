@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.llm.common import shuffle_buckets
 from factloom.operators import matching, packages, similarity
 from factloom.plans import registry
 from tests.compare import SMALL, comparable, database
@@ -122,3 +123,12 @@ def test_features_of_all_documents_are_counted_in_blocks(spark, monkeypatch):
     assert most_rows(out) <= 250 * 250 + 2000
     pairs = {(r["left"], r["right"]): (r["same_source"], round(r["score"], 9)) for r in of(hot=1 << 40).collect()}
     assert len(got) == 250 * 250 and got == pairs
+
+
+def test_buckets_grow_with_the_files_read(spark, tmp_path):
+    small("documents").to_parquet(tmp_path / "d.parquet")
+    docs = spark.read.parquet(str(tmp_path / "d.parquet"))
+    with open(tmp_path / "d.parquet", "r+b") as f:
+        f.truncate(2_000_000_000)  # only its size is looked at
+    docs = spark.read.schema(docs.schema).parquet(str(tmp_path / "d.parquet"))
+    assert shuffle_buckets(spark, docs.select("doc_id", "text")) == 200 > shuffle_buckets(spark)
