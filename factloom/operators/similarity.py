@@ -6,19 +6,22 @@ their document frequency, which is also what keeps a hot feature from skewing th
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from factloom.session import written
 
-#: Pairs of documents that a feature may make in a join; beyond, blocks of about SPAN documents are compared whole.
+#: Pairs that a feature may make one by one; beyond, SPAN documents of a side meet as many of the other at once, all features together.
 HOT_PAIRS, SPAN = 1 << 14, 512
+#: Blocks of a side, if it has documents for them: more only where a block would hold more than HELD features of documents. Rare pairs at a time.
+EDGE, HELD, RARE = 8, 1 << 23, 1 << 21
 
 
 def document_frequency(features: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
@@ -131,92 +134,276 @@ def multi_axis(left: DataFrame, right: DataFrame, total: Column, measure: str =
 def source_evidence(left: DataFrame, right: DataFrame, hashes: DataFrame, total: Column, hot: int = HOT_PAIRS) -> DataFrame:
     """(left, right, same_source, score) from whole-text hashes (side, doc, hash) and the families of (doc, family, feature): overlap, Jaccard and containment of each, and IDF mass over the geometric mean of both.
 
-    Features that make more than `hot` pairs are counted by matrix products of blocks of documents, not pair by pair; the others meet in a join.
+    Rows may repeat. No pair is shuffled: documents of both sides fall into blocks, each block of the left meets each of the right in a cell, whose
+    features travel packed. Features that make more than `hot` pairs are counted there by matrix products, the others pair by pair.
     """
-    keyed = lambda x: x.select("doc", F.concat_ws("\x1f", "family", "feature").alias("feature"), "family")
-    l, r = keyed(left), keyed(right)
-    df = document_frequency(r.select("feature"))
-    often = document_frequency(l.select("feature")).withColumnRenamed("df", "_n").join(idf(df, total), "feature").filter(F.col("_n") * F.col("df") > hot)
-    often = written(often.select("feature", "weight", F.monotonically_increasing_id().alias("id")))
-    met = l.join(often, "feature", "left_anti").select(F.col("doc").alias("left"), "family", "feature").join(r.select(F.col("doc").alias("right"), "feature"), "feature").join(idf(df, total), "feature")
-    shared = met.groupBy("left", "right", "family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("weight") ** 2).alias("mass"))
-    size = lambda x, name: x.join(idf(df, total), "feature", "left").groupBy("doc", "family").agg(F.count(F.lit(1)).alias(f"{name}_n"), F.sum(F.coalesce("weight", F.log(total)) ** 2).alias(f"{name}_m")).withColumnRenamed("doc", name)
-    if often.isEmpty():
-        rows = shared.join(size(l, "left"), ["left", "family"]).join(size(r, "right"), ["right", "family"])
-        n, a, b = F.col("n"), F.col("left_n"), F.col("right_n")
-        rows = rows.withColumn("_s", (n / F.least(a, b) + n / (a + b - n) + n / a + F.coalesce(F.col("mass") / F.nullif(F.sqrt(F.col("left_m") * F.col("right_m")), F.lit(0.0)), F.lit(0.0))) / 4)
-        out = rows.groupBy("left", "right").agg(F.sum("_s").alias("score"))
-    else:
-        out = _evidence_in_blocks(l, r, often, shared, size)
-    h = lambda side: hashes.filter(F.col("side") == side).select(F.col("doc").alias(side), F.col("hash").alias(f"_{side}"))
-    out = out.join(h("left"), "left", "left").join(h("right"), "right", "left")
-    return out.select("left", "right", F.coalesce(F.col("_left") == F.col("_right"), F.lit(False)).alias("same_source"), "score")
-
-
-def _evidence_in_blocks(l: DataFrame, r: DataFrame, often: DataFrame, shared: DataFrame, size: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """(left, right, score) of source_evidence(): each block of documents on the left meets each on the right once, with what rare features they share."""
-    kinds = {"left": l.schema["doc"].dataType, "right": r.schema["doc"].dataType}
-    blocks = {"left": 1 + l.select("doc").distinct().count() // SPAN, "right": 1 + r.select("doc").distinct().count() // SPAN}
-    block = lambda side: F.pmod(F.xxhash64(side), F.lit(blocks[side])).cast("int").alias(f"{side}_block")
-    every = lambda side: F.explode(F.sequence(F.lit(0), F.lit(blocks[side] - 1))).alias(f"{side}_block")
-
-    def of(x: DataFrame, side: str, other: str) -> DataFrame:
-        held = x.join(often, "feature").groupBy(F.col("doc").alias(side), "family").agg(F.collect_list(F.struct("id", "weight")).alias("_x"))
-        rows = size(x, side).filter(F.col(side).isNotNull()).join(held, [side, "family"], "left").select(F.lit(side).alias("kind"), side, F.lit(None).cast(kinds[other]).alias(other), "family", F.col(f"{side}_n").alias("n"), F.col(f"{side}_m").alias("mass"), F.col("_x.id").alias("ids"), F.col("_x.weight").alias("weights"))
-        return rows.select("*", block(side), every(other))
-
-    pairs = shared.select(F.lit("pair").alias("kind"), "left", "right", "family", "n", "mass", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<double>").alias("weights"), block("left"), block("right"))
-    cells = of(l, "left", "right").unionByName(of(r, "right", "left")).unionByName(pairs)
-    return cells.groupBy("left_block", "right_block").applyInArrow(_evidence, StructType([StructField("left", kinds["left"]), StructField("right", kinds["right"]), StructField("score", DoubleType())]))
-
-
-def _evidence(table: pa.Table) -> pa.Table:
-    """The scores of all pairs of two blocks that share a feature."""
-    of, names, at = {}, {}, {}
-    for c in ("left", "right", "family", "kind"):
-        coded = table[c].combine_chunks().dictionary_encode()
-        names[c], at[c] = coded.dictionary, coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    is_kind = {k: at["kind"] == i for i, k in enumerate(names["kind"].to_pylist())}
-    n, mass = table["n"].to_numpy(), table["mass"].to_numpy()
-    shape = len(names["left"]), len(names["right"])
-    score, met = np.zeros(shape), np.zeros(shape, bool)
-    for _, family in sorted((x, i) for i, x in enumerate(names["family"].to_pylist())):
-        mine = at["family"] == family
-        for side in ("left", "right"):
-            rows = np.flatnonzero(mine & is_kind.get(side, False))
-            count, whole = np.zeros(len(names[side])), np.zeros(len(names[side]))
-            count[at[side][rows]], whole[at[side][rows]] = n[rows], mass[rows]
-            lists = table["ids"].take(pa.array(rows)).combine_chunks()
-            lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-            weights = table["weights"].take(pa.array(rows)).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            of[side] = count, whole, np.repeat(at[side][rows], lengths), lists.flatten().to_numpy(zero_copy_only=False), weights
-        (a, am, l_doc, l_id, l_weight), (b, bm, r_doc, r_id, _) = of["left"], of["right"]
-        common, both = np.zeros(shape), np.zeros(shape)
-        ids, first = np.unique(l_id, return_index=True)
-        squares = l_weight[first] ** 2 if len(ids) else np.zeros(0)
-        lp, rp = np.searchsorted(ids, l_id), np.minimum(np.searchsorted(ids, r_id), max(len(ids) - 1, 0))
-        known = ids[rp] == r_id if len(ids) else np.zeros(len(r_id), bool)
-        r_doc, rp = r_doc[known], rp[known]
-        for start in range(0, len(ids), 4096):
-            stop = min(start + 4096, len(ids))
-            x, y = np.zeros((shape[0], stop - start), np.float32), np.zeros((shape[1], stop - start), np.float32)
-            here, there = (lp >= start) & (lp < stop), (rp >= start) & (rp < stop)
-            x[l_doc[here], lp[here] - start] = 1
-            y[r_doc[there], rp[there] - start] = 1
-            common += x @ y.T
-            heavy = squares[start:stop] > 0
-            if heavy.any():
-                both += (x[:, heavy] * squares[start:stop][heavy]) @ y[:, heavy].T.astype(np.float64)
-        rare = np.flatnonzero(mine & is_kind.get("pair", False))
-        np.add.at(common, (at["left"][rare], at["right"][rare]), n[rare])
-        np.add.at(both, (at["left"][rare], at["right"][rare]), mass[rare])
-        a, b, middle = a[:, None], b[None, :], np.sqrt(am[:, None] * bm[None, :])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            each = (common / np.minimum(a, b) + common / (a + b - common) + common / a + np.where(middle > 0, both / middle, 0.0)) / 4
-        score += np.where(common > 0, each, 0.0)
-        met |= common > 0
-    i, j = np.nonzero(met)
-    return pa.table([names["left"].take(pa.array(i)), names["right"].take(pa.array(j)), pa.array(score[i, j])], names=["left", "right", "score"])
+    kinds = {"left": left.schema["doc"].dataType, "right": right.schema["doc"].dataType}
+    rows = left.select("family", "feature", F.col("doc").alias("left"), F.lit(None).cast(kinds["right"]).alias("right"), F.lit(0).alias("_r"))
+    rows = rows.unionByName(right.select("family", "feature", F.lit(None).cast(kinds["left"]).alias("left"), F.col("doc").alias("right"), F.lit(1).alias("_r")))
+    void = F.max(((F.col("_r") == 1) & F.col("right").isNull()).cast("long"))  # a document without id counts, but has no pairs
+    features = rows.groupBy("family", "feature").agg(F.collect_set("left").alias("left"), F.collect_set("right").alias("right"), void.alias("_void"))
+    df = F.when(F.col("feature").isNotNull() & F.col("family").isNotNull(), F.size("right") + F.col("_void"))
+    weight = F.when(df > 0, F.greatest(F.log(total / df), F.lit(0.0))).otherwise(F.log(total))
+    features = written(features.select("family", df.isNotNull().alias("known"), (weight * weight).alias("square"), "left", "right"))
+
+    def documents(side: str) -> DataFrame:
+        each = features.select("family", "square", F.explode(side).alias("doc")).groupBy("doc", "family").agg(F.count(F.lit(1)).alias("n"), F.sum("square").alias("mass"))
+        each = each.groupBy("doc").agg(F.collect_list(F.struct("family", "n", "mass")).alias("sizes"))
+        known = hashes.filter(F.col("side") == side).groupBy("doc").agg(F.collect_list(F.struct("hash")).alias("hashes"))
+        return written(each.join(known, "doc", "left"))
+
+    docs = {side: documents(side) for side in kinds}
+    held = features.filter("known and size(left) > 0 and size(right) > 0")
+    counts = held.agg(*[F.coalesce(F.sum(F.size(side).cast("long")), F.lit(0)).alias(side) for side in kinds]).first()
+    blocks = {side: max(min(EDGE, 1 + docs[side].count() // SPAN), -(-counts[side] // HELD)) for side in kinds}
+    block = lambda side: lambda doc: F.pmod(F.xxhash64(doc), F.lit(blocks[side])).cast("int")
+    cells = StructType([
+        StructField("cell", IntegerType()), StructField("left", ArrayType(kinds["left"])), StructField("right", ArrayType(kinds["right"])),
+        StructField("families", ArrayType(features.schema["family"].dataType)), StructField("squares", ArrayType(DoubleType())), StructField("often", ArrayType(BooleanType())),
+        StructField("n", LongType()), *[StructField(c, BinaryType()) for c in PACKED],
+        StructField("hashes", ArrayType(hashes.schema["hash"].dataType)), StructField("sizes", ArrayType(LongType())),
+    ])
+    often = F.size("left").cast("long") * F.size("right") > hot
+    packed = held.select("family", "square", often.alias("often"), "left", "right", *[F.transform(side, block(side)).alias(f"{side}_block") for side in kinds])
+    shape, packed_schema = (blocks["left"], blocks["right"]), to_arrow_schema(cells)
+    packed = packed.mapInArrow(lambda batches: _pack(batches, shape, packed_schema), cells)
+
+    def placed(side: str) -> DataFrame:
+        """Each document of a side, with its sizes, in all cells of its block."""
+        here, other, wide = block(side)("doc"), "right" if side == "left" else "left", F.lit(blocks["right"])
+        met = F.explode(F.sequence(F.lit(0), F.lit(blocks[other] - 1)))
+        out = docs[side].select("*", met.alias("_b")).withColumn("cell", here * wide + F.col("_b") if side == "left" else F.col("_b") * wide + here)
+        own = {"cell": F.col("cell"), side: F.array("doc"), "families": F.col("sizes.family"), "squares": F.col("sizes.mass"), "sizes": F.col("sizes.n"), "hashes": F.col("hashes.hash")}
+        return out.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in cells])
+
+    every = packed.unionByName(placed("left")).unionByName(placed("right")).repartitionById(blocks["left"] * blocks["right"], "cell")
+    pairs = StructType([StructField("left", kinds["left"]), StructField("right", kinds["right"]), StructField("same_source", BooleanType()), StructField("score", DoubleType())])
+    span, pairs_schema = SPAN, to_arrow_schema(pairs)
+    return every.mapInArrow(lambda batches: _evidence(batches, span, pairs_schema), pairs)
+
+
+#: Columns of a packed part of a cell: how many documents of a side have each feature, which ones, and each feature's kind.
+PACKED = ("left_counts", "left_codes", "right_counts", "right_codes", "features")
+
+
+def _small(x: np.ndarray) -> bytes:
+    return pa.Codec("zstd").compress(x.astype(np.uint32).tobytes(), asbytes=True)
+
+
+def _unpacked(column: pa.ChunkedArray, n: list[int]) -> list[np.ndarray]:
+    return [np.frombuffer(pa.Codec("zstd").decompress(x.as_py(), 4 * k, asbytes=True), np.uint32) for x, k in zip(column, n)]
+
+
+def _pack(batches: Iterator[pa.RecordBatch], blocks: tuple[int, int], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """For each cell of blocks, the features that both its sides have, packed."""
+    kept, size = [], 0
+    for batch in batches:
+        kept.append(batch)
+        size += sum(pc.sum(pc.list_value_length(batch[c])).as_py() or 0 for c in ("left", "right"))
+        if size >= HELD // 4:
+            yield from _packed(pa.Table.from_batches(kept), blocks, schema)
+            kept, size = [], 0
+    if size:
+        yield from _packed(pa.Table.from_batches(kept), blocks, schema)
+
+
+def _packed(table: pa.Table, blocks: tuple[int, int], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    table = table.combine_chunks()
+    family = table["family"].combine_chunks().dictionary_encode()
+    square, of_square = np.unique(table["square"].to_numpy(), return_inverse=True)
+    kind = (family.indices.to_numpy() * len(square) + of_square) * 2 + table["often"].to_numpy()
+    kind, of_kind = np.unique(kind, return_inverse=True)
+    of = {}
+    for side, n in zip(("left", "right"), blocks):
+        lists = table[side].combine_chunks()
+        feature = np.repeat(np.arange(len(table), dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        coded = lists.flatten().dictionary_encode()
+        at, codes = table[f"{side}_block"].combine_chunks().flatten().to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        for b in range(n):
+            mine = np.flatnonzero(at == b)
+            of[side, b] = feature[mine], codes[mine], np.bincount(feature[mine], minlength=len(table)), coded.dictionary
+    for i in range(blocks[0]):
+        for j in range(blocks[1]):
+            met = (of["left", i][2] > 0) & (of["right", j][2] > 0)
+            if not met.any():
+                continue
+            row = dict.fromkeys(schema.names) | {"cell": i * blocks[1] + j, "n": int(met.sum()), "features": _small(of_kind[met])}
+            row |= {"families": family.dictionary.take(pa.array(kind // 2 // len(square))), "squares": square[kind // 2 % len(square)], "often": kind % 2 > 0}
+            for side, b in (("left", i), ("right", j)):
+                feature, codes, counts, docs = of[side, b]
+                codes = codes[met[feature]]
+                here = np.zeros(len(docs), bool)
+                here[codes] = True
+                row |= {side: docs.take(pa.array(np.flatnonzero(here))), f"{side}_counts": _small(counts[met]), f"{side}_codes": _small((np.cumsum(here) - 1)[codes])}
+            yield pa.record_batch([_one(row[f.name], f.type) for f in schema], schema=schema)
+
+
+def _one(x: object, kind: pa.DataType) -> pa.Array:
+    """A column of one row, of lists where its type is."""
+    if x is None or not pa.types.is_list(kind):
+        return pa.array([x], kind)
+    x = x if isinstance(x, pa.Array) else pa.array(x)
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(kind.value_type)).cast(kind)
+
+
+def _evidence(batches: Iterator[pa.RecordBatch], span: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The scores of all pairs of each cell that share a feature."""
+    kept = list(batches)
+    if kept:
+        table = pa.Table.from_batches(kept)
+        kept.clear()
+        for cell in pc.unique(table["cell"]).to_pylist():
+            yield from _cell(table.filter(pc.equal(table["cell"], cell)), span, schema)
+
+
+def _cell(table: pa.Table, span: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    parts, docs = table.filter(table["n"].is_valid()), table.filter(table["n"].is_null())
+    sides = {side: docs.filter(docs[side].is_valid()) for side in ("left", "right")}
+    if not len(parts):
+        return
+    names = sorted({x for side in [parts, *sides.values()] for x in pc.unique(side["families"].combine_chunks().flatten()).to_pylist() if x is not None})
+    place = lambda lists: pc.index_in(lists, pa.array(names, lists.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+    value, count, mass, entry, told = {}, {}, {}, {}, {}
+    for side, x in sides.items():
+        value[side] = x[side].combine_chunks().flatten()
+        count[side], mass[side] = np.zeros((len(names), len(x))), np.zeros((len(names), len(x)))
+        lists = x["families"].combine_chunks()
+        at, doc = place(lists.flatten()), np.repeat(np.arange(len(x)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        count[side][at[at >= 0], doc[at >= 0]] = x["sizes"].combine_chunks().flatten().to_numpy(zero_copy_only=False)[at >= 0]
+        mass[side][at[at >= 0], doc[at >= 0]] = x["squares"].combine_chunks().flatten().to_numpy(zero_copy_only=False)[at >= 0]
+        # A document may have several hashes, and then has as many rows; one without has one.
+        many = pc.list_value_length(x["hashes"].combine_chunks()).fill_null(0).to_numpy(zero_copy_only=False)
+        entry[side] = np.repeat(np.arange(len(x)), np.maximum(many, 1))
+        told[side] = np.repeat(many > 0, np.maximum(many, 1)), x["hashes"].combine_chunks().flatten()
+    both = pa.chunked_array([told["left"][1], told["right"][1].cast(told["left"][1].type)]).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    source = {}
+    for side, codes in (("left", both[: len(told["left"][1])]), ("right", both[len(told["left"][1]) :])):
+        source[side] = np.full(len(entry[side]), -1)
+        source[side][told[side][0]] = codes
+    n = parts["n"].to_pylist()
+    held = {side: _unpacked(parts[f"{side}_counts"], n) for side in sides}
+    family, square, often = [], [], []
+    for k, x in enumerate(_unpacked(parts["features"], n)):
+        family.append(place(parts["families"][k].values)[x].astype(np.int16))
+        square.append(parts["squares"][k].values.to_numpy()[x])
+        often.append(parts["often"][k].values.to_numpy(zero_copy_only=False)[x])
+    family, square, often = map(np.concatenate, (family, square, often))
+    feature, doc, counts = {}, {}, {}
+    for side in sides:
+        codes = _unpacked(parts[f"{side}_codes"], [int(x.sum()) for x in held[side]])
+        doc[side] = np.concatenate([pc.index_in(parts[side][k].values, value[side]).to_numpy()[x].astype(np.int32) for k, x in enumerate(codes)])
+        counts[side] = np.concatenate(held[side]).astype(np.int64)
+        feature[side] = np.repeat(np.arange(len(family), dtype=np.int32), counts[side])
+    del held, codes, table, parts, docs
+
+    # Often: places among the often features of their family, by document. Rare: documents on the right by feature, on the left by document.
+    families = range(len(names))
+    width, spot = [0] * len(names), np.zeros(len(family), np.int32)
+    for f in families:
+        mine = np.flatnonzero(often & (family == f))
+        width[f], spot[mine] = len(mine), np.arange(len(mine))
+    weights = [square[often & (family == f)] for f in families]
+    dense = {}
+    for side in sides:
+        for f in families:
+            mine = np.flatnonzero(often[feature[side]] & (family[feature[side]] == f))
+            mine = mine[np.argsort(doc[side][mine], kind="stable")]
+            dense[side, f] = doc[side][mine], spot[feature[side][mine]]
+    from_right, partners = np.cumsum(counts["right"]) - counts["right"], doc["right"]
+    mine = np.flatnonzero(~often[feature["left"]])
+    mine = mine[np.argsort(doc["left"][mine], kind="stable")]
+    rare_doc, rare = doc["left"][mine], feature["left"][mine]
+    del mine, feature, doc
+    lefts, rights = len(value["left"]), len(value["right"])
+    # Groups of documents on the left that make no more than so many rare pairs.
+    made = np.concatenate([[0], np.cumsum(np.bincount(rare_doc, counts["right"][rare], lefts))])
+    i0 = 0
+    while i0 < lefts:
+        i1 = int(min(i0 + span, lefts, max(i0 + 1, np.searchsorted(made, made[i0] + RARE, "right") - 1)))
+        ni = i1 - i0
+        lo, hi = np.searchsorted(rare_doc, [i0, i1])
+        met = {}
+        for f in families:
+            mine = lo + np.flatnonzero(family[rare[lo:hi]] == f)
+            many = counts["right"][rare[mine]]
+            at = np.repeat(from_right[rare[mine]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            j, i, w = partners[at], np.repeat((rare_doc[mine] - i0).astype(np.int32), many), np.repeat(square[rare[mine]], many)
+            order = np.argsort((j // span).astype(np.uint16) if rights < span << 16 else j // span, kind="stable")
+            met[f] = i[order], j[order], w[order]
+        bounds = {f: np.searchsorted(met[f][1] // span, np.arange(rights // span + 2)) for f in families}
+        spread = {}
+        for f in families:
+            if width[f]:
+                d, s = dense["left", f]
+                a, b = np.searchsorted(d, [i0, i1])
+                spread[f] = d[a:b] - i0, s[a:b]
+        for tile, j0 in enumerate(range(0, rights, span)):
+            j1 = min(j0 + span, rights)
+            nj = j1 - j0
+            score, seen = np.zeros(ni * nj), np.zeros(ni * nj, bool)
+            for f in families:
+                a, b = bounds[f][tile], bounds[f][tile + 1]
+                i, j, w = (x[a:b] for x in met[f])
+                if not width[f] and not len(i):
+                    continue
+                at = i.astype(np.int64) * nj + (j - j0)
+                common, both = np.bincount(at, minlength=ni * nj), np.bincount(at, w, ni * nj)
+                if width[f]:
+                    more, heavier = _products(spread[f], dense["right", f], (j0, j1), (ni, nj), weights[f])
+                    common, both = (common + more).reshape(ni, nj), both if heavier is None else both + heavier
+                    x, y = count["left"][f, i0:i1, None], count["right"][f, None, j0:j1]
+                    middle = np.sqrt(mass["left"][f, i0:i1, None] * mass["right"][f, None, j0:j1])
+                    score += _measures(common, both.reshape(ni, nj), x, y, middle).ravel()
+                    seen |= common.ravel() > 0
+                else:
+                    at = np.flatnonzero(common)
+                    i, j = i0 + at // nj, j0 + at % nj
+                    score[at] += _measures(common[at], both[at], count["left"][f, i], count["right"][f, j], np.sqrt(mass["left"][f, i] * mass["right"][f, j]))
+                    seen[at] = True
+            score, seen = score.reshape(ni, nj), seen.reshape(ni, nj)
+            (la, lb), (ra, rb) = (np.searchsorted(entry[side], x) for side, x in (("left", [i0, i1]), ("right", [j0, j1])))
+            if lb - la != ni or rb - ra != nj:
+                grid = np.ix_(entry["left"][la:lb] - i0, entry["right"][ra:rb] - j0)
+                score, seen = score[grid], seen[grid]
+            x, y = source["left"][la:lb, None], source["right"][None, ra:rb]
+            same = (x == y) & (x >= 0)
+            if seen.all():
+                i, j = np.repeat(entry["left"][la:lb], rb - ra), np.tile(entry["right"][ra:rb], lb - la)
+                score, same = score.ravel(), same.ravel()
+            else:
+                i, j = np.nonzero(seen)
+                score, same = score[i, j], same[i, j]
+                i, j = entry["left"][la + i], entry["right"][ra + j]
+            if len(i):
+                yield pa.record_batch([value["left"].take(pa.array(i)), value["right"].take(pa.array(j)), pa.array(same), pa.array(score)], schema=schema)
+        i0 = i1
+
+
+def _products(left: tuple, right: tuple, js: tuple[int, int], shape: tuple[int, int], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """How many often features each pair of two groups of documents shares, and the sum of their weights, if any has one."""
+    (ld, ls), (rd, rs) = left, right
+    a, b = np.searchsorted(rd, js)
+    rd, rs = rd[a:b] - js[0], rs[a:b]
+    common, both = np.zeros(shape, np.float32), None
+    for start in range(0, len(weights), 4096):
+        stop = min(start + 4096, len(weights))
+        x, y = np.zeros((shape[0], stop - start), np.float32), np.zeros((shape[1], stop - start), np.float32)
+        here, there = (ls >= start) & (ls < stop), (rs >= start) & (rs < stop)
+        x[ld[here], ls[here] - start] = 1
+        y[rd[there], rs[there] - start] = 1
+        common += x @ y.T
+        heavy = weights[start:stop] > 0
+        if heavy.any():
+            each = (x[:, heavy] * weights[start:stop][heavy]) @ y[:, heavy].T.astype(np.float64)
+            both = each if both is None else both + each
+    return common.ravel(), None if both is None else both.ravel()
+
+
+def _measures(common: np.ndarray, both: np.ndarray, a: np.ndarray, b: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    common = common.astype(np.float64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        each = (common / np.minimum(a, b) + common / (a + b - common) + common / a + np.where(middle > 0, both / middle, 0.0)) / 4
+    return np.where(common > 0, each, 0.0)
 
 
 def sequence_windows(tokens: Column, width: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +127,31 @@ def test_features_of_all_documents_are_counted_in_blocks(spark, monkeypatch):
     assert len(got) == 250 * 250 and got == pairs
 
 
+def test_pairs_of_rare_features_are_not_shuffled(spark):
+    side = lambda step: spark.createDataFrame([(d, f"f{k % 2}", f"p{k}") for d in range(240) for k in range(40) if (d * step + k) % 3 == 0] * 2 + [(None, "f0", "p0")], "doc long, family string, feature string")
+    hashes = spark.createDataFrame([("left", d, d % 7) for d in range(200)] + [("right", d, d % 7) for d in range(240)] + [("right", 3, 1)], "side string, doc long, hash long")
+    l, r = side(2), side(5)
+    out = similarity.source_evidence(l, r, hashes, F.lit(200.0))
+    got = sorted((x["left"], x["right"], x["same_source"], round(x["score"], 9)) for x in out.collect())
+    # 40 features make 6,400 pairs each, more than there are pairs of documents; document 3 is there under two hashes.
+    assert most_rows(out) <= 240 * 241 + 2000
+    held = lambda step: {d: {(f"f{k % 2}", f"p{k}") for k in range(40) if (d * step + k) % 3 == 0} for d in range(240)}
+    features = [held(2), held(5)]
+    df = {k: sum(k in x for x in features[1].values()) + (k == ("f0", "p0")) for x in features[1].values() for k in x}
+    square = lambda k: max(math.log(200 / df[k]), 0) ** 2 if k in df else math.log(200) ** 2
+    want = []
+    for a, x in features[0].items():
+        for b, y in features[1].items():
+            score = 0
+            for f in ("f0", "f1"):
+                u, v = ({k for k in z if k[0] == f} for z in (x, y))
+                if n := len(u & v):
+                    score += (n / min(len(u), len(v)) + n / len(u | v) + n / len(u) + sum(map(square, u & v)) / math.sqrt(sum(map(square, u)) * sum(map(square, v)))) / 4
+            if score:
+                want += [(a, b, a < 200 and a % 7 == h, round(score, 9)) for h in ([b % 7, 1] if b == 3 else [b % 7])]
+    assert got == sorted(want)
+
+
 def test_buckets_grow_with_the_files_read(spark, tmp_path):
     small("documents").to_parquet(tmp_path / "d.parquet")
     docs = spark.read.parquet(str(tmp_path / "d.parquet"))
