@@ -21,7 +21,7 @@ from factloom.session import written
 #: Pairs that a feature may make one by one; beyond, SPAN documents of a side meet as many of the other at once, all features together.
 HOT_PAIRS, SPAN = 1 << 14, 512
 #: Blocks of a side, if it has documents for them: more only where a block would hold more than HELD features of documents. Rare pairs at a time.
-EDGE, HELD, RARE = 8, 1 << 23, 1 << 21
+EDGE, HELD, RARE = 8, 1 << 22, 1 << 21
 
 
 def document_frequency(features: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
@@ -294,7 +294,8 @@ def _cell(table: pa.Table, span: int, schema: pa.Schema) -> Iterator[pa.RecordBa
         doc[side] = np.concatenate([pc.index_in(parts[side][k].values, value[side]).to_numpy()[x].astype(np.int32) for k, x in enumerate(codes)])
         counts[side] = np.concatenate(held[side]).astype(np.int64)
         feature[side] = np.repeat(np.arange(len(family), dtype=np.int32), counts[side])
-    del held, codes, table, parts, docs
+    del held, codes, table, parts, docs, sides
+    pa.default_memory_pool().release_unused()
 
     # Often: places among the often features of their family, by document. Rare: documents on the right by feature, on the left by document.
     families = range(len(names))
@@ -304,7 +305,7 @@ def _cell(table: pa.Table, span: int, schema: pa.Schema) -> Iterator[pa.RecordBa
         width[f], spot[mine] = len(mine), np.arange(len(mine))
     weights = [square[often & (family == f)] for f in families]
     dense = {}
-    for side in sides:
+    for side in feature:
         for f in families:
             mine = np.flatnonzero(often[feature[side]] & (family[feature[side]] == f))
             mine = mine[np.argsort(doc[side][mine], kind="stable")]
